@@ -17,6 +17,51 @@ SELECT page_id, u.host, u.path, rule, coalesce(verdict, 'allow') AS verdict
 FROM u LEFT JOIN best ON u.host = best.host AND u.path = best.path
 """
 
+OP4 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '*') AS stratum, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+w AS (
+  SELECT row_id, i, count(*) OVER (PARTITION BY row_id, win) AS n FROM (
+    SELECT doc_id AS row_id, i, ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] AS win
+    FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 2)) AS i FROM d WHERE len(ws) >= 3))),
+rep AS (SELECT row_id, count(DISTINCT i + j) AS n FROM w, range(3) AS o(j) WHERE n > 1 GROUP BY 1),
+m AS (
+  SELECT doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+    len(ls) AS n_lines, length(regexp_replace(t, '[^A-Z!]+', '', 'g')) AS n_shouting
+  FROM d LEFT JOIN rep ON row_id = doc_id),
+s AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    [CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END,
+     CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END, CASE WHEN word_chars > 0 THEN n_shouting / word_chars ELSE 0 END] AS sig
+  FROM m),
+lab AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+l AS (SELECT stratum, good, sig FROM s JOIN lab USING (doc_id) WHERE NOT base_failed),
+top AS (SELECT stratum FROM l GROUP BY 1 ORDER BY count(*) DESC, stratum LIMIT 32),
+p AS (SELECT CASE WHEN stratum IN (FROM top) THEN stratum ELSE '*' END AS stratum, good, sig FROM l),
+g AS (SELECT unnest([0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS cutoff),
+tests AS (
+  SELECT stratum, j, cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND sig[j] > cutoff) AS k, count(*) FILTER (good = 0 AND sig[j] > cutoff) AS caught
+  FROM p, g, range(1, 5) AS o(j) GROUP BY ALL),
+cert AS (
+  SELECT stratum, j, max({'caught': caught, 'cutoff': cutoff}).cutoff AS cutoff FROM tests
+  WHERE caught > 0 AND n > 0 AND k < n * 0.005 AND
+    list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005) + (n - i) * ln(0.995))))
+      <= 0.05 / ((SELECT count(DISTINCT stratum) FROM p) * 4 * 12)
+  GROUP BY ALL),
+bad AS (
+  SELECT DISTINCT doc_id FROM s JOIN cert ON cert.stratum = CASE WHEN s.stratum IN (SELECT stratum FROM cert) THEN s.stratum ELSE '*' END
+  WHERE sig[j] > cert.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (FROM bad) AS kept
+FROM s
+"""
+
 ORACLES = {
+    "op4_quality": OP4,
     "op3_url_filter": OP3,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import url_filter
+from . import quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,19 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    judged = quality.judge(docs, _table(spark, sf_dir, "labels"))
+    q = F.col("__quality")
+    return judged.select(
+        "doc_id",
+        *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        quality.base_failed().alias("base_failed"),
+        F.col("__kept").alias("kept"),
+    )
+
+
 QUERIES = {
     "op3_url_filter": op3_url_filter,
+    "op4_quality": op4_quality,
 }
