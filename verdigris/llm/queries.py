@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality, url_filter
+from . import pii, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,18 @@ URL_RULES = [
 ]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.annotate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_kind = lambda i: F.filter(pii.SPANS, lambda s: s["kind"] == i)
+    base = F.filter(pii.SPANS, lambda s: s["kind"] < len(pii.KINDS))
+    return docs.select(
+        "doc_id",
+        *[F.size(of_kind(i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.names(base), 256).alias("base_sha256"),
+        pii.names(F.col(pii.SPANS)).alias("spans"),
+    )
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
@@ -38,6 +50,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
 }
