@@ -61,7 +61,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM s
 """
 
+OP9 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+items AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[i + 1:i + n], ' ') AS win
+  FROM (SELECT item_id, ws, least(8, len(ws)) AS n, unnest(range(0, len(ws) - least(8, len(ws)) + 1)) AS i FROM b WHERE len(ws) > 0)),
+spots AS (
+  SELECT doc_id, n, i, array_to_string(ws[i + 1:i + n], ' ') AS win
+  FROM (SELECT doc_id, ws, n, unnest(range(0, greatest(0, len(ws) - n + 1))) AS i FROM d, (SELECT DISTINCT n FROM items))),
+hit AS (SELECT doc_id, item_id, i, s.n FROM spots s JOIN items ON s.win = items.win AND s.n = items.n),
+w AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hit, range(8) AS o(j) WHERE j < n GROUP BY 1),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN w USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
 ORACLES = {
+    "op9_decontaminate": OP9,
     "op4_quality": OP4,
     "op3_url_filter": OP3,
 }

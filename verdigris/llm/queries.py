@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import pii, quality, url_filter
+from . import decontaminate, pii, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,25 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(
+        _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), keep_text=False
+    )
+    runs, items = F.col(decontaminate.RUNS), F.col(decontaminate.ITEMS)
+    hit = F.aggregate(runs, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["n"] + a["sign"] * x).alias("n"), (-a["sign"]).alias("sign")))
+    return found.select(
+        "doc_id",
+        F.col(decontaminate.WORDS).alias("n_words"),
+        hit["n"].alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
+    "op9_decontaminate": op9_decontaminate,
 }
