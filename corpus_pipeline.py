@@ -1,10 +1,50 @@
-"""A corpus pipeline: stages that each call one operator of ``verdigris.llm``."""
+"""A corpus pipeline: stages that each call one operator of ``verdigris.llm``.
+
+Every stage reads all that its predecessor wrote; all but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from verdigris.llm import decontaminate, mixing, near_dedup, pii, quality
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the certified cutoffs."""
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_dedup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold fewer than two benchmark items."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and what discloses it replaced by its kind."""
+    return pii.sanitise(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The copies that the mix takes, with shard, place, copy and taken."""
+    return mixing.materialise(docs)
+
+
+STAGES = [
+    ("quality", quality_rules),
+    ("near_dedup", near_duplicates),
+    ("decontaminate", decontamination),
+    ("pii", personal_data),
+    ("mix", mixture),
+]
+
+#: Signatures, draws and disclosure thresholds are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

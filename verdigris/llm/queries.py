@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, near_dedup, pii, quality, url_filter
+from . import decontaminate, mixing, near_dedup, pii, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken", "shard", "place")])
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.classes(docs).select("doc_id", "class_id")
@@ -74,6 +79,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
+    "op6_mixing": op6_mixing,
     "op7_near_dedup": op7_near_dedup,
     "op9_decontaminate": op9_decontaminate,
 }
