@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, mixing, near_dedup, pii, quality, url_filter
+from . import decontaminate, lm_score, mixing, near_dedup, pii, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(docs).select("doc_id", "class_id")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(
         _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), keep_text=False
@@ -81,5 +85,6 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op6_mixing": op6_mixing,
     "op7_near_dedup": op7_near_dedup,
+    "op8_lm_score": op8_lm_score,
     "op9_decontaminate": op9_decontaminate,
 }
