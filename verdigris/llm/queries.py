@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, lm_score, mixing, near_dedup, pii, quality, url_filter
+from . import decontaminate, language_id, lm_score, mixing, near_dedup, pii, quality, secret_scan, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,21 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col(secret_scan.SPANS)
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(spans, _of_kind(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(secret_scan.KINDS[:3])],
+        F.sha2(secret_scan.names(F.filter(spans, lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        secret_scan.names(spans).alias("spans"),
+    )
+
+
+def _of_kind(i: int):
+    return lambda s: s["kind"] == i
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken", "shard", "place")])
@@ -79,12 +94,25 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (their source as host, nothing declared) and pages, each with their own host priors."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    languages, model = language_id.fit(docs)
+    of_docs = language_id.identify(docs.select("doc_id", "source", "text"), languages, model, "text", "source")
+    of_pages = language_id.identify(
+        pages.select("page_id", url_filter.url_host(F.col("url")).alias("host"), "html"), languages, model, "html", "host", markup=True
+    )
+    return of_docs.unionByName(of_pages, allowMissingColumns=True).select("doc_id", "page_id", "lang", "probability", "text_lang")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
+    "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
     "op7_near_dedup": op7_near_dedup,
     "op8_lm_score": op8_lm_score,
     "op9_decontaminate": op9_decontaminate,
+    "op10_language_id": op10_language_id,
 }
