@@ -41,7 +41,7 @@ from ._native import SPACE, cut
 LIMIT = 3
 FANOUT = 256
 #: Documents to a shard.
-SHARD = 4096
+SHARD = 512
 #: Colours of one draw may not exceed this together; larger nodes are drawn in coarser units.
 _MOST = 500_000_000
 
