@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from verdigris.plans import upgrade
+
+_PLANS = (upgrade,)
+QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLES: dict = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
