@@ -17,9 +17,11 @@ strings.  The place of the least hash of a ``KMER``-byte window within the
 ``LENGTH`` bytes from a start is the start's anchor: it depends on these bytes
 only, so equal strings have equal anchors at equal distances.  Starts with the
 same anchor are one run; runs whose anchor hash stands only once in the
-collection cannot repeat and are dropped.  The others become strings of less
-than ``2 LENGTH`` bytes, aligned at their anchors and grouped by anchor hash,
-and ``2 LENGTH`` rounds suffice.
+collection cannot repeat and are dropped.  Runs of the same content (two
+hashes, 128 bits) repeat as a whole; one of them stands for all.  Where an
+anchor hash has runs of several contents, these become strings of less than
+``2 LENGTH`` bytes, aligned at their anchors and grouped by anchor hash, and
+``2 LENGTH`` rounds suffice.
 
 Defined results
     Texts are taken as UTF-8 bytes, null as empty.  Matches do not cross
@@ -29,10 +31,10 @@ Defined results
     null or repeated keys do no harm.  Empty table: no rows.
 
 Scale
-    About 1 run per 185 bytes is shuffled (48 bytes each), and twice, to count
-    and to meet the counts.  Texts are shuffled once, to cut the strings out
-    of documents with shared anchors, and only those documents again.  A group
-    of more than ``PART`` runs is dealt to parts by a hash; each part resolves
+    About 1 run per 140 bytes is shuffled (40 bytes each), summed map-side to
+    count contents, and once more to meet the counts.  Texts are shuffled to
+    cut the strings out and to remove the spans.  A group of more than
+    ``PART`` contents is dealt to parts by a hash; each part resolves
     the strings it holds twice and passes one of each on, by hash, to meet the
     other parts'.  A task holds about ``MEMORY`` bytes of strings at a time,
     cut at group ends.
@@ -67,7 +69,7 @@ def _kmer_hashes(buf: np.ndarray) -> np.ndarray:
 
 
 def runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH):
-    """(row, first start, last start, anchor, anchor hash) of all runs, positions within the row."""
+    """(row, first start, last start, anchor, anchor hash, content hash) of all runs, positions within the row."""
     width = length - KMER + 1
     out = []
     row_end = np.repeat(off[1:], np.diff(off))
@@ -90,13 +92,18 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH):
         new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(start)) - 1
-        out.append((start[first] + a, start[last] + a, anchor[first] + a, h[anchor[first]]))
+        p1, p2, x = start[first], start[last], anchor[first]
+        up, down = _text._tables(len(part))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_text._BYTE[part] * up[: len(part)])])
+        content = (sums[p2 + length] - sums[p1]) * down[p1]
+        shape = ((p2 - p1) * 1024 + x - p1).astype(np.uint64)
+        out.append((p1 + a, p2 + a, x + a, h[x], _text.mix(content ^ _text.mix(shape))))
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, np.uint64)
-    p1, p2, x, g = (np.concatenate(c) for c in zip(*out))
+        return none, none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    p1, p2, x, g, s = (np.concatenate(c) for c in zip(*out))
     row = np.searchsorted(off, p1, "right") - 1
-    return row, p1 - off[row], p2 - off[row], x - off[row], g
+    return row, p1 - off[row], p2 - off[row], x - off[row], g, s
 
 
 class _Columns:
@@ -175,7 +182,8 @@ def _window_hashes(flat: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nd
 def _resolve(rows: list[tuple], length: int) -> list[pa.RecordBatch]:
     """Repeated intervals of whole groups; of parts of a group, one of each string as well.
 
-    ``rows``: (group, k1, k2, bytes, first starts, last starts, anchors, is_part)
+    ``rows``: (group, k1, k2, bytes, first starts, last starts, anchors, repeats, is_part).
+    A run that repeats as a whole is there for the others only.
     """
     names = ["k1", "k2", "a", "b", "w1", "w2"]
     flat = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
@@ -188,7 +196,8 @@ def _resolve(rows: list[tuple], length: int) -> list[pa.RecordBatch]:
     _, group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
     group = group[row]
     k1, k2 = (np.array([r[i] for r in rows], np.int64)[row] for i in (1, 2))
-    part = np.array([r[7] for r in rows])[row]
+    known = np.concatenate([np.asarray(r[7], bool) for r in rows])
+    part = np.array([r[8] for r in rows])[row]
     least, most = x - p2, x - p1
     hit = np.zeros((len(x), int(most.max()) + 1), bool)
     reps = []
@@ -200,7 +209,8 @@ def _resolve(rows: list[tuple], length: int) -> list[pa.RecordBatch]:
         one = order[~long & part[order] & (least[order] <= d)]
         if len(one):
             reps.append((one, np.full(len(one), d)))
-    edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    hit |= known[:, None]
+    edge = np.diff(np.pad(hit & ~known[:, None], ((0, 0), (1, 1))).astype(np.int8), axis=1)
     i, lo = np.nonzero(edge == 1)
     _, hi = np.nonzero(edge == -1)
     none = pa.nulls(len(i), pa.int64())
@@ -217,7 +227,7 @@ def _resolve(rows: list[tuple], length: int) -> list[pa.RecordBatch]:
 
 def _cut_strings(length: int, part: int):
     def run(batches):
-        names = ["g", "salt", "is_part", "k1", "k2", "bytes", "p1", "p2", "x"]
+        names = ["g", "salt", "is_part", "k1", "k2", "bytes", "p1", "p2", "x", "known"]
         for batch in _text.slices(batches, "text"):
             buf, off = _text.raw(batch.column(2))
             data = buf.tobytes()
@@ -234,12 +244,12 @@ def _cut_strings(length: int, part: int):
                     a, b = run_[0]["p1"], run_[-1]["p2"] + length
                     values = (
                         run_[0]["g"], hash((k1, k2, a)) % parts, parts > 1, k1, k2, data[off[r] + a : off[r] + b],
-                        [f["p1"] for f in run_], [f["p2"] for f in run_], [f["x"] for f in run_],
+                        *[[f[c] for f in run_] for c in ("p1", "p2", "x", "known")],
                     )
                     for column, value in zip(out, values):
                         column.append(value)
                     i = j
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int32())] * 3]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.bool_())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
     return run
@@ -252,11 +262,11 @@ def _find(length: int):
         rows, size = [], 0
         for batch in _text.slices(batches, "bytes"):
             columns = [c.to_pylist() for c in batch.columns]
-            for g, salt, is_part, k1, k2, data, p1, p2, x in zip(*columns):
-                if size >= MEMORY and (g, salt) != rows[-1][8]:
+            for g, salt, is_part, k1, k2, data, p1, p2, x, known in zip(*columns):
+                if size >= MEMORY and (g, salt) != rows[-1][9]:
                     yield from _resolve(rows, length)
                     rows, size = [], 0
-                rows.append((g, k1, k2, data, p1, p2, x, is_part, (g, salt)))
+                rows.append((g, k1, k2, data, p1, p2, x, known, is_part, (g, salt)))
                 size += len(data)
         if rows:
             yield from _resolve(rows, length)
@@ -264,37 +274,54 @@ def _find(length: int):
     return run
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, part: int = PART) -> tuple[DataFrame, DataFrame]:
-    """For documents (k1, k2, text): the texts with shared anchors, and (k1, k2, spans) to remove."""
+def repeated(docs: DataFrame, length: int = LENGTH, part: int = PART) -> DataFrame:
+    """(k1, k2, spans) to remove of documents (k1, k2, text)."""
 
     def extract(batches):
         for batch in _text.slices(batches, "text"):
-            row, p1, p2, x, g = runs(*_text.raw(batch.column(2)), length)
+            row, p1, p2, x, g, s = runs(*_text.raw(batch.column(2)), length)
             k1, k2 = (np.asarray(batch.column(i)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g.view(np.int64)), pa.array(k1[row]), pa.array(k2[row]), *[pa.array(c.astype(np.int32)) for c in (p1, p2, x)]],
-                ["g", "k1", "k2", "p1", "p2", "x"],
-            )
-
-    all_runs = docs.mapInArrow(extract, "g long, k1 long, k2 long, p1 int, p2 int, x int")
-    shared = all_runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+            place = (p1 << 20) | ((p2 - p1) << 10) | (x - p1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g.view(np.int64), s.view(np.int64), k1[row], k2[row], place)], ["g", "s", "k1", "k2", "place"])
+
+    all_runs = docs.mapInArrow(extract, "g long, s long, k1 long, k2 long, place long")
+    # Runs of equal content are one kind; one run stands for it.
+    kinds = all_runs.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at"))
+    groups = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = cut(kinds.join(groups, "g", "left").where("n > 1 OR kinds > 1"))
+    first = F.shiftright(F.col("place"), 20)
+    span = lambda c: F.shiftright(F.col(c), 10).bitwiseAND(1023)
+    whole = all_runs.join(kinds.where("n > 1").select("g", "s"), ["g", "s"]).select(
+        "k1", "k2", first.alias("a"), (first + span("place") + length).alias("b")
+    )
+    at = F.col("at.place")
+    p1 = F.shiftright(at, 20).cast("int")
     per_text = (
-        all_runs.join(shared, "g")
+        kinds.where("kinds > 1")
+        .select(
+            "at.k1", "at.k2",
+            F.struct(
+                "g", F.col("kinds").alias("n"), (F.col("n") > 1).alias("known"), p1.alias("p1"),
+                (p1 + span("at.place").cast("int")).alias("p2"), (p1 + at.bitwiseAND(1023).cast("int")).alias("x"),
+            ).alias("f"),
+        )
         .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct("g", "n", "p1", "p2", "x")).alias("found"))  # at most the runs of one text
+        .agg(F.collect_set("f").alias("found"))  # at most the runs of one text
     )
-    texts = cut(docs.join(per_text, ["k1", "k2"]).select("k1", "k2", "text", "found"))
-    strings = texts.mapInArrow(
+    strings = docs.join(per_text, ["k1", "k2"]).select("k1", "k2", "text", "found").mapInArrow(
         _cut_strings(length, part),
-        "g long, salt long, is_part boolean, k1 long, k2 long, bytes binary, p1 array<int>, p2 array<int>, x array<int>",
+        "g long, salt long, is_part boolean, k1 long, k2 long, bytes binary, p1 array<int>, p2 array<int>, x array<int>, known array<boolean>",
     )
-    found = cut(
+    found = (
         strings.repartition("g", "salt").sortWithinPartitions("g", "salt").mapInArrow(_find(length), "k1 long, k2 long, a long, b long, w1 long, w2 long")
+        .repartition("k1", "k2")  # one exchange, which both readers below reuse
     )
     parts = found.where("w1 is not null")
     met = parts.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    spans = found.where("w1 is null").unionAll(parts.where("b > a").join(met, ["w1", "w2"]).select(*found.columns))
-    return texts.select("k1", "k2", "text"), spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    spans = whole.unionAll(found.where("w1 is null").select("k1", "k2", "a", "b")).unionAll(
+        parts.where("b > a").join(met, ["w1", "w2"]).select("k1", "k2", "a", "b")
+    )
+    return spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
 
 def remove_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -317,7 +344,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     """key, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key), body).alias("k1"), F.xxhash64(body, F.lit(1)).alias("k2"), body.alias("text"))
-    texts, spans = repeated(rows.select("k1", "k2", "text"), length, part)
+    spans = repeated(rows.select("k1", "k2", "text"), length, part)
 
     def strip(batches):
         for batch in _text.slices(batches, "text"):
@@ -329,7 +356,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha)], ["k1", "k2", "n_removed", "n_spans", "sha"])
 
     stripped = (
-        texts.join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans")
+        rows.select("k1", "k2", "text").join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans")
         .mapInArrow(strip, "k1 long, k2 long, n_removed long, n_spans long, sha string")
         .dropDuplicates(["k1", "k2"])  # repeated rows
     )
