@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from verdigris.plans import etl, project, retrieval, upgrade
+from verdigris.plans import etl, project, retrieval, streams, upgrade
 
-_PLANS = (upgrade, project, retrieval, etl)
+_PLANS = (upgrade, project, retrieval, etl, streams)
 QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLES: dict = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
