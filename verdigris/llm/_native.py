@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: White space of the word rule: space, tab, LF, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,6 +28,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def columns(df: DataFrame, but: tuple[str, ...] = ()) -> list[Column]:
+    """All columns by name, whatever characters the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in but]
+
+
+def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` that also bears column names with dots."""
+    safe = lambda c: c.replace(".", "\u2024")
+    out = T.StructType([T.StructField(safe(f.name), f.dataType) for f in schema.fields])
+    return df.toDF(*map(safe, df.columns)).mapInArrow(run, out).toDF(*schema.names)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a local one only where unset."""
     import tempfile

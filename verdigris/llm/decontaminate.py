@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import _text
-from ._native import cut
+from ._native import columns, cut, map_arrow
 
 WINDOW = 8
 #: Bytes of item text in one block.
@@ -207,8 +207,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
         last = b == blocks - 1
         fields = [f for f in source.schema.fields if last is False or keep_text or f.name != text]
         state = [T.StructField(WORDS, T.LongType()), T.StructField(RUNS, T.ArrayType(T.LongType())), T.StructField(ITEMS, T.ArrayType(T.StringType()))]
-        docs = docs.mapInArrow(
-            _search(spark.sparkContext.broadcast(index), text, b > 0, keep_text or not last), T.StructType([*fields, *state])
+        docs = map_arrow(
+            docs, _search(spark.sparkContext.broadcast(index), text, b > 0, keep_text or not last), T.StructType([*fields, *state])
         )
         if not last:
             docs = cut(docs)
@@ -221,4 +221,4 @@ def contaminated(least: int = 2):
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = 2, **how) -> DataFrame:
     """The documents in which fewer than ``least`` items occur."""
-    return find(docs, benchmark, **how).where(~contaminated(least)).select(*docs.columns)
+    return find(docs, benchmark, **how).where(~contaminated(least)).select(*columns(docs))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import _text
-from ._native import ascii_lower, cut, let
+from ._native import ascii_lower, columns, cut, let, map_arrow
 
 SAMPLE, LANGUAGES = 4000, 64
 BUCKETS = 1 << 14
@@ -96,13 +96,14 @@ def strip_markup(html: str) -> str:
 
 
 def read_text(rows: DataFrame, model: np.ndarray, text: str, markup: bool) -> DataFrame:
-    """Replaces the text column by ``ll``, its tempered log-likelihood in each language."""
+    """Replaces the text column by ``__ll``, its tempered log-likelihood in each language."""
     given = rows.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in rows.schema.fields if f.name != text]
 
     def run(batches):
         for batch in _text.slices(batches, text):
             column = batch.column(batch.schema.get_field_index(text))
+            names = [c for c in batch.schema.names if c != text]
             if markup:
                 column = pa.array([strip_markup(t or "") for t in column.to_pylist()], pa.string())
             k, row = trigrams(*_text.raw(column))
@@ -110,9 +111,9 @@ def read_text(rows: DataFrame, model: np.ndarray, text: str, markup: bool) -> Da
             temper = np.minimum(1.0, EFFECTIVE / np.maximum(n, 1))
             ll = np.stack([np.bincount(row, m[k], batch.num_rows) * temper for m in given.value], axis=1)
             values = pa.FixedSizeListArray.from_arrays(pa.array(ll.ravel()), ll.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(f.name)) for f in kept], values], [*[f.name for f in kept], "ll"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], values], [*names, "__ll"])
 
-    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("ll", T.ArrayType(T.DoubleType()))]))
+    return map_arrow(rows, run, T.StructType([*kept, T.StructField("__ll", T.ArrayType(T.DoubleType()))]))
 
 
 def _softmax(ll: Column) -> Column:
@@ -122,17 +123,17 @@ def _softmax(ll: Column) -> Column:
     )
 
 
-def _sums(df: DataFrame, by: list[str], n: int, column: str = "post") -> DataFrame:
+def _sums(df: DataFrame, by: list[str], n: int, column: str = "__post") -> DataFrame:
     return df.groupBy(*by).agg(F.array(*[F.sum(F.get(column, F.lit(i))) for i in range(n)]).alias("sum"))
 
 
 def identify(rows: DataFrame, languages: list[str], model: np.ndarray, text: str, host: str, declared: str | None = None, markup: bool = False) -> DataFrame:
-    """The other columns of ``rows`` with ``lang``, ``probability`` and ``text_lang``.
+    """The other columns of ``rows`` with ``lang``, ``probability`` and ``text_lang``, in the place of columns so named.
 
     ``declared``: column of the declared language; with ``markup`` the text is
     HTML and its declaration is read where ``declared`` is None.
     """
-    own = [c for c in rows.columns if c not in (text, host)]
+    own = columns(rows, (text, host, "lang", "probability", "text_lang"))
     said = F.col(declared) if declared else F.regexp_extract(text, _DECLARED, 1) if markup else F.lit(None).cast("string")
     said = ascii_lower(F.coalesce(said, F.lit("")))
     rows = rows.select(*own, F.coalesce(host, F.lit("")).alias("__host"), said.alias("__said"), F.col(text).alias("__text"))
@@ -140,9 +141,9 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, text: str
         return rows.select(*own, *[F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("probability", "double"), ("text_lang", "string"))])
     n = len(languages)
     names = F.array(*map(F.lit, languages))
-    read = cut(read_text(rows, model, "__text", markup).withColumn("post", _softmax(F.col("ll"))))
+    read = cut(read_text(rows, model, "__text", markup).withColumn("__post", _softmax(F.col("__ll"))))
 
-    groups = cut(_sums(read, ["__host", "__said"], n).withColumnRenamed("sum", "post"))
+    groups = cut(_sums(read, ["__host", "__said"], n).withColumnRenamed("sum", "__post"))
     labels = F.split("__host", r"\.", -1)
     groups = groups.withColumn("__domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")).withColumn(
         "__suffix", F.element_at(labels, -1)
@@ -169,11 +170,11 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, text: str
         .withColumn("p2", F.when(F.col("__host") == "", F.col("p0")).otherwise(smooth(F.col("h"), F.col("p1"))))
         .withColumn("e1", F.when(F.col("__said") == "", none).otherwise(given(F.col("s__said"), "n_said")))
         .withColumn("e2", F.when(F.col("__host") == "", none).otherwise(given(F.col("s__suffix"), "n_suffix")))
-        .select("__host", "__said", F.zip_with(F.zip_with("p2", "e1", lambda p, e: F.log(p) + e), "e2", lambda a, b: a + b).alias("prior"))
+        .select("__host", "__said", F.zip_with(F.zip_with("p2", "e1", lambda p, e: F.log(p) + e), "e2", lambda a, b: a + b).alias("__prior"))
     )
     best = lambda a: F.get(names, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
     return (
         read.join(prior, ["__host", "__said"])
-        .withColumn("fused", _softmax(F.zip_with("ll", "prior", lambda a, b: a + b)))
-        .select(*own, best(F.col("fused")).alias("lang"), F.array_max("fused").alias("probability"), best(F.col("ll")).alias("text_lang"))
+        .withColumn("__fused", _softmax(F.zip_with("__ll", "__prior", lambda a, b: a + b)))
+        .select(*own, best(F.col("__fused")).alias("lang"), F.array_max("__fused").alias("probability"), best(F.col("__ll")).alias("text_lang"))
     )

@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._native import SPACE, cut
+from ._native import SPACE, columns, cut
 
 LIMIT = 3
 FANOUT = 256
@@ -156,8 +156,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def materialise(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """One row per copy that the mix takes, a part holding the first words of its text.
 
-    Adds ``shard``, ``place``, ``copy`` and ``taken`` (words of this copy).
+    Adds ``shard``, ``place``, ``copy`` and ``taken`` (words of this copy), in
+    the place of columns that were so named.
     """
+    added = ("shard", "place", "copy", "taken")
     mixed = mix(docs, text=text, **how)
     last = F.col("__copy") == F.col("__whole")
     head = F.array_join(F.slice(F.filter(F.split(F.col(text), SPACE), lambda w: w != ""), 1, F.col("__part").cast("int")), " ")
@@ -165,7 +167,7 @@ def materialise(docs: DataFrame, text: str = "text", **how) -> DataFrame:
         "__copy", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("__whole")), lambda i: (i < F.col("__whole")) | (F.col("__part") > 0)))
     ).where("__size > 0")
     return copies.select(
-        *[F.when(last & (F.col("__part") < F.col("__size")), head).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns],
+        *[F.when(last & (F.col("__part") < F.col("__size")), head).otherwise(F.col(text)).alias(text) if c == text else own for c, own in zip([c for c in docs.columns if c not in added], columns(docs, added))],
         F.col("__shard").alias("shard"),
         F.col("__place").alias("place"),
         F.col("__copy").alias("copy"),

@@ -33,7 +33,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._native import let
+from ._native import columns, let
 
 #: The patterns of the base kinds.  Possessive forms and
 #: look-behinds match the same spans as the plain ones, in linear time.
@@ -201,7 +201,7 @@ def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
         terms, F.col(key).eqNullSafe(F.col("__key")) & (hashed["__hash"] == terms["__hash"]), "left"
     )
     spans = F.sort_array(F.concat(F.col(SPANS), F.coalesce("__terms", F.expr("array()").cast("array<struct<kind:int,start:int,end:int,value:string>>"))))
-    return hashed.where(F.size(SPANS) == 0).select(*docs.columns, SPANS).unionAll(met.select(*docs.columns, spans.alias(SPANS)))
+    return hashed.where(F.size(SPANS) == 0).select(*columns(docs), SPANS).unionAll(met.select(*columns(docs), spans.alias(SPANS)))
 
 
 def names(spans: Column) -> Column:
@@ -230,4 +230,4 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
 
     by_start = F.sort_array(F.transform(SPANS, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     clean = F.when(F.size(SPANS) == 0, F.col(text)).otherwise(let(by_start, lambda spans: rewrite(F.col(text), spans)))
-    return annotate(docs, key, text, **how).withColumn(text, clean).select(*docs.columns)
+    return annotate(docs, key, text, **how).withColumn(text, clean).select(*columns(docs))

@@ -36,7 +36,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._native import SPACE, let, words
+from ._native import columns, let, words
 
 #: Cutoffs tried for every signal.
 GRID = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -178,4 +178,4 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def keep(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return judge(docs, labels, **how).where("__kept").select(*docs.columns)
+    return judge(docs, labels, **how).where("__kept").select(*columns(docs))

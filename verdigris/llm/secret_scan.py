@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import _text
+from ._native import map_arrow
 
 #: The patterns of the base kinds.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -40,6 +41,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LONG, RATIO = 20, 1.0
+#: Weight, in transitions, of the characters' own frequencies after a character that ordinary tokens hardly have.
+BACKOFF = 200.0
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LONG)
 SPANS = "__spans"
 
@@ -91,6 +94,10 @@ def _likely(buf: np.ndarray, off: np.ndarray, texts: list[str]) -> list[bool]:
     return out
 
 
+def _smooth(counts: np.ndarray, prior: np.ndarray, weight: float) -> np.ndarray:
+    return np.log((counts + weight * prior) / (counts.sum(axis=1, keepdims=True) + weight))
+
+
 def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Log-likelihood ratio of every transition, (_N + 1, _N)."""
 
@@ -110,8 +117,9 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     every, secret = np.zeros((_N + 1) * _N), np.zeros((_N + 1) * _N)
     for r in docs.select(text).mapInArrow(count, "kind string, pair long, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect():
         (every if r.kind == "every" else secret)[r.pair] = r.n
-    smooth = lambda n: np.log((n.reshape(-1, _N) + 1) / (n.reshape(-1, _N) + 1).sum(axis=1, keepdims=True))
-    return smooth(secret) - smooth(np.maximum(every - secret, 0))
+    ordinary = np.maximum(every - secret, 0).reshape(-1, _N)
+    common = (ordinary.sum(axis=0) + 1) / (ordinary.sum() + _N)
+    return _smooth(secret.reshape(-1, _N), np.full(_N, 1 / _N), _N) - _smooth(ordinary, common, BACKOFF)
 
 
 def ratio(model: np.ndarray, token: str) -> float:
@@ -149,7 +157,7 @@ def scan(docs: DataFrame, text: str = "text", least: float = RATIO) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], [*batch.schema.names, SPANS])
 
     span = T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "kind", "end")])
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(SPANS, T.ArrayType(span))]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(SPANS, T.ArrayType(span))]))
 
 
 def names(spans):
