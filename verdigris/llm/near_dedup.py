@@ -12,10 +12,12 @@ Texts that agree in one of ``BANDS`` bands of ``K / BANDS`` coordinates are
 candidates; at similarity 0.8 a pair misses all bands with probability
 (1 - 0.8**4)**24 = 3e-6.  Candidates are confirmed on their shingle sets.
 
-Within a bucket a text is compared with the bucket's lowest node and with its
-``NEAREST`` successors in node order, in sub-buckets of about ``PART`` nodes.
-Then the links found are contracted, and once more texts of *different*
-classes in a bucket are compared with each other in that way.
+Within a bucket a text is first compared with the bucket's lowest node and with
+its ``NEAREST`` successors in node order, in sub-buckets of about ``PART``
+nodes, and the links found are contracted.  In buckets of more nodes that are
+not of one class by then, all texts of different classes are compared, block
+by block (``BLOCK`` nodes), as products of set matrices; a block pair gives
+only the links that join classes.  So no candidate is left out.
 
 Defined results
     Words are split at white space and lower-cased (A-Z).  A text of 1 to 4
@@ -29,7 +31,9 @@ Scale
     What is shuffled is 16 bytes per distinct text and band, the texts of
     candidates once, and the candidate pairs.  Buckets are counted map-side
     and never gathered: the join with a bucket's lowest node can be split, and
-    windows run over sub-buckets of bounded expected size.
+    windows run over sub-buckets of bounded expected size.  Only a bucket that
+    stays in several classes is compared as a whole: its nodes' shingle sets go
+    to (nodes / BLOCK) block pairs each, no pairs of rows are made.
 """
 
 from __future__ import annotations
@@ -37,16 +41,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import _text
 from ._graph import components
-from ._native import cut
+from ._native import columns, cut
 
 K, BANDS = 96, 24
 SHINGLE, SIMILARITY = 5, 0.8
-NEAREST, PART = 4, 1024
+NEAREST, PART, BLOCK = 4, 1024, 512
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -168,7 +173,84 @@ def _in_buckets(members: DataFrame) -> DataFrame:
     whole = members.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min(F.struct("node", "class")).alias("lowest"), F.min("class").alias("c0"), F.max("class").alias("c1")
     )
-    return members.join(whole.where("c0 != c1").drop("c0", "c1"), "bucket")
+    # cut, so that both sides of the join are exchanges and a hot bucket can be split
+    return members.join(cut(whole.where("c0 != c1").drop("c0", "c1")), "bucket")
+
+
+def _sketches(texts: DataFrame, n: int) -> DataFrame:
+    """(node, shingles): the sorted set of 32-bit shingle hashes."""
+
+    def run(batches):
+        for batch in _text.slices(batches, "text"):
+            s, soff, _ = _sets(*_text.raw(batch.column(1)), n)
+            own = [np.unique((s[a:b] >> np.uint64(32)).astype(np.uint32)).view(np.int32) for a, b in zip(soff[:-1], soff[1:])]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<int>")
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of 0-1 matrices over the elements that two sets share."""
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    keep = count[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, [a, a + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[row[i:j], column[i:j] - a] = 1
+        out += m @ m.T
+    return out
+
+
+def _joining(similarity: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Links between classes of one block pair: a spanning forest of them."""
+        sets, node, label, side = list(group["shingles"]), group["node"].to_numpy(), group["class"].to_numpy(), group["side"].to_numpy()
+        size = np.array([len(x) for x in sets], np.float32)
+        both = overlaps(sets)
+        close = both >= (similarity - 0.005) * (size[:, None] + size[None, :] - both)
+        close &= label[:, None] != label[None, :]
+        if (side != side[0]).any():
+            close &= side[:, None] != side[None, :]
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        found = []
+        for a, b in zip(*np.nonzero(np.triu(close, 1))):
+            x, y = root(label[a]), root(label[b])
+            if x != y:
+                # 32-bit hashes are nearly exact; the sets themselves decide near the bound
+                sure = both[a, b] >= (similarity + 0.005) * (size[a] + size[b] - both[a, b])
+                if sure:
+                    parent[max(x, y)] = min(x, y)
+                found.append((min(node[a], node[b]), max(node[a], node[b])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _all_candidates(buckets: DataFrame, texts: DataFrame, similarity: float, n: int) -> DataFrame:
+    """Likely links between classes, of all pairs of nodes in buckets that were not compared whole."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
+    dealt = (
+        buckets.where(F.col("n") > NEAREST + 1)
+        .select("bucket", "node", "class", own.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("bucket", "node", "class", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    )
+    # in a pair of two blocks each node comes once, from its own side
+    return dealt.join(_sketches(texts, n), "node").groupBy("bucket", "i", "j").applyInPandas(_joining(similarity), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, n: int = SHINGLE, counted: bool = False) -> DataFrame:
@@ -178,7 +260,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     members = nodes.select("node", F.explode("bands").alias("bucket"), F.col("node").alias("class"))
     buckets = cut(_in_buckets(members))
     wanted = buckets.select("node").distinct()
-    named = rows.join(wanted, "node").groupBy("node").agg(F.min("key").alias("key"))
+    named = rows.groupBy("node").agg(F.min("key").alias("key")).join(wanted, "node")  # summed before it meets a hot node
 
     def again(batches):  # an id may stand on several texts
         for batch in _text.slices(batches, "text"):
@@ -194,13 +276,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     )
     edges = cut(_confirm(_candidates(buckets), texts, similarity, n))
     found = components(edges)
-    merged = buckets.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("class"))
-    more = _confirm(_candidates(_in_buckets(merged)), texts, similarity, n)
+    merged = buckets.where(F.col("n") > NEAREST + 1).select("bucket", "node").join(found, "node", "left").select(
+        "bucket", "node", F.coalesce("component", "node").alias("class")
+    )
+    more = _confirm(_all_candidates(_in_buckets(merged), texts, similarity, n), texts, similarity, n)
     found = components(edges.unionAll(more))
     placed = rows.select("key", "node", F.size("bands").alias("some")).join(found, "node", "left").select(
         "key", "node", "some", F.coalesce("component", "node").alias("component")
     )
-    lowest = placed.where("some > 0").groupBy("component").agg(F.min("key").alias("class_id"))
+    lowest = cut(placed.where("some > 0").groupBy("component").agg(F.min("key").alias("class_id")))
     return (
         placed.where("some > 0").join(lowest, "component").select("key", "class_id", "node")
         .unionAll(placed.where("some = 0").select("key", F.col("key").alias("class_id"), "node"))
@@ -217,4 +301,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     losers = found.groupBy(key).agg(F.min("class_id").alias("__class")).where(F.col(key) != F.col("__class")).select(key)
     left = docs.join(losers, key, "left_anti")
     named = left.where(F.col(key).isNotNull()).dropDuplicates([key])
-    return named.unionAll(left.where(F.col(key).isNull())).select(*docs.columns)
+    return named.unionAll(left.where(F.col(key).isNull())).select(*columns(docs))
