@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._native import ascii_lower, let
+from ._native import ascii_lower, cut, let
 
 RULE_SCHEMA = "host string, path string, verdict string"
 
@@ -93,7 +93,7 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
         F.concat("r_host", "r_path").alias("rule"),
         F.col("r_verdict").alias("verdict"),
     )
-    best = (
+    best = cut(  # so that both sides of the last join are exchanges and a hot URL can be split
         expressions.join(rules, F.substring("digest", 1, 8) == F.col("r_short"))
         # the digest is of the joined text: host and path confirm where one ends
         .where((F.col("digest") == F.col("r_digest")) & (F.col("suffix") == F.col("r_host")) & (F.col("prefix") == F.col("r_path")))
