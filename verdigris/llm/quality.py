@@ -22,10 +22,10 @@ Defined results
     Columns of the input are untouched, whatever their names.
 
 Scale
-    A text is read once, in place: no shuffle on the main path.  Calibration
-    reads it once more for labelled rows; what it shuffles is one row of four
-    small numbers per labelled document, then counts per (stratum, signal,
-    bin).  At most ``MAX_STRATA`` strata have cutoffs of their own (the
+    Texts are measured in place: no shuffle on the main path.  ``judge``
+    checkpoints the counts and reads each text once, ``keep`` reads it twice.
+    Calibration shuffles one row of four small numbers per labelled document,
+    then counts per (stratum, signal, bin).  At most ``MAX_STRATA`` strata have cutoffs of their own (the
     largest, the others are pooled), so the table that reaches the driver has
     at most ``(MAX_STRATA + 1) * 4`` rows.
 """
@@ -36,7 +36,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._native import columns, let, words
+from ._native import columns, cut, let, words
 
 #: Cutoffs tried for every signal.
 GRID = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -117,11 +117,10 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * F.lit(p), F.lit(1.0)).when(k < 1, F.exp(first)).otherwise(steps)
 
 
-def calibrate(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", risk: float = 0.02, delta: float = 0.05) -> list[tuple[str, str, float]]:
-    """Certified cutoffs as (stratum, signal, cutoff); at most MAX_STRATA + 1 strata."""
+def calibrate(rows: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", label: str = "quality", risk: float = 0.02, delta: float = 0.05) -> list[tuple[str, str, float]]:
+    """Certified cutoffs of measured rows, as (stratum, signal, cutoff); at most MAX_STRATA + 1 strata."""
     labels = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("good"))
-    own = docs.select(F.col(key).alias("k"), F.coalesce(F.col(stratum), F.lit(POOLED)).alias("stratum"), F.col(text).alias("t"))
-    m = measured(own, "t")
+    m = rows.select(F.col(key).alias("k"), F.coalesce(F.col(stratum), F.lit(POOLED)).alias("stratum"), "__quality")
     cutoffs_below = lambda value: F.size(F.filter(F.array(*map(F.lit, GRID)), lambda g: g < value))
     binned = F.array(*[F.struct(F.lit(name).alias("signal"), cutoffs_below(value).alias("bin")) for name, value in signals().items()])
     tested = (
@@ -171,11 +170,15 @@ def verdict(cutoffs: list[tuple[str, str, float]], stratum: str = "lang", m: str
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **how) -> DataFrame:
-    """The documents with the counts in ``__quality`` and the verdict in ``__kept``."""
-    cutoffs = calibrate(docs, labels, key, text, stratum, **how)
-    return measured(docs, text).withColumn("__kept", verdict(cutoffs, stratum))
+    """The documents without their texts, with the counts in ``__quality`` and the verdict in ``__kept``.
 
+    Texts are measured once; the counts are checkpointed.
+    """
+    rows = cut(measured(docs, text).select(*columns(docs, (text,)), "__quality"))
+    return rows.withColumn("__kept", verdict(calibrate(rows, labels, key, stratum, **how), stratum))
 
-def keep(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+
+def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **how) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return judge(docs, labels, **how).where("__kept").select(*columns(docs))
+    cutoffs = calibrate(measured(docs.select(key, stratum, text), text), labels, key, stratum, **how)
+    return measured(docs, text).where(verdict(cutoffs, stratum)).select(*columns(docs))
