@@ -48,8 +48,8 @@ tests AS (
   SELECT stratum, j, cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND sig[j] > cutoff) AS k, count(*) FILTER (good = 0 AND sig[j] > cutoff) AS caught
   FROM p, g, range(1, 5) AS o(j) GROUP BY ALL),
 cert AS (
-  SELECT stratum, j, max({'caught': caught, 'cutoff': cutoff}).cutoff AS cutoff FROM tests
-  WHERE caught > 0 AND n > 0 AND k < n * 0.005 AND
+  SELECT stratum, j, max({'gain': caught - 20 * k, 'cutoff': cutoff}).cutoff AS cutoff FROM tests
+  WHERE caught > 20 * k AND n > 0 AND k < n * 0.005 AND
     list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005) + (n - i) * ln(0.995))))
       <= 0.05 / ((SELECT count(DISTINCT stratum) FROM p) * 4 * 12)
   GROUP BY ALL),

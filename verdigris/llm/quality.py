@@ -10,8 +10,8 @@ the good texts beyond the cutoff.  A cutoff is certified if that is at most
 Bonferroni).  So, with probability ``1 - delta``, no certified cutoff of any
 stratum falsely rejects more than ``alpha`` of its good texts, and all signals
 together at most ``risk = signals * alpha``.  Of the certified cutoffs the one
-that rejects the most labelled bad texts is taken, the highest at a tie; none
-is taken if it rejects no bad text.
+of the most gain is taken, the highest at a tie: the labelled bad texts that
+it rejects less ``COST`` times the good ones.  None is taken without a gain.
 
 Defined results
     null or empty text: no words, all counts 0, rejected by the base rule.
@@ -42,6 +42,8 @@ from ._native import columns, cut, let, words
 GRID = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 SIGNALS = ("symbols", "repeats", "lines", "shouting")
 MAX_STRATA = 32
+#: Bad texts that must be rejected to outweigh one good text.
+COST = 20
 POOLED = "*"
 
 
@@ -151,9 +153,10 @@ def calibrate(rows: DataFrame, labels: DataFrame, key: str = "doc_id", stratum:
     certified = (
         tests.crossJoin(F.broadcast(n_strata))  # one row
         .withColumn("p", binomial_tail(F.col("n"), F.col("k"), alpha))
-        .where((F.col("caught") > 0) & (F.col("n") > 0) & (F.col("p") <= delta / (F.col("strata") * len(SIGNALS) * len(GRID))))
+        .withColumn("gain", F.col("caught") - COST * F.col("k"))
+        .where((F.col("gain") > 0) & (F.col("n") > 0) & (F.col("p") <= delta / (F.col("strata") * len(SIGNALS) * len(GRID))))
         .groupBy("stratum", "signal")
-        .agg(F.max(F.struct("caught", "cutoff"))["cutoff"].alias("cutoff"))
+        .agg(F.max(F.struct("gain", "cutoff"))["cutoff"].alias("cutoff"))
     )
     return [tuple(r) for r in certified.collect()]
 
