@@ -74,8 +74,9 @@ def features(h: np.ndarray, toff: np.ndarray) -> np.ndarray:
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
 
 
 class Model:
@@ -111,12 +112,13 @@ class Model:
         for logs, hit, table, rows in ((one, k, self.w1, f), (two, cell % INNER, self.w2, f * CLASSES + k[:, None])):
             g = np.exp(logs)
             g[i, hit] -= 1
-            width = table.shape[1]
             for j in range(3):
-                used, at, n = np.unique(rows[:, j], return_inverse=True, return_counts=True)
-                spots = (at[:, None] * width + np.arange(width)).ravel()
-                total = np.bincount(spots, g.ravel(), len(used) * width).reshape(-1, width)
-                table[used] -= (rate * total / (n + damp)[:, None]).astype(np.float32)
+                order = np.argsort(rows[:, j].astype(np.uint16), kind="stable")  # a radix sort: all rows are below 2**16
+                used = rows[order, j]
+                first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
+                n = np.diff(np.append(first, len(used)))
+                total = np.add.reduceat(g[order], first, axis=0)
+                table[used[first]] -= (rate * total / (n + damp)[:, None]).astype(np.float32)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w1.ravel(), self.w2.ravel()])
