@@ -62,6 +62,15 @@ def test_near_duplicates_of_edges(edge_docs):
     assert kept.count(5) == 1 and 6 not in kept and kept.count(None) == 2 and {1, 2, 3, 4, 7} <= set(kept)
 
 
+def test_null_ids_take_part(spark):
+    from .conftest import prose
+
+    base = prose(200, 8)
+    rows = [(None, base + " end"), (3, base), (4, base + " tail of it"), (None, prose(200, 9)), (None, prose(200, 9) + " x")]
+    out = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in out) == [("3", "3"), ("4", "3"), ("None", "3"), ("None", "None"), ("None", "None")]
+
+
 def test_no_labels_reject_nothing_more(spark, edge_docs, labels):
     out = quality.judge(edge_docs, labels.limit(0))
     assert {r.doc_id for r in out.where("__kept").select("doc_id").collect()} == {5, 6, 7, 8, None}

@@ -115,7 +115,7 @@ def _bands(table: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, key: str, text: str, n: int = SHINGLE, counted: bool = False) -> DataFrame:
-    """(key, node, bands): the hash of a row's words and its band values; no bands without words."""
+    """(key, h, node, bands): hashes of a row's text and of its words, and its band values; no bands without words."""
 
     def sign(batches):
         for batch in _text.slices(batches, text):
@@ -124,10 +124,15 @@ def signed(docs: DataFrame, key: str, text: str, n: int = SHINGLE, counted: bool
             some = np.diff(soff) > 0
             offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[some].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), bands], ["key", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node.view(np.int64)), bands], ["key", "h", "node", "bands"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(sign, f"key {kind}, node long, bands array<long>")
+    rows = docs.select(F.col(key), F.col(text), _hash(text))
+    return rows.mapInArrow(sign, f"key {kind}, h long, node long, bands array<long>")
+
+
+def _hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, similarity: float, n: int) -> DataFrame:
@@ -260,19 +265,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     members = nodes.select("node", F.explode("bands").alias("bucket"), F.col("node").alias("class"))
     buckets = cut(_in_buckets(members))
     wanted = buckets.select("node").distinct()
-    named = rows.groupBy("node").agg(F.min("key").alias("key")).join(wanted, "node")  # summed before it meets a hot node
-
-    def again(batches):  # an id may stand on several texts
-        for batch in _text.slices(batches, "text"):
-            node = _sets(*_text.raw(batch.column(1)), n)[2].view(np.int64)
-            same = np.asarray(batch.column(0)) == node
-            yield batch.filter(pa.array(same))
-
+    # One row stands for a node, known by its id and its text, as an id may be null or stand on several texts.
+    first = rows.groupBy("node").agg(F.min(F.struct("key", "h")).alias("at")).join(wanted, "node").select("node", F.col("at.key").alias("at"), F.col("at.h").alias("at_h"))
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _hash(text))
     texts = cut(
-        docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        .join(named, "key")
-        .select("node", "text")
-        .mapInArrow(again, "node long, text string")
+        own.join(first, F.col("key").eqNullSafe(F.col("at")) & (F.col("h") == F.col("at_h"))).select("node", "text").dropDuplicates(["node"])
     )
     edges = cut(_confirm(_candidates(buckets), texts, similarity, n))
     found = components(edges)
