@@ -65,15 +65,17 @@ def entity_hits(entities: DataFrame, scan: DataFrame) -> DataFrame:
     )
 
 
-def applicable(rules: DataFrame, affects: DataFrame, scan: DataFrame, package_bridge: bool = False, forced: DataFrame | None = None) -> DataFrame:
+def applicable(rules: DataFrame, affects: DataFrame, scan: DataFrame, package_bridge: bool = False, forced: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
     """Rules with affected_count, match_count, severity_rank and applicability.
 
     A dependency also matches by its group, if the rule affects no class; with
     ``package_bridge`` all of a rule's dependencies match where a scanned class
     lies in the package of one of the rule's classes.  ``forced``: names that
-    make a rule matched.  Edges are aggregated per rule before the join.
+    make a rule matched.  ``entities``: a table of all (kind, name), which spares
+    reading the edges for them.  Edges are aggregated per rule before the join.
     """
-    edges = affects.join(rules.select("rule_id"), "rule_id", "left_semi").join(entity_hits(affects, scan), ["kind", "name"])
+    hits = entity_hits(affects if entities is None else entities, scan)
+    edges = affects.join(rules.select("rule_id"), "rule_id", "left_semi").join(hits, ["kind", "name"])
     if forced is not None:
         edges = edges.join(forced.select("name", F.lit(1).alias("forced")), "name", "left")
     else:

@@ -30,7 +30,7 @@ def _pending(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     g = Graph(spark, sf_dir)
     path = versions.in_range(g.rule.where(F.col("framework") == FRAMEWORK), LOW, HIGH)
     forced = g.part_entity.where(F.col("p_partkey") % 50 == 1).select("name").distinct()
-    rules = matching.applicable(path, g.affects, matching.normalise(g.scan_names), package_bridge=True, forced=forced)
+    rules = matching.applicable(path, g.affects, matching.normalise(g.scan_names), package_bridge=True, forced=forced, entities=g.part_entity)
     steps = g.step.join(path.select("rule_id"), "rule_id", "left_semi")
     keys = _outcomes(g).where(F.col("context_id") == CONTEXT).select("step_key")
     done = steps.withColumn("step_key", (F.col("step_id") % 100).cast("int")).join(keys, "step_key", "left_semi")
@@ -112,7 +112,7 @@ def gap_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags raised by the checks on a capped and an uncertain report."""
     g = Graph(spark, sf_dir)
     path = versions.in_range(g.rule.where(F.col("framework") == FRAMEWORK), LOW, HIGH)
-    rules = matching.applicable(path, g.affects, matching.normalise(g.scan_names))
+    rules = matching.applicable(path, g.affects, matching.normalise(g.scan_names), entities=g.part_entity)
     truncated = rules.agg(F.count_if(F.col("applicability") != "excluded").alias("n")).where("n > 50").select(F.lit("truncation").alias("type"), F.lit(None).cast("long").alias("reference"))
     unsure = rules.where("applicability = 'uncertain'").select(F.lit("applicability_uncertain").alias("type"), F.col("rule_id").alias("reference"))
     stepless = rules.where("applicability <> 'excluded'").join(g.step.select("rule_id"), "rule_id", "left_anti").select(F.lit("stepless_rule").alias("type"), F.col("rule_id").alias("reference"))

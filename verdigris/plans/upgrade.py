@@ -17,7 +17,7 @@ def _path(g: Graph) -> DataFrame:
 
 
 def _applied(g: Graph, **how) -> DataFrame:
-    return matching.applicable(_path(g), g.affects, matching.normalise(g.scan_names), **how)
+    return matching.applicable(_path(g), g.affects, matching.normalise(g.scan_names), entities=g.part_entity, **how)
 
 
 def upgrade_path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
