@@ -285,3 +285,14 @@ def test_words_and_shingles():
     assert [bytes(buf[a:b]) for a, b in zip(starts, ends)] == [b"A", b"b", b"c", b"d", b"e"] and woff.tolist() == [0, 2, 2, 2, 4, 5]
     _, soff = _text.shingles(_text.word_hashes(buf, starts, ends), woff, 5)
     assert np.diff(soff).tolist() == [1, 0, 0, 1, 1]
+
+
+def test_pii_ip_parts_of_zeros(spark):
+    rng = random.Random(6)
+    part = lambda: rng.choice(["0", "00", "000", "0000", "010", "0255", "0256", "10", "199", "255", "256", "1"])
+    made = ["10.0.0.1", "127.0.0.1 8.8.8.0", "192.168.0.1", "0.00.000.0", "0" * 4000 + ".0.0.0"]
+    made += ["x ".join(".".join(part() for _ in range(4)) for _ in range(3)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for r in pii.detect(docs).select("text", pii.names(F.filter(pii.SPANS, lambda s: s["kind"] < 4)).alias("n")).collect():
+        assert r.n == ",".join(base_pii(r.text)), r.text[:80]
+    assert all(base_pii(t)[0].startswith("ip:0:") for t in made[:5])

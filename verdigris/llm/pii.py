@@ -45,7 +45,7 @@ KINDS = ("email", "ip", "card", "phone")
 REACH = 64
 SPANS = "__spans"
 
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _NON_LETTERS = r"[^\p{L}]+"
 
 
