@@ -296,3 +296,15 @@ def test_pii_ip_parts_of_zeros(spark):
     for r in pii.detect(docs).select("text", pii.names(F.filter(pii.SPANS, lambda s: s["kind"] < 4)).alias("n")).collect():
         assert r.n == ",".join(base_pii(r.text)), r.text[:80]
     assert all(base_pii(t)[0].startswith("ip:0:") for t in made[:5])
+
+
+def test_pii_terms_are_found_away_from_mentions(spark):
+    secret = "reach Zyxwvut at zy@ex.org now"
+    rows = [(i, f"{prose(40, i)} {secret} {prose(40, 100 + i)} zyxwvut" if i == 0 else f"{prose(40, i)} {secret} {prose(40, 100 + i)}") for i in range(12)]
+    rows += [(50 + i, prose(80, 200 + i)) for i in range(40)] + [(None, "once more ZYXWVUT,\nzyxwvutx Zyxwvut"), (90, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert len(out) == len(rows) and out[90] is None
+    assert out[None] == "once more [TERM],\nzyxwvutx [TERM]"
+    assert out[0].endswith(" [TERM]") and "Zyxwvut" not in "".join(out[i] for i in range(12))
+    assert all(out[50 + i] == rows[12 + i][1] for i in range(40))

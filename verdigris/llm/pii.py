@@ -11,8 +11,8 @@ occurrences of term ``t`` in the corpus, ``n(e)`` the mentions of entity ``e``,
 of the corpus, ``PMI(t; e) = log(n(t, e) N / (n(t) n(e)))`` is the information
 that ``t`` gives about ``e`` and ``IC(e) = log(N / n(e))`` all there is to
 know.  A term whose share ``PMI / IC`` exceeds ``threshold``, with at least
-``support`` contexts, is a span of kind ``term`` wherever it stands in a
-context of ``e``.  ``sanitise`` generalises every span to its kind.
+``support`` contexts, is a span of kind ``term`` wherever it stands, near a
+mention or not, in any text.  ``sanitise`` generalises every span to its kind.
 
 Defined results
     null or empty text: no spans.  Offsets are code points, end exclusive.
@@ -23,17 +23,20 @@ Defined results
     untouched; internal columns have names with ``__``.
 
 Scale
-    Base spans are found in place.  Only rows with a mention are shuffled, as
-    small (entity, term) rows, and the corpus as word counts that are summed
-    map-side; word and entity counts meet in equi-joins that adaptive
-    execution can split.  Nothing is broadcast by hint or collected.
+    Mentions are shuffled as small (entity, term) rows and the corpus as word
+    counts that are summed map-side; word and entity counts meet in equi-joins
+    that adaptive execution can split.  The words of every row meet the
+    disclosing terms in one more, after a sieve of one bit per hash of a term
+    (1 MB at most; with more terms it only lets more words through), and the
+    rows their terms in the last, so each text is shuffled once.  Only the
+    sieve and the total, one row each, are broadcast by hint.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._native import columns, let
+from ._native import columns, cut, let
 
 #: The patterns of the base kinds.  Possessive forms and
 #: look-behinds match the same spans as the plain ones, in linear time.
@@ -151,24 +154,23 @@ def _context(text: Column, start: Column, end: Column) -> Column:
     )
 
 
+def _vocabulary(body: Column) -> Column:
+    """Lower-cased runs of letters of a text, those of 4 and more."""
+    return F.filter(F.split(F.lower(body), _NON_LETTERS), lambda w: F.length(w) >= 4)
+
+
 def disclosing(docs: DataFrame, key: str, text: str = "text", threshold: float = 0.9, support: int = 3) -> DataFrame:
-    """(``__key``, ``__hash``, ``__terms``): the term spans of each row that has any."""
+    """(``__key``, ``__hash``, ``__found``): the disclosing terms of each row that has any of them, near a mention or not."""
     body = F.coalesce(F.col(text), F.lit(""))
-    corpus = (
-        docs.select(F.explode(F.split(F.lower(body), _NON_LETTERS)).alias("term"))
-        .where(F.length("term") >= 4)
-        .groupBy("term")
-        .agg(F.count("*").alias("n_t"))
-    )
+    corpus = docs.select(F.explode(_vocabulary(body)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = corpus.agg(F.sum("n_t").cast("double").alias("N"))
     mentions = (
-        detect(docs.select(F.col(key).alias("__key"), body.alias("__text"), F.xxhash64(body).alias("__hash")), "__text")
+        detect(docs.select(body.alias("__text")), "__text")
         .where(F.size(SPANS) > 0)
-        .select("__key", "__hash", "__text", F.explode(SPANS).alias("m"))
-        .select("__key", "__hash", F.concat_ws(":", "m.kind", F.lower("m.value")).alias("entity"), _context(F.col("__text"), F.col("m.start"), F.col("m.end")).alias("terms"))
+        .select("__text", F.explode(SPANS).alias("m"))
+        .select(F.concat_ws(":", "m.kind", F.lower("m.value")).alias("entity"), _context(F.col("__text"), F.col("m.start"), F.col("m.end")).alias("terms"))
     )
     n_e = mentions.groupBy("entity").agg(F.count("*").alias("n_e"))
-    places = mentions.select("__key", "__hash", "entity", F.explode("terms").alias("t")).select("__key", "__hash", "entity", "t.*")
     n_te = (
         mentions.select("entity", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
         .groupBy("entity", "term")
@@ -181,27 +183,59 @@ def disclosing(docs: DataFrame, key: str, text: str = "text", threshold: float =
         .join(corpus, "term")
         .crossJoin(F.broadcast(total))  # one row
         .where((F.col("N") > F.col("n_e")) & (share > threshold))
-        .select("entity", "term")
+        .select("term")
+        .distinct()
     )
+    strong = cut(strong)
+    sieve, bits = _sieve(strong)
+    likely = lambda w: _in_sieve(w, bits)
     return (
-        places.join(strong, ["entity", "term"])
+        docs.select(F.col(key).alias("__key"), F.xxhash64(body).alias("__hash"), body.alias("__text"))
+        .crossJoin(F.broadcast(sieve))  # one row
+        .select("__key", "__hash", F.explode(F.array_distinct(F.filter(_vocabulary(F.col("__text")), likely))).alias("term"))
+        .join(strong, "term")
         .groupBy("__key", "__hash")
-        .agg(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end", F.col("term").alias("value"))).alias("__terms"))
+        .agg(F.collect_set("term").alias("__found"))
     )
 
 
-def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows with all their spans in ``__spans``, ordered by kind and start.
+def _sieve(terms: DataFrame) -> tuple[DataFrame, int]:
+    """One row, ``__sieve``: the bits of the terms' hashes in an array of longs; and the number of bits."""
+    longs = 1 << min(17, max(10, (terms.count() // 4).bit_length()))
+    set_ = (
+        terms.select(F.pmod(F.xxhash64("term"), F.lit(64 * longs).cast("long")).alias("h"))
+        .groupBy(F.shiftright("h", 6).alias("at"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits"))
+    )
+    filled = terms.sparkSession.range(longs).join(set_, F.col("id") == F.col("at"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    ordered = filled.agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("all"))
+    return ordered.select(F.transform("all", lambda x: x["bits"]).alias("__sieve")), 64 * longs
 
-    Rows without a base span pass in place; the others meet their term spans.
-    """
-    hashed = detect(docs, text).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    terms = disclosing(docs, key, text, **how)
-    met = hashed.where(F.size(SPANS) > 0).join(
-        terms, F.col(key).eqNullSafe(F.col("__key")) & (hashed["__hash"] == terms["__hash"]), "left"
+
+def _in_sieve(word: Column, bits: int) -> Column:
+    return let(
+        F.pmod(F.xxhash64(word), F.lit(bits).cast("long")),
+        lambda h: F.call_function("shiftright", F.get("__sieve", F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1,
     )
-    spans = F.sort_array(F.concat(F.col(SPANS), F.coalesce("__terms", F.expr("array()").cast("array<struct<kind:int,start:int,end:int,value:string>>"))))
-    return hashed.where(F.size(SPANS) == 0).select(*columns(docs), SPANS).unionAll(met.select(*columns(docs), spans.alias(SPANS)))
+
+
+def _term_spans(text: Column, found: Column) -> Column:
+    """Every place of the terms in a text, as spans."""
+    return F.transform(
+        F.filter(located(text, r"\p{L}{4,}"), lambda s: F.array_contains(found, F.lower(s["value"]))),
+        lambda s: F.struct(F.lit(len(KINDS)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")),
+    )
+
+
+def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows with all their spans in ``__spans``, ordered by kind and start."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    hashed = docs.withColumn("__hash", F.xxhash64(body))
+    terms = disclosing(docs, key, text, **how)
+    met = hashed.join(terms, F.col(key).eqNullSafe(F.col("__key")) & (hashed["__hash"] == terms["__hash"]), "left").select(*columns(docs), "__found")
+    none = F.expr("array()").cast("array<struct<kind:int,start:int,end:int,value:string>>")
+    spans = F.when(F.col("__found").isNull(), none).otherwise(let(body, lambda t: _term_spans(t, F.col("__found"))))
+    return detect(met, text).select(*columns(docs), F.sort_array(F.concat(F.col(SPANS), spans)).alias(SPANS))
 
 
 def names(spans: Column) -> Column:
