@@ -308,3 +308,17 @@ def test_pii_terms_are_found_away_from_mentions(spark):
     assert out[None] == "once more [TERM],\nzyxwvutx [TERM]"
     assert out[0].endswith(" [TERM]") and "Zyxwvut" not in "".join(out[i] for i in range(12))
     assert all(out[50 + i] == rows[12 + i][1] for i in range(40))
+
+
+def test_one_document_of_a_source_is_cut(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng.randrange(1, 60), i), f"s{i % 40}") for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs, shard_rows=20).collect()
+    cut, taken = Counter(), Counter()
+    for r in out:
+        cut[r.source] += 0 < r["__part"] < r["__size"]
+        taken[r.source] += r["__taken"]
+    assert len(out) == len(rows) and max(cut.values()) <= 1
+    assert all(abs(taken[r.source] - r["__target"]) <= 1 for r in out)
+    assert {r["__whole"] for r in out} == {0, 1}

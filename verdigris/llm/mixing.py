@@ -10,8 +10,12 @@ node one multivariate-hypergeometric draw, seeded by source and node, deals
 the node's quota to its at most ``FANOUT`` children by their sizes, so the
 quotas of the shards add up exactly.  In a shard the documents of a source
 stand in the order of a hash, a random permutation, and are taken in that
-order until the quota is met, the last in part.  ``__place`` orders a shard
-for its local shuffle.
+order until the quota is met.  The one document where a shard's quota ends is
+taken whole or left out: of these, in the order of a hash of the shard, a
+source takes as many as its quotas held of them together, and only the last
+of the source is taken in part.  So a shard misses its quota by less than a
+document and a source its target not at all.  ``__place`` orders a shard for
+its local shuffle.
 
 Defined results
     Size: words ``[^\\x20\\x09-\\x0D]+``; 0 for null or empty texts, of which
@@ -24,7 +28,8 @@ Defined results
 Scale
     A hot source is dealt to all shards; a group of the window is one source
     in one shard, about ``SHARD`` documents at most.  The tree's groups have
-    at most ``FANOUT`` rows.  The table of sources (one row each) is ordered
+    at most ``FANOUT`` rows; the ends of quotas, one per source and shard, are
+    ordered in groups of about the square root of the shards.  The table of sources (one row each) is ordered
     in one task; it is the only step that is not dealt out.
 """
 
@@ -118,6 +123,26 @@ def quotas(blocks: DataFrame, rest: DataFrame, shards: int) -> DataFrame:
     return given
 
 
+def settle(ends: DataFrame, shards: int) -> DataFrame:
+    """(s, shard, give): the words taken of each document where a quota ends (its size z, quota p).
+
+    Along a hash, whole ones as long as the source's sum of ``p`` lasts.  First
+    groups of shards are given their words, then the shards of each group.
+    """
+    width = max(1, math.isqrt(shards))
+    none = F.lit(0).cast("long")
+    hashed = ends.withColumn("u", F.xxhash64(F.lit(3), "s", "shard")).withColumn("g", F.pmod("u", F.lit(width).cast("long")))
+
+    def give(of: Window, order: list[str], left) -> Column:
+        before = F.coalesce(F.sum("z").over(of.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), none)
+        return F.least(F.col("z"), F.greatest(none, left - before))
+
+    source = Window.partitionBy("s")
+    groups = hashed.groupBy("s", "g").agg(F.sum("z").alias("z"), F.sum("p").alias("p"))
+    groups = groups.select("s", "g", give(source, ["g"], F.sum("p").over(source)).alias("left"))
+    return hashed.join(groups, ["s", "g"]).select("s", "shard", give(Window.partitionBy("s", "g"), ["u", "shard"], F.col("left")).alias("give"))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, shard_rows: int = SHARD) -> DataFrame:
     """The documents with what the mix takes of them, in columns with ``__``.
 
@@ -132,7 +157,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         size_of(F.col(text)).alias("__size"),
         F.xxhash64(F.lit(seed), F.col(key), body).alias("__h"),
     ).withColumn("__shard", F.pmod(F.xxhash64(F.lit(1), "__h"), F.lit(shards).cast("long")))
-    blocks = cut(known.groupBy(F.col("__s").alias("s"), F.col("__shard").alias("shard")).agg(F.sum("__size").alias("size")))
+    small = cut(known.select("__s", "__shard", "__h", "__size"))
+    blocks = cut(small.groupBy(F.col("__s").alias("s"), F.col("__shard").alias("shard")).agg(F.sum("__size").alias("size")))
     plan = cut(targets(blocks.groupBy("s").agg(F.sum("size").alias("source_size"))))
     shares = cut(
         quotas(blocks, plan, shards)
@@ -144,12 +170,17 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     )
     order = Window.partitionBy("__s", "__shard").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
     part = F.least(F.col("__size"), F.greatest(F.lit(0).cast("long"), F.col("__quota") - F.coalesce(F.sum("__size").over(order), F.lit(0).cast("long"))))
+    at_end = (F.col("__part") > 0) & (F.col("__part") < F.col("__size"))
+    ends = small.join(shares.select("__s", "__shard", "__quota"), ["__s", "__shard"]).withColumn("__part", part).where(at_end)
+    gives = settle(ends.select(F.col("__s").alias("s"), F.col("__shard").alias("shard"), F.col("__size").alias("z"), F.col("__part").alias("p")), shards)
+    shares = cut(shares.join(gives.select(F.col("s").alias("__s"), F.col("shard").alias("__shard"), F.col("give").alias("__give")), ["__s", "__shard"], "left"))
     return (
         known.join(shares, ["__s", "__shard"])
         .withColumn("__part", part)
+        .withColumn("__part", F.when(at_end, F.col("__give")).otherwise(F.col("__part")))
         .withColumn("__taken", F.col("__whole") * F.col("__size") + F.col("__part"))
         .withColumn("__place", F.xxhash64(F.lit(2), "__h"))
-        .drop("__s", "__h", "__quota")
+        .drop("__s", "__h", "__quota", "__give")
     )
 
 
