@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.llm import _text, decontaminate, lm_score, mixing, near_dedup, pii, quality, queries, secret_scan, substring_dedup
+from verdigris.llm import _text, decontaminate, language_id, lm_score, mixing, near_dedup, pii, quality, queries, secret_scan, substring_dedup
 
 from .conftest import prose
 
@@ -322,3 +322,14 @@ def test_one_document_of_a_source_is_cut(spark):
     assert len(out) == len(rows) and max(cut.values()) <= 1
     assert all(abs(taken[r.source] - r["__target"]) <= 1 for r in out)
     assert {r["__whole"] for r in out} == {0, 1}
+
+
+def test_every_labelled_language_is_fitted(spark):
+    letters = lambda i, n: " ".join("".join(chr(97 + (i * 7 + j * (i % 5 + 1)) % 26) for j in range(5)) + chr(97 + i // 26) * 3 for _ in range(n))
+    rows = [(i, letters(i % 70, 20), f"l{i % 70:02d}", f"h{i % 70}") for i in range(140)] + [(500 + i, letters(i, 20), f"l{i:02d}", None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    languages, model = language_id.fit(docs)
+    assert languages == [f"l{i:02d}" for i in range(70)] and model.shape == (70, language_id.BUCKETS)
+    truth = {r[0]: r[2] for r in rows}
+    found = language_id.identify(docs.select("doc_id", "text", "source"), languages, model, "text", "source").collect()
+    assert all(r.text_lang == truth[r.doc_id] for r in found)

@@ -25,8 +25,8 @@ Scale
     Two readings: the texts where they lie, then rows of a few numbers.  Sums
     per (host, declared) are made map-side; the rows meet them in one
     equi-join that can be split at a hot host.  Models are fitted on at most
-    about ``SAMPLE`` texts of each of the ``LANGUAGES`` most frequent
-    languages (a documented bound), chosen by a hash of the id.
+    about ``SAMPLE`` texts of each labelled language (a documented bound),
+    chosen by a hash of the id and the text; no language is left out.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from . import _text
 from ._native import ascii_lower, columns, cut, let, map_arrow
 
-SAMPLE, LANGUAGES = 4000, 64
+SAMPLE = 4000
 BUCKETS = 1 << 14
 EFFECTIVE, KAPPA = 64, 10.0
 _LETTER = np.full(256, 0x20, np.uint8)
@@ -68,26 +68,27 @@ def trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and their log trigram probabilities, (languages, BUCKETS)."""
     named = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    rows = named.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()
+    rows = named.groupBy(label).count().collect()
     languages = sorted(r[0] for r in rows)
     if not languages:
         return [], np.zeros((0, BUCKETS))
-    share = {r[0]: min(1.0, sample / r[1]) for r in rows}
-    chosen = F.lit(False)
-    for name in languages:
-        chosen = chosen | ((F.col(label) == name) & (F.pmod(F.xxhash64(key, text), F.lit(1 << 20)) < F.lit(int(share[name] * (1 << 20)))))
+    share = F.create_map(*[F.lit(x) for r in rows for x in (r[0], int(min(1.0, sample / r[1]) * (1 << 20)))])
+    chosen = F.pmod(F.xxhash64(key, text), F.lit(1 << 20)) < F.element_at(share, F.col(label))
 
     def count(batches):
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        total = {}
         for batch in _text.slices(batches, "t"):
             k, row = trigrams(*_text.raw(batch.column(1)))
-            which = np.searchsorted(languages, batch.column(0).to_pylist())
-            total += np.bincount(which[row] * BUCKETS + k, minlength=total.size).reshape(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["n"])
-
-    # a bounded sample, so a fixed number of partitions
-    parts = named.where(chosen).select(F.col(label).alias("l"), F.col(text).alias("t")).repartition(8).mapInArrow(count, "n binary").collect()
-    total = sum(np.frombuffer(p.n, np.int64).reshape(len(languages), BUCKETS) for p in parts) + 0.5
+            which = np.searchsorted(languages, batch.column(0).to_pylist())[row]
+            for i in np.unique(which):
+                total[i] = total.get(i, 0) + np.bincount(k[which == i], minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([n.astype(np.int64).tobytes() for n in total.values()], pa.binary())], ["i", "n"])
+
+    # a bounded sample of each language, so a fixed number of partitions
+    parts = named.where(chosen).select(F.col(label).alias("l"), F.col(text).alias("t")).repartition(8).mapInArrow(count, "i long, n binary").collect()
+    total = np.full((len(languages), BUCKETS), 0.5)
+    for p in parts:
+        total[p.i] += np.frombuffer(p.n, np.int64)
     return languages, np.log(total / total.sum(axis=1, keepdims=True))
 
 
