@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.llm import _text, decontaminate, language_id, lm_score, mixing, near_dedup, pii, quality, queries, secret_scan, substring_dedup
+from verdigris.llm import _native, _text, decontaminate, language_id, lm_score, mixing, near_dedup, pii, quality, queries, secret_scan, substring_dedup
 
 from .conftest import prose
 
@@ -168,6 +168,50 @@ def test_draw_is_exact(quota):
     assert out.sum() == quota * 10**9 + 7 * (quota < 1000) and (out <= big).all()
 
 
+@pytest.mark.parametrize("good,bad,n", [(5000, 90_000, 3000), (50, 10**6, 500_000), (3 * 10**7, 4 * 10**7, 10**7), (10**6, 10**6, 10**6), (9, 4, 8), (4, 900, 2)])
+def test_own_draws_are_hypergeometric(monkeypatch, good, bad, n):
+    """Mean, spread and tails of the sampler for large draws, where the library's can be asked as well."""
+    rng = np.random.default_rng(4)
+    want = rng.hypergeometric(good, bad, n, 20_000)
+    monkeypatch.setattr(mixing, "_MOST", 0)
+    got = np.array([mixing.hypergeometric(good, bad, n, rng) for _ in range(6000)])
+    sd = max(want.std(), 0.1)
+    assert abs(got.mean() - n * good / (good + bad)) < 5 * sd / 6000**0.5
+    assert abs(got.std() - sd) < 0.05 * sd + 0.02
+    for q in (1, 10, 50, 90, 99):
+        assert abs(np.percentile(got, q) - np.percentile(want, q)) <= 0.15 * sd + 1
+
+
+def test_small_blocks_beside_a_huge_one():
+    sizes = np.array([1000] * 50 + [10**12])
+    quota = int(sizes.sum()) // 2
+    drawn = np.array([mixing.draw(sizes, quota, seed) for seed in range(120)])
+    assert (drawn.sum(axis=1) == quota).all() and (drawn[:, :50] <= 1000).all()
+    assert abs(drawn[:, :50].mean() - 500) < 1 and abs(drawn[:, :50].std() - 250**0.5) < 0.6
+
+
+def test_a_seed_changes_the_quotas(spark):
+    blocks = spark.createDataFrame([("0a", i, 1000) for i in range(40)], "s string, shard long, size long")
+    rest = spark.createDataFrame([("0a", 20_000)], "s string, rest long")
+    drawn = [sorted(map(tuple, mixing.quotas(blocks, rest, 40, seed).collect())) for seed in (1, 1, 2)]
+    assert drawn[0] == drawn[1] != drawn[2] and all(sum(r[2] for r in d) == 20_000 for d in drawn)
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(12)
+    sizes = {f"0s{i:04d}": rng.choice([0, 1, 5, rng.randrange(10**6), 10**15 if i % 50 == 0 else 3]) for i in range(300)}
+    got = {r.s: r for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "s string, source_size long").repartition(7)).collect()}
+    weights = {s: i % 3 + 1 for i, s in enumerate(sorted(sizes))}
+    left, want, free = sum(sizes.values()), {}, set(sizes)
+    while free:
+        unit = left / sum(weights[s] for s in free)
+        over = {s for s in free if unit * weights[s] > 3 * sizes[s]} or free
+        given = {s: min(3.0 * sizes[s], unit * weights[s]) for s in over}
+        want.update(given)
+        left, free = left - sum(given.values()), free - over
+    assert all(math.isclose(got[s].target, want[s], rel_tol=1e-9, abs_tol=1e-6) for s in sizes)
+
+
 def jaccard_classes(texts):
     sets = {}
     for i, t in texts.items():
@@ -250,12 +294,47 @@ def test_rare_tokens_meet_their_counts(spark, monkeypatch):
         assert math.isclose(r.base_score, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in [*rows[r.doc_id][1].split(), None]), rel_tol=1e-9)
 
 
-def test_blocks_of_the_benchmark_agree(spark, sf_dir, monkeypatch):
-    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    whole = {r.doc_id: (r["__runs"], r["__items"]) for r in decontaminate.find(docs, items).collect()}
-    monkeypatch.setattr(decontaminate, "BLOCK", 2000)
-    assert {r.doc_id: (r["__runs"], r["__items"]) for r in decontaminate.find(docs, items, keep_text=False).collect()} == whole
-    assert any(i for _, i in whole.values())
+def windows_in(docs, items):
+    """Brute force: words, hit runs and items of every text."""
+    alnum = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = lambda t: alnum.findall((t or "").translate(UPPER))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        n = min(8, len(w))
+        for j in range(len(w) - n + 1 if w and i is not None else 0):
+            windows[tuple(w[j : j + n])].add(str(i))
+    out = []
+    for t in docs:
+        w, hit, found = words(t), set(), set()
+        for n in range(1, 9):
+            for j in range(len(w) - n + 1):
+                if tuple(w[j : j + n]) in windows:
+                    found |= windows[tuple(w[j : j + n])]
+                    hit |= set(range(j, j + n))
+        runs = [j for j in sorted(hit) if j - 1 not in hit]
+        ends = [j + 1 for j in sorted(hit) if j + 1 not in hit]
+        out.append((len(w), [x for pair in zip(runs, ends) for x in pair], sorted(found)))
+    return out
+
+
+@pytest.mark.parametrize("bits,small", [(1 << 27, 16 << 20), (1 << 13, 0)])
+def test_benchmark_windows(spark, sf_dir, texts, monkeypatch, bits, small):
+    """With wide sieves and a broadcast, and with crowded ones and shuffled joins; long items, shared windows, short items."""
+    monkeypatch.setattr(decontaminate, "BITS", bits)
+    monkeypatch.setattr(decontaminate, "STEP", 500)
+    monkeypatch.setattr(_native, "SMALL", small)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    long = prose(4000, 21)
+    items += [(9000, long), (9001, items[0][1]), (9001, "Öl über"), (9002, "üb"), (9003, "..."), (None, "zz"), (9004, long[:300])]
+    made = list(texts.values()) + [None, "", long, long[100:260] + " x " + long[100:260], "öl ÖL", "Öl-über UB üb", "..", "zz", prose(20, 3) + " " + items[0][1].upper() + "!"]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r["__n_words"], r["__runs"], r["__items"]) for r in decontaminate.find(docs, frame, keep_text=False).collect()}
+    want = windows_in(made, items)
+    assert [got[i] for i in range(len(made))] == want
+    kept = {r.doc_id for r in decontaminate.clean(docs, frame).select("doc_id").collect()}
+    assert kept == {i for i, w in enumerate(want) if not w[2]}
 
 
 @pytest.mark.parametrize("n,k,p", [(100, 0, 0.01), (1000, 3, 0.01), (5000, 10, 0.005), (50, 20, 0.1)])
@@ -276,6 +355,73 @@ def test_cutoffs_limit_false_rejection(spark):
     assert not any(10_000 + i in kept for i in range(60)) and all(10_060 + i in kept for i in range(20))
 
 
+@pytest.fixture(scope="module")
+def strata():
+    """Documents and labels: certified strata (null, en, s0 ...), labelled ones that cannot be, and an unlabelled one."""
+    clean = [prose(55, i) for i in range(60)]
+    junk = [" ".join(w + "%%#" for w in t.split()) for t in clean]
+    rows, labels = [], []
+
+    def add(lang, n_good, n_bad, n_odd=0, labelled=True):
+        for text, quality_, n in ((clean, 1, n_good), (junk, 0, n_bad), (junk, 1, n_odd)):
+            for i in range(n):
+                rows.append((len(rows), text[i % 60], lang))
+                if labelled:
+                    labels.append((len(rows) - 1, quality_))
+
+    add(None, 2500, 60)
+    add("fr", 0, 0, 200)  # good texts that use symbols: too few to certify anything
+    add("de", 2300, 10, 100)  # enough, but a cutoff rejects too many good ones
+    add("*", 300, 20)
+    add("zz", 20, 20, labelled=False)
+    add("en", 2600, 40, 1)
+    return rows, labels
+
+
+def test_strata_answer_for_themselves(spark, strata):
+    rows, labels = strata
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).where("__kept").select("doc_id").collect()}
+    junk = {(lang, r): [] for lang in (None, "fr", "de", "*", "zz", "en") for r in (True, False)}
+    for i, text, lang in rows:
+        junk[lang, "%%#" in text].append(i in kept)
+    assert all(all(junk[lang, False]) for lang in (None, "fr", "de", "*", "zz", "en"))
+    assert not any(junk[None, True]) and not any(junk["en", True])
+    assert all(junk["fr", True]) and all(junk["de", True]) and all(junk["*", True]) and all(junk["zz", True])
+
+
+def test_certified_cutoffs_match_sql(spark, strata, monkeypatch):
+    """The query's SQL on data where cutoffs are certified; joined by broadcast and by shuffle."""
+    import duckdb
+    import pandas as pd
+
+    from verdigris.llm import oracles
+
+    rows, labels_ = strata
+    documents, labels = pd.DataFrame(rows, columns=["doc_id", "text", "lang"]), pd.DataFrame(labels_, columns=["doc_id", "quality"])
+    c = duckdb.connect()
+    c.register("documents", documents)
+    c.register("labels", labels)
+    want = {r[0]: r[1] for r in c.execute(f"SELECT doc_id, kept FROM ({oracles.OP4})").fetchall()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for small in (16 << 20, 0):
+        monkeypatch.setattr(_native, "SMALL", small)
+        assert {r.doc_id: r["__kept"] for r in quality.judge(docs, spark.createDataFrame(labels_, "doc_id long, quality int")).collect()} == want
+    assert 0 < sum(not k for k in want.values()) < 200
+
+
+def test_any_number_of_strata(spark, monkeypatch):
+    """Every stratum is tested: with more strata than a fixed table would hold, all of those that can be are certified."""
+    monkeypatch.setattr(quality, "GRID", (0.1, 0.5))
+    text, bad = prose(52, 1), " ".join(w + "%%#" for w in prose(52, 2).split())
+    strata = spark.range(40).selectExpr("concat('l', id) AS lang")
+    good = strata.crossJoin(spark.range(2900).select(F.lit(text).alias("text"), F.lit(1).alias("quality")))
+    docs = good.unionAll(strata.crossJoin(spark.range(3).select(F.lit(bad).alias("text"), F.lit(0).alias("quality"))))
+    docs = _native.cut(docs.withColumn("doc_id", F.monotonically_increasing_id()))
+    cutoffs = quality.calibrate(_native.cut(quality.measured(docs)), docs.select("doc_id", "quality"))
+    assert cutoffs.count() == 40
+
+
 def test_words_and_shingles():
     import pyarrow as pa
 

@@ -40,17 +40,38 @@ def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
     return df.toDF(*map(safe, df.columns)).mapInArrow(run, out).toDF(*schema.names)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one only where unset."""
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or tempfile.mkdtemp(prefix="verdigris-ckpt-")
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: an eager reliable checkpoint in the shared folder that the session names.
 
+    Without a named folder only a local session gets one of its own; on a
+    cluster the executors could not read it.
+    """
+    import tempfile
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: an eager reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="verdigris-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+#: Bytes of a table that a join may broadcast.
+SMALL = 16 << 20
+
+
+def meet(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table that is often small: broadcast if measured at ``SMALL`` bytes or less, else shuffled.
+
+    ``few`` is checkpointed, measured, and read from the checkpoint.
+    """
+    few = cut(few)
+    if fits(few):
+        return rows.join(F.broadcast(few), on, how)
+    return rows.join(few, on, how)
+
+
+def fits(few: DataFrame) -> bool:
+    """Whether a table takes at most ``SMALL`` bytes as text, with 32 bytes more a row."""
+    return (few.agg(F.sum(F.octet_length(F.to_json(F.struct(*columns(few)))) + 32).alias("n")).first()["n"] or 0) <= SMALL

@@ -134,3 +134,10 @@ def shingles(h: np.ndarray, woff: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
         out = (out ^ w) * np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(32)
     return mix(out), soff
+
+
+def summed(kept: list[tuple[np.ndarray, np.ndarray]], key: str, count: str) -> pa.RecordBatch:
+    """One batch of the distinct hashes of several counts, and their sums."""
+    h, n = np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept])
+    h, at = np.unique(h, return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(at, n, len(h)).astype(np.int64))], [key, count])

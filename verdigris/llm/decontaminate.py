@@ -3,222 +3,264 @@
 An item's windows are its runs of ``WINDOW`` words (all its words, if fewer).
 A document contains a window only if it contains every word of it, so one
 word of the window, the rarest in the documents, is the whole necessary
-prefix.  Document words meet the windows on that word; the word's place in
-the window and the ends of the document bound the candidate's position; then
-the words are compared one by one, as hashes and at last as bytes.
+prefix.  The windows are a table keyed by that word, its place in the window
+and the window itself.  A document offers each of its words that is some
+window's prefix, at every place whose window fits into the document (bounds
+of position and length), and both sides meet in one equi-join, which compares
+the words themselves.
+
+Before the join two sieves of hash bits, one of the prefix words and one of
+the windows, keep what cannot match out of it.  They have at most ``BITS``
+bits each; of a larger benchmark they let more through, and the join decides.
 
 Defined results
     Words are lower-cased (A-Z).  Null or empty texts have no words and are
     never hit; items without words, or with a null id, have no windows.  Items
     that share a window are all counted; several rows of one item id are one
-    item with the windows of all.  Repeated documents are judged one by one.
-    An empty benchmark hits nothing.  Other columns pass through untouched.
+    item with the windows of all.  Ties of rarity go to the lower hash.
+    Repeated documents are judged one by one and alike.  An empty benchmark
+    hits nothing.  Other columns pass through untouched; internal columns have
+    names with ``__``.
 
 Scale
-    Documents are read where they lie and never shuffled.  The benchmark goes
-    to them in blocks of at most ``BLOCK`` bytes of item text, one pass over
-    the documents for each block, so what is broadcast has a fixed bound and
-    any benchmark is searched whole.  Rarity is counted over all documents
-    for the words of the block only.
+    Two readings of the documents (rarity of the benchmark's words, then
+    places), whatever the size of the benchmark.  What is shuffled is
+    benchmark windows and the places that pass the sieves, which are nearly
+    the matches alone; a text is shuffled only where hits are joined back to
+    it and are more than may be broadcast.  Nothing of the benchmark but the
+    sieves reaches the driver.  A window in many documents or items is a hot
+    key of a join that can be split, or of none, where the windows are few
+    enough to be broadcast (measured first).  An item of any length is cut
+    into windows ``STEP`` at a time.
 """
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import _text
-from ._native import columns, cut, map_arrow
+from ._native import columns, cut, map_arrow, meet
 
 WINDOW = 8
-#: Bytes of item text in one block.
-BLOCK = 4 << 20
+#: Most bits of a sieve: 16 MB.
+BITS = 1 << 27
+_PAGE = 1 << 13
+#: Windows of an item, or places of documents, in one batch.
+STEP = 1 << 16
 WORDS, RUNS, ITEMS = "__n_words", "__runs", "__items"
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def _hash(words: list[bytes]) -> np.ndarray:
-    ends = np.cumsum([len(w) for w in words])
-    return _text.word_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
-def _hashed(buf: np.ndarray, off: np.ndarray):
+def _hashed(column):
+    """Lower-cased bytes, word starts and ends, rows' offsets among the words, and word hashes."""
+    buf, off = _text.raw(column)
     low = _text.LOWER[buf]
     starts, ends, woff = _text.bounds(low, off, _text.ALNUM)
     return low, starts, ends, woff, _text.word_hashes(low, starts, ends)
 
 
-def windows_of(items: list[tuple], size: int = WINDOW) -> dict[tuple, set]:
-    """Window (a tuple of words) to the ids of the items that have it."""
-    found = defaultdict(set)
-    for item, text in items:
-        words = [w.encode() for w in _WORD.findall((text or "").translate(_UPPER))]
-        if item is not None and words:
-            n = min(size, len(words))
-            for i in range(len(words) - n + 1):
-                found[tuple(words[i : i + n])].add(str(item))
-    return found
-
-
-class _Filter:
-    """Membership of hashes in a sorted set, by a bit table first."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.table = np.zeros(1 << 20, bool)
-        self.table[keys >> np.uint64(44)] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``h`` that are in the set, and where in the set."""
-        at = np.flatnonzero(self.table[h >> np.uint64(44)])
-        if not len(at) or not len(self.keys):
-            return at[:0], at[:0]
-        k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        same = self.keys[k] == h[at]
-        return at[same], k[same]
-
-
-def _word_counts(docs: DataFrame, text: str, vocabulary: np.ndarray) -> dict[int, int]:
-    """Occurrences in all documents of the words of one block."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _joined(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from each of ``at``."""
+    out = np.full(len(at), n, np.uint64)
+    for j in range(n):
+        out = (out ^ h[at + j]) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return _text.mix(out)
+
+
+def _phrase(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: int, n: int) -> str:
+    return b" ".join(low[starts[i] : ends[i]].tobytes() for i in range(a, a + n)).decode()
+
+
+class Sieve:
+    """Bits of a set of hashes; false for a hash that is not in the set, but for a few."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.shift = bits, np.uint64(65 - (len(bits) * 8).bit_length())
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        at = h >> self.shift
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    @classmethod
+    def of(cls, hashes: DataFrame) -> Sieve:
+        """From a column ``h`` of distinct hashes; its pages, ``BITS`` at most in all, are filled apart and gathered."""
+        size = min(BITS, max(_PAGE, 1 << (256 * hashes.count()).bit_length()))
+        at = F.shiftrightunsigned("h", 65 - size.bit_length())
+        spots = hashes.select(at.alias("at")).distinct().select(F.floor(F.col("at") / _PAGE).alias("page"), F.pmod("at", F.lit(_PAGE)).alias("bit"))
+
+        def fill(group: pd.DataFrame) -> pd.DataFrame:
+            bits = np.zeros(_PAGE, bool)
+            bits[group["bit"].to_numpy()] = True
+            return pd.DataFrame({"page": group["page"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+        table = np.zeros(size // 8, np.uint8)
+        for r in spots.groupBy("page").applyInPandas(fill, "page long, bits binary").collect():  # at most BITS
+            table[r.page * _PAGE // 8 : (r.page + 1) * _PAGE // 8] = np.frombuffer(r.bits, np.uint8)
+        return cls(table)
+
+
+def windows_of(benchmark: DataFrame, item: str, text: str, size: int) -> DataFrame:
+    """(item, n, win, w, hs): every window of every item, its hash and its words' hashes."""
+
+    def split(batches):
+        for batch in _text.slices(batches, "text"):
+            low, starts, ends, woff, h = _hashed(batch.column(1))
+            count = np.diff(woff)
+            n = np.minimum(count, size)
+            made = np.where(count > 0, count - n + 1, 0)
+            row = np.repeat(np.arange(len(count)), made)
+            at = woff[row] + np.arange(len(row)) - np.repeat(np.cumsum(made) - made, made)
+            for i in range(0, len(row), STEP):
+                r, a = row[i : i + STEP], at[i : i + STEP]
+                hashes = np.zeros(len(a), np.uint64)
+                for k in np.unique(n[r]):
+                    of = n[r] == k
+                    hashes[of] = _joined(h, a[of], int(k))
+                ends_ = np.concatenate([[0], np.cumsum(n[r])]).astype(np.int32)
+                words = np.concatenate([h[x : x + k] for x, k in zip(a, n[r])]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array([_phrase(low, starts, ends, x, k) for x, k in zip(a, n[r])], pa.string()),
+                        pa.array(hashes.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends_), pa.array(words)),
+                    ],
+                    ["item", "n", "win", "w", "hs"],
+                )
+
+    rows = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
+    return rows.mapInArrow(split, "item string, n int, win string, w long, hs array<long>").distinct()
+
+
+def _rarity(docs: DataFrame, text: str, words: DataFrame) -> DataFrame:
+    """(h, c): occurrences in all documents of the words ``h``."""
+    sieve = docs.sparkSession.sparkContext.broadcast(Sieve.of(words))
 
     def count(batches):
-        known = _Filter(shared.value)
-        total = np.zeros(len(shared.value), np.int64)
+        kept, size = [], 0
         for batch in _text.slices(batches, text):
-            _, k = known.find(_hashed(*_text.raw(batch.column(0)))[4])
-            total += np.bincount(k, minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "n"])
-
-    counted = docs.select(text).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    return {int(r.k): int(r.n) for r in counted}
-
-
-class _Index:
-    """The windows of a block, by their rarest word."""
-
-    def __init__(self, windows: dict[tuple, set], rarity: dict[bytes, int]):
-        rows = []
-        for words, items in sorted(windows.items()):
-            place = min(range(len(words)), key=lambda j: (rarity.get(words[j], 0), words[j], j))
-            rows.append((words, place, sorted(items)))
-        self.windows = rows
-        hashes = _hash([w for words, _, _ in rows for w in words])
-        self.size = np.array([len(r[0]) for r in rows])
-        self.place = np.array([r[1] for r in rows])
-        at = np.concatenate([[0], np.cumsum(self.size)[:-1]])
-        self.words = np.zeros((len(rows), int(self.size.max())), np.uint64)
-        for i, n in enumerate(self.size):
-            self.words[i, :n] = hashes[at[i] : at[i] + n]
-        prefix = self.words[np.arange(len(rows)), self.place]
-        self.order = np.argsort(prefix, kind="stable")
-        keys, self.first = np.unique(prefix[self.order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(rows)))
-        self.filter = _Filter(keys)
-
-    def matches(self, low, starts, ends, woff, h) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, window) of every occurrence of a window."""
-        pos, k = self.filter.find(h)
-        n = self.count[k]
-        pos = np.repeat(pos, n)
-        w = self.order[np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        at = pos - self.place[w]
-        row = np.searchsorted(woff, pos, "right") - 1
-        fits = (at >= woff[row]) & (at + self.size[w] <= woff[row + 1])
-        at, w = at[fits], w[fits]
-        for j in range(self.words.shape[1]):
-            in_window = j < self.size[w]
-            same = ~in_window | (h[np.minimum(at + j, len(h) - 1)] == self.words[w, j])
-            at, w = at[same], w[same]
-        exact = [
-            all(low[starts[a + j] : ends[a + j]].tobytes() == word for j, word in enumerate(self.windows[i][0]))
-            for a, i in zip(at.tolist(), w.tolist())
-        ]
-        keep = np.array(exact, bool)
-        return at[keep], w[keep]
-
-
-def _merge(runs: list[tuple[int, int]]) -> list[int]:
-    """Disjoint runs, flat: start, end, start, end ..."""
-    out: list[int] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
-
-
-def _search(index, text: str, more: bool, keep_text: bool):
-    def search(batches):
-        for batch in _text.slices(batches, text):
-            names = batch.schema.names
-            low, starts, ends, woff, h = _hashed(*_text.raw(batch.column(names.index(text))))
-            runs: dict[int, list] = defaultdict(list)
-            items: dict[int, set] = defaultdict(set)
-            if index.value is not None:
-                at, w = index.value.matches(low, starts, ends, woff, h)
-                rows = np.searchsorted(woff, at, "right") - 1
-                for r, a, i in zip(rows.tolist(), (at - woff[rows]).tolist(), w.tolist()):
-                    words, _, found = index.value.windows[i]
-                    runs[r].append((a, a + len(words)))
-                    items[r].update(found)
-            if more:
-                for r, (old, ids) in enumerate(zip(batch.column(names.index(RUNS)).to_pylist(), batch.column(names.index(ITEMS)).to_pylist())):
-                    runs[r] += zip(old[::2], old[1::2])
-                    items[r].update(ids)
-            n = batch.num_rows
-            keep = [c for c in names if c not in (WORDS, RUNS, ITEMS) and (keep_text or c != text)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(names.index(c)) for c in keep],
-                    pa.array(np.diff(woff), pa.int64()),
-                    pa.array([_merge(runs[r]) if r in runs else [] for r in range(n)], pa.list_(pa.int64())),
-                    pa.array([sorted(items[r]) if r in items else [] for r in range(n)], pa.list_(pa.string())),
-                ],
-                [*keep, WORDS, RUNS, ITEMS],
-            )
-
-    return search
+            h = _hashed(batch.column(0))[4]
+            kept.append(np.unique(h[sieve.value(h)], return_counts=True))
+            size += len(kept[-1][0])
+            if size > 4_000_000:
+                yield _text.summed(kept, "h", "c")
+                kept, size = [], 0
+        if kept:
+            yield _text.summed(kept, "h", "c")
+
+    counts = docs.select(text).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return words.join(counts, "h", "left").select("h", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
+
+
+def keyed(windows: DataFrame, rarity: DataFrame) -> DataFrame:
+    """(k, place, n, win, w, item): the windows by the hash and the place of their rarest word."""
+    shapes = windows.select("win", "n", "w", "hs").dropDuplicates(["win"])
+    rarest = (
+        shapes.select("win", F.posexplode("hs").alias("place", "h"))
+        .join(rarity, "h")
+        .groupBy("win")
+        .agg(F.min(F.struct("c", "h", "place")).alias("r"))
+        .select("win", F.col("r.h").alias("k"), F.col("r.place").alias("place"))
+    )
+    return windows.select("item", "n", "win", "w").join(rarest, "win").select("k", "place", "n", "win", "w", "item")
+
+
+def _places(docs: DataFrame, prefixes: Sieve, windows: Sieve, sizes: list[int]) -> DataFrame:
+    """(k1, k2, at, k, place, n, win): the windows of documents (k1, k2, text) that may be one of the benchmark's."""
+    shared = docs.sparkSession.sparkContext.broadcast((prefixes, windows))
+
+    def offer(batches):
+        is_prefix, is_window = shared.value
+        for batch in _text.slices(batches, "text"):
+            low, starts, ends, woff, h = _hashed(batch.column(2))
+            all_pos = np.flatnonzero(is_prefix(h))
+            for i in range(0, len(all_pos), STEP):
+                pos = all_pos[i : i + STEP]
+                row = np.searchsorted(woff, pos, "right") - 1
+                out = []
+                for n in sizes:
+                    for place in range(n):
+                        at = pos - place
+                        fits = (at >= woff[row]) & (at + n <= woff[row + 1])
+                        a, r, p = at[fits], row[fits], pos[fits]
+                        some = is_window(_joined(h, a, n))
+                        out.append((r[some], a[some], p[some], np.full(some.sum(), place), np.full(some.sum(), n)))
+                r, a, p, place, n = (np.concatenate(c) for c in zip(*out))
+                phrases = [_phrase(low, starts, ends, x, k) for x, k in zip(a.tolist(), n.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(a - woff[r]), pa.array(h[p].view(np.int64)),
+                        pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(phrases, pa.string()),
+                    ],
+                    ["k1", "k2", "at", "k", "place", "n", "win"],
+                )
+
+    return docs.mapInArrow(offer, "k1 long, k2 long, at long, k long, place int, n int, win string")
+
+
+def _named(docs: DataFrame, text: str) -> DataFrame:
+    """Documents with two hashes of their text, by which equal texts are known."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumns({"__k1": F.xxhash64(body), "__k2": F.xxhash64(body, F.lit(1))})
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
+    """(``__k1``, ``__k2``, runs, items) of every text in which an item's window occurs."""
+    windows = cut(windows_of(benchmark, item, item_text, size))
+    sizes = sorted(r[0] for r in windows.select("n").distinct().collect())  # at most ``size`` numbers
+    words = cut(windows.select(F.explode("hs").alias("h")).distinct())
+    keys = cut(keyed(windows, _rarity(docs, text, words)))
+    prefixes, of = Sieve.of(keys.select(F.col("k").alias("h")).distinct()), Sieve.of(keys.select(F.col("w").alias("h")).distinct())
+    texts = _named(docs, text).select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col(text).alias("text"))
+    met = meet(_places(texts, prefixes, of, sizes), keys.select("k", "place", "win", "item"), ["k", "place", "win"])
+    found = met.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(
+        F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spots"),  # at most the places of one text
+        F.array_sort(F.collect_set("item")).alias(ITEMS),
+    )
+    return map_arrow(found, _merge, T.StructType([*found.schema.fields[:2], T.StructField(RUNS, T.ArrayType(T.LongType())), found.schema.fields[3]]))
+
+
+def _merge(batches):
+    """Places as disjoint runs of words, flat: start, end, start, end ..."""
+    for batch in batches:
+        runs = []
+        for spots in batch.column(2).to_pylist():
+            out: list[int] = []
+            for s in spots:
+                a, b = s["at"], s["at"] + s["n"]
+                if out and a <= out[-1]:
+                    out[-1] = max(out[-1], b)
+                else:
+                    out += [a, b]
+            runs.append(out)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.int64())), batch.column(3)], ["__k1", "__k2", RUNS, ITEMS])
+
+
+def n_words(text: Column) -> Column:
+    """Number of words; what stands between them cuts a text into one piece more."""
+    t = F.coalesce(text, F.lit(""))
+    ends = t.rlike(r"\A" + _GAP).cast("int") + t.rlike(_GAP + r"\z").cast("int")
+    return F.when(F.length(t) == 0, 0).otherwise(F.size(F.split(t, _GAP + "+", -1)) - ends).cast("long")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """The documents with their words, hit word runs and items found."""
-    spark = docs.sparkSession
-    source = docs
-    bench = benchmark.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), F.col(item_text).alias("text"))
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK))
-    for b in range(blocks):
-        rows = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64(F.col("item"), F.col("text")), F.lit(blocks)) == b)
-        windows = windows_of([tuple(r) for r in rows.collect()], size)  # one block
-        index = None
-        if windows:
-            vocabulary = sorted({w for words in windows for w in words})
-            keys, where = np.unique(_hash(vocabulary), return_inverse=True)
-            counts = _word_counts(source, text, keys)
-            index = _Index(windows, {w: counts.get(int(k), 0) for w, k in zip(vocabulary, where)})
-        last = b == blocks - 1
-        fields = [f for f in source.schema.fields if last is False or keep_text or f.name != text]
-        state = [T.StructField(WORDS, T.LongType()), T.StructField(RUNS, T.ArrayType(T.LongType())), T.StructField(ITEMS, T.ArrayType(T.StringType()))]
-        docs = map_arrow(
-            docs, _search(spark.sparkContext.broadcast(index), text, b > 0, keep_text or not last), T.StructType([*fields, *state])
-        )
-        if not last:
-            docs = cut(docs)
-    return docs
-
-
-def contaminated(least: int = 2):
+    found = hits(docs, benchmark, text, item, item_text, size)
+    named = _named(docs, text).withColumn(WORDS, n_words(F.col(text)))
+    own = columns(docs, () if keep_text else (text,))
+    met = meet(named.select(*own, "__k1", "__k2", WORDS), found, ["__k1", "__k2"], "left")
+    return met.select(
+        *own, WORDS, F.coalesce(RUNS, F.array().cast("array<bigint>")).alias(RUNS), F.coalesce(ITEMS, F.array().cast("array<string>")).alias(ITEMS)
+    )
+
+
+def contaminated(least: int = 2) -> Column:
     return F.size(ITEMS) >= least
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: int = 2, **how) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = 1, **how) -> DataFrame:
     """The documents in which fewer than ``least`` items occur."""
-    return find(docs, benchmark, **how).where(~contaminated(least)).select(*columns(docs))
+    bad = hits(docs, benchmark, **how).where(contaminated(least)).select("__k1", "__k2")
+    return meet(_named(docs, how.get("text", "text")), bad, ["__k1", "__k2"], "left_anti").select(*columns(docs))

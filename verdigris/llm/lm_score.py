@@ -134,20 +134,14 @@ def count_tokens(docs: DataFrame, text: str) -> DataFrame:
 
     def count(batches):
         kept, size = [], 0
-
-        def total():
-            h, n = np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept])
-            h, at = np.unique(h, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(at, n).astype(np.int64))], ["h", "c"])
-
         for batch in _text.slices(batches, text):
             kept.append(np.unique(tokens(batch.column(0))[0], return_counts=True))
             size += len(kept[-1][0])
             if size > _MERGE:
-                yield total()
+                yield _text.summed(kept, "h", "c")
                 kept, size = [], 0
         if kept:
-            yield total()
+            yield _text.summed(kept, "h", "c")
 
     return docs.select(text).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 

@@ -6,9 +6,11 @@ size; what is over is shared again by weight.  A source gives ``floor(target /
 size)`` whole copies of each document; the words that remain are a draw
 without replacement from the source.  Documents are dealt to output shards by
 a hash, and the draw is split down a tree whose leaves are the shards: at each
-node one multivariate-hypergeometric draw, seeded by source and node, deals
-the node's quota to its at most ``FANOUT`` children by their sizes, so the
-quotas of the shards add up exactly.  In a shard the documents of a source
+node one multivariate-hypergeometric draw, seeded by seed, source and node,
+deals the node's quota to its at most ``FANOUT`` children by their sizes, so
+the quotas of the shards add up exactly.  A draw is a sequence of univariate
+ones, exact at any size: the library's where the units of a draw are few
+enough for it, else by rejection from the same distribution.  In a shard the documents of a source
 stand in the order of a hash, a random permutation, and are taken in that
 order until the quota is met.  The one document where a shard's quota ends is
 taken whole or left out: of these, in the order of a hash of the shard, a
@@ -29,8 +31,9 @@ Scale
     A hot source is dealt to all shards; a group of the window is one source
     in one shard, about ``SHARD`` documents at most.  The tree's groups have
     at most ``FANOUT`` rows; the ends of quotas, one per source and shard, are
-    ordered in groups of about the square root of the shards.  The table of sources (one row each) is ordered
-    in one task; it is the only step that is not dealt out.
+    ordered in groups of about the square root of the shards.  The table of
+    sources is ordered by ranges: running sums within a range, and over the
+    ranges' sums (one row to a range) between them.
 """
 
 from __future__ import annotations
@@ -47,8 +50,8 @@ LIMIT = 3
 FANOUT = 256
 #: Documents to a shard.
 SHARD = 512
-#: Colours of one draw may not exceed this together; larger nodes are drawn in coarser units.
-_MOST = 500_000_000
+#: Units of a draw that the library's sampler takes.
+_MOST = 10**9
 
 
 def size_of(text: Column) -> Column:
@@ -58,43 +61,109 @@ def size_of(text: Column) -> Column:
     return F.when(F.length(t) == 0, 0).otherwise(F.size(F.split(t, SPACE, -1)) - ends).cast("long")
 
 
+def _running(rows: DataFrame, order: list[str], **sums: str) -> DataFrame:
+    """``rows`` in ``order`` with sums over all rows before each (``order`` is unique), without one task for all."""
+    placed = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    whole = placed.groupBy("__range").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = Window.orderBy("__range")  # one row for each range
+    starts = whole.select("__range", *[before(ranges, f"__{n}").alias(f"__{n}") for n in sums])
+    inside = Window.partitionBy("__range").orderBy(*order)
+    met = placed.join(F.broadcast(starts), "__range")  # one row for each partition
+    return met.select(*rows.columns, *[(F.col(f"__{n}") + before(inside, c)).alias(n) for n, c in sums.items()])
+
+
 def targets(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(s, source_size) with target, whole copies and the words that remain."""
-    ranked = sizes.withColumn("w", (F.row_number().over(Window.orderBy("s")) - 1) % 3 + 1).withColumn("most", limit * F.col("source_size"))
-    by_room = Window.orderBy(F.col("most") / F.col("w"), "s")
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_room.rowsBetween(0, Window.unboundedFollowing)
+    """(s, source_size) with target, whole copies and the words that remain.
+
+    Target ``t`` is ``min(most, level * w)``; ``level`` is the one at which the
+    targets add up to all words, found in the order of ``most / w``.
+    """
+    one = sizes.select("s", F.col("source_size").cast("decimal(38,0)").alias("source_size"), F.lit(1).cast("long").alias("one"))
+    ranked = cut(
+        _running(one, ["s"], rank="one")
+        .withColumn("w", F.col("rank") % 3 + 1)
+        .withColumn("most", limit * F.col("source_size"))
+        .withColumn("room", F.col("most").cast("double") / F.col("w"))
+        .select("s", "source_size", "w", "most", "room")
+    )
+    total = ranked.agg(F.sum("source_size").alias("total"), F.sum("w").alias("all_w"))
     level = (
-        ranked.withColumn("total", F.sum("source_size").over(Window.partitionBy()))
-        .withColumn("level", (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0))) / F.sum("w").over(after))
-        .withColumn("room", F.col("most") / F.col("w"))
+        _running(ranked, ["room", "s"], used="most", used_w="w")
+        .crossJoin(F.broadcast(total))  # one row
+        .withColumn("level", (F.col("total") - F.col("used")).cast("double") / (F.col("all_w") - F.col("used_w")))
         .where("level <= room")
         .agg(F.min_by("level", F.struct("room", "s")).alias("level"))
     )
     target = F.least(F.col("most").cast("double"), F.col("level") * F.col("w"))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
+    size = F.col("source_size")
+    whole = F.when(size > 0, F.floor(F.col("target") / size.cast("double"))).otherwise(0).cast("long")
+    rest = F.round(F.col("target") - (F.col("whole") * size).cast("double")).cast("long")
     return (
         ranked.crossJoin(F.broadcast(level))  # one row
-        .withColumn("target", F.coalesce(target, F.lit(0.0)))
-        .withColumn("whole", whole.cast("long"))
+        .select("s", size.cast("long").alias("source_size"), F.coalesce(target, F.lit(0.0)).alias("target"))
+        .withColumn("whole", whole)
         .withColumn("rest", F.greatest(F.lit(0).cast("long"), F.least(rest, F.col("source_size"))))
         .select("s", "source_size", "target", "whole", "rest")
     )
 
 
+def _log_ratio(a: int, d: np.ndarray) -> np.ndarray:
+    """``log((a + d)! / a!) - d log(a + 1)`` without the loss of two large logarithms (Stirling's series)."""
+    x, y = a + 1.0, a + 1.0 + d
+    series = lambda v: 1 / (12 * v) - 1 / (360 * v**3) + 1 / (1260 * v**5)
+    return (y - 0.5) * np.log1p(d / x) - d + series(y) - series(x)
+
+
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of ``n`` units, drawn without replacement from ``good + bad``, are good; exact at any size."""
+    good, bad, n = int(good), int(bad), int(n)
+    if good + bad < _MOST:
+        return int(rng.hypergeometric(good, bad, n))
+    if n > good + bad - n:  # count those left instead
+        return good - hypergeometric(good, bad, good + bad - n, rng)
+    if good > bad:
+        return n - hypergeometric(bad, good, n, rng)
+    if good > n:  # the roles of drawn and good are alike
+        good, bad, n = n, good + bad - n, good
+    # now good <= n <= half of all; a unit of the good ones is drawn with chance n / all
+    all_ = good + bad
+    low, high = max(0, n - bad), good
+    mode = (n + 1) * (good + 1) // (all_ + 2)
+    sd = math.sqrt(max(n / all_ * (1 - n / all_) * good * (all_ - good) / (all_ - 1), 0.0) + 0.5)
+    parts = ((mode, 1), (good - mode, -1), (n - mode, -1), (bad - n + mode, 1))
+    slope = math.log(((good - mode + 1) * (n - mode + 1)) / ((mode + 1) * (bad - n + mode + 1)))
+
+    def log_weight(x: np.ndarray) -> np.ndarray:
+        """Log of the probability of ``x`` over that of the mode."""
+        d = (x - mode).astype(np.float64)
+        return d * slope - sum(_log_ratio(a, sign * d) for a, sign in parts)
+
+    if sd < 1000:
+        x = np.arange(max(low, mode - int(12 * sd) - 12), min(high, mode + int(12 * sd) + 12) + 1)
+        weight = np.cumsum(np.exp(log_weight(x)))
+        return int(x[np.searchsorted(weight, rng.random() * weight[-1], "right")])
+    # ratio of uniforms under a table of this width, which lies over any such distribution
+    width = 2 * math.sqrt(2 / math.e) * sd + 3 - 2 * math.sqrt(3 / math.e)
+    centre = n * good / all_ + 0.5
+    while True:
+        u = 1 - rng.random(64)
+        x = np.floor(centre + width * (rng.random(64) - 0.5) / u)
+        inside = (x >= low) & (x <= high)
+        x, u = x[inside].astype(np.int64), u[inside]
+        taken = x[2 * np.log(u) <= log_weight(x)]
+        if len(taken):
+            return int(taken[0])
+
+
 def draw(sizes: np.ndarray, quota: int, seed: int) -> np.ndarray:
-    """A multivariate-hypergeometric draw of ``quota`` units; exact in its sum."""
+    """A multivariate-hypergeometric draw of ``quota`` units, one colour after another."""
     rng = np.random.default_rng(seed & (2**63 - 1))
-    unit = max(1, -(-int(sizes.sum()) // _MOST))
-    coarse = sizes // unit
-    n = min(quota // unit, int(coarse.sum()))
-    out = rng.multivariate_hypergeometric(coarse, n, method="marginals") * unit
-    left = quota - int(out.sum())  # 0 for unit 1
-    for i in rng.permutation(len(sizes)) if left else ():
-        more = min(left, int(sizes[i] - out[i]))
-        out[i] += more
-        left -= more
+    out, left, after = np.zeros(len(sizes), np.int64), int(quota), sum(map(int, sizes))
+    for i, size in enumerate(map(int, sizes)):
+        after -= size
+        out[i] = hypergeometric(size, after, left, rng) if left else 0
+        left -= int(out[i])
     return out
 
 
@@ -106,14 +175,14 @@ def _split(children: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"s": children["s"], "node": children["node"], "quota": out})
 
 
-def quotas(blocks: DataFrame, rest: DataFrame, shards: int) -> DataFrame:
+def quotas(blocks: DataFrame, rest: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     """(s, node, quota): the words each shard draws of each source."""
     depth = max(1, math.ceil(math.log(max(shards, 2), FANOUT) - 1e-9))
     given = rest.select("s", F.lit(0).cast("long").alias("node"), F.col("rest").alias("quota"))
     for level in range(depth):
         width = FANOUT ** (depth - 1 - level)
         children = blocks.groupBy("s", F.floor(F.col("shard") / width).cast("long").alias("node")).agg(F.sum("size").alias("size"))
-        parents = given.select("s", F.col("node").alias("parent"), "quota", F.xxhash64(F.lit(level), "s", "node").alias("seed"))
+        parents = given.select("s", F.col("node").alias("parent"), "quota", F.xxhash64(F.lit(seed), F.lit(level), "s", "node").alias("seed"))
         given = (
             children.withColumn("parent", F.floor(F.col("node") / FANOUT).cast("long"))
             .join(parents, ["s", "parent"])
@@ -161,7 +230,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     blocks = cut(small.groupBy(F.col("__s").alias("s"), F.col("__shard").alias("shard")).agg(F.sum("__size").alias("size")))
     plan = cut(targets(blocks.groupBy("s").agg(F.sum("size").alias("source_size"))))
     shares = cut(
-        quotas(blocks, plan, shards)
+        quotas(blocks, plan, shards, seed)
         .join(plan, "s")
         .select(
             F.col("s").alias("__s"), F.col("node").alias("__shard"), F.col("quota").alias("__quota"), F.col("source_size").alias("__source_size"),

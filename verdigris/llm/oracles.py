@@ -19,7 +19,7 @@ FROM u LEFT JOIN best ON u.host = best.host AND u.path = best.path
 
 OP4 = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(lang, '*') AS stratum, coalesce(text, '') AS t,
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS stratum, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
@@ -41,8 +41,7 @@ s AS (
   FROM m),
 lab AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 l AS (SELECT stratum, good, sig FROM s JOIN lab USING (doc_id) WHERE NOT base_failed),
-top AS (SELECT stratum FROM l GROUP BY 1 ORDER BY count(*) DESC, stratum LIMIT 32),
-p AS (SELECT CASE WHEN stratum IN (FROM top) THEN stratum ELSE '*' END AS stratum, good, sig FROM l),
+p AS (SELECT * FROM l WHERE stratum IN (SELECT stratum FROM l WHERE good = 1 GROUP BY 1 HAVING count(*) * ln(0.995) <= ln(0.05 / 48))),
 g AS (SELECT unnest([0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS cutoff),
 tests AS (
   SELECT stratum, j, cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND sig[j] > cutoff) AS k, count(*) FILTER (good = 0 AND sig[j] > cutoff) AS caught
@@ -54,7 +53,7 @@ cert AS (
       <= 0.05 / ((SELECT count(DISTINCT stratum) FROM p) * 4 * 12)
   GROUP BY ALL),
 bad AS (
-  SELECT DISTINCT doc_id FROM s JOIN cert ON cert.stratum = CASE WHEN s.stratum IN (SELECT stratum FROM cert) THEN s.stratum ELSE '*' END
+  SELECT DISTINCT doc_id FROM s JOIN cert ON cert.stratum = s.stratum
   WHERE sig[j] > cert.cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (FROM bad) AS kept

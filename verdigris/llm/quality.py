@@ -13,21 +13,27 @@ together at most ``risk = signals * alpha``.  Of the certified cutoffs the one
 of the most gain is taken, the highest at a tie: the labelled bad texts that
 it rejects less ``COST`` times the good ones.  None is taken without a gain.
 
+Every stratum answers for itself: it has its own certified cutoffs or none,
+whatever other strata have.  A stratum with so few good texts that no cutoff
+could be certified even if it were alone and rejected none of them is not
+tested, and does not count among the tests; that depends on ``n`` only, not on
+what the cutoffs do, so the bound stands.
+
 Defined results
     null or empty text: no words, all counts 0, rejected by the base rule.
-    null or unlabelled stratum: the pooled stratum ``*``.  Null labels are
+    A null stratum is a stratum of its own.  A stratum without labels, or with
+    too few to certify a cutoff: only the base rules reject.  Null labels are
     ignored; of several labels of a document the lowest counts.  A repeated
-    row is judged like any other and stays repeated.  No labels, or too few to
-    certify a cutoff: only the base rules reject.  Empty table: no rows.
+    row is judged like any other and stays repeated.  Empty table: no rows.
     Columns of the input are untouched, whatever their names.
 
 Scale
-    Texts are measured in place: no shuffle on the main path.  ``judge``
-    checkpoints the counts and reads each text once, ``keep`` reads it twice.
-    Calibration shuffles one row of four small numbers per labelled document,
-    then counts per (stratum, signal, bin).  At most ``MAX_STRATA`` strata have cutoffs of their own (the
-    largest, the others are pooled), so the table that reaches the driver has
-    at most ``(MAX_STRATA + 1) * 4`` rows.
+    Texts are measured once, in place: ``judge`` checkpoints the counts,
+    ``keep`` the rows with their counts.  Calibration shuffles one row of four
+    small numbers per labelled document, then counts per (stratum, signal,
+    bin).  Any number of strata is tested.  The certified cutoffs are one row
+    per stratum that has any; they are broadcast if they take ``SMALL`` bytes
+    at most, else joined by stratum, where a hot stratum can be split.
 """
 
 from __future__ import annotations
@@ -36,15 +42,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._native import columns, cut, let, words
+from ._native import columns, cut, let, meet, words
 
 #: Cutoffs tried for every signal.
 GRID = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 SIGNALS = ("symbols", "repeats", "lines", "shouting")
-MAX_STRATA = 32
 #: Bad texts that must be rejected to outweigh one good text.
 COST = 20
-POOLED = "*"
 
 
 def _repeated_words(ws: Column, n: int = 3) -> Column:
@@ -119,10 +123,10 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * F.lit(p), F.lit(1.0)).when(k < 1, F.exp(first)).otherwise(steps)
 
 
-def calibrate(rows: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", label: str = "quality", risk: float = 0.02, delta: float = 0.05) -> list[tuple[str, str, float]]:
-    """Certified cutoffs of measured rows, as (stratum, signal, cutoff); at most MAX_STRATA + 1 strata."""
+def calibrate(rows: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", label: str = "quality", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """(``__stratum``, ``__cutoffs``) of measured rows: the certified cutoff of each signal, null where it has none."""
     labels = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("good"))
-    m = rows.select(F.col(key).alias("k"), F.coalesce(F.col(stratum), F.lit(POOLED)).alias("stratum"), "__quality")
+    m = rows.select(F.col(key).alias("k"), _stratum(stratum).alias("stratum"), "__quality")
     cutoffs_below = lambda value: F.size(F.filter(F.array(*map(F.lit, GRID)), lambda g: g < value))
     binned = F.array(*[F.struct(F.lit(name).alias("signal"), cutoffs_below(value).alias("bin")) for name, value in signals().items()])
     tested = (
@@ -132,56 +136,49 @@ def calibrate(rows: DataFrame, labels: DataFrame, key: str = "doc_id", stratum:
         .select("stratum", "good", F.explode("b").alias("b"))
         .groupBy("stratum", "good", "b.signal", "b.bin")
         .count()
-    )
-    largest = tested.groupBy("stratum").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "stratum").limit(MAX_STRATA).select("stratum", F.lit(True).alias("kept"))
-    pooled = (
-        tested.join(F.broadcast(largest), "stratum", "left")
-        .withColumn("stratum", F.when(F.col("kept"), F.col("stratum")).otherwise(POOLED))
-        .groupBy("stratum", "signal", "good", "bin")
-        .agg(F.sum("count").alias("count"))
         .groupBy("stratum", "signal")
         .agg(F.collect_list(F.struct("good", "bin", "count")).alias("bins"))  # at most 2 labels x (grid + 1) entries
     )
     beyond = lambda good, g: F.aggregate(
         F.filter("bins", lambda x: (x["good"] == good) & (x["bin"] > g)), F.lit(0).cast("long"), lambda a, x: a + x["count"]
     )
-    tests = pooled.select("stratum", "signal", F.posexplode(F.array(*map(F.lit, GRID))).alias("g", "cutoff"), "bins").select(
-        "stratum", "signal", "cutoff", beyond(1, F.lit(-1)).alias("n"), beyond(1, F.col("g")).alias("k"), beyond(0, F.col("g")).alias("caught")
-    )
-    n_strata = pooled.agg(F.count_distinct("stratum").alias("strata"))
-    alpha = risk / len(SIGNALS)
+    alpha, each = risk / len(SIGNALS), len(SIGNALS) * len(GRID)
+    able = cut(tested.withColumn("n", beyond(1, F.lit(-1))).where(F.col("n") * F.lit(math.log1p(-alpha)) <= math.log(delta / each)))
+    strata = able.agg(F.count_distinct("stratum").alias("strata"))
     certified = (
-        tests.crossJoin(F.broadcast(n_strata))  # one row
+        able.select("stratum", "signal", "n", F.posexplode(F.array(*map(F.lit, GRID))).alias("g", "cutoff"), "bins")
+        .select("stratum", "signal", "cutoff", "n", beyond(1, F.col("g")).alias("k"), beyond(0, F.col("g")).alias("caught"))
+        .crossJoin(F.broadcast(strata))  # one row
         .withColumn("p", binomial_tail(F.col("n"), F.col("k"), alpha))
         .withColumn("gain", F.col("caught") - COST * F.col("k"))
-        .where((F.col("gain") > 0) & (F.col("n") > 0) & (F.col("p") <= delta / (F.col("strata") * len(SIGNALS) * len(GRID))))
+        .where((F.col("gain") > 0) & (F.col("p") <= delta / (F.col("strata") * each)))
         .groupBy("stratum", "signal")
         .agg(F.max(F.struct("gain", "cutoff"))["cutoff"].alias("cutoff"))
     )
-    return [tuple(r) for r in certified.collect()]
+    of = [F.max(F.when(F.col("signal") == name, F.col("cutoff"))) for name in SIGNALS]
+    return certified.groupBy(F.col("stratum").alias("__stratum")).agg(F.array(*of).alias("__cutoffs"))
 
 
-def verdict(cutoffs: list[tuple[str, str, float]], stratum: str = "lang", m: str = "__quality") -> Column:
-    """True where no rule and no certified cutoff rejects; a bounded CASE, no join."""
-    strata = sorted({s for s, _, _ in cutoffs} - {POOLED})
-    own = F.coalesce(F.col(stratum), F.lit(POOLED))
-    group = F.when(own.isin(strata), own).otherwise(POOLED) if strata else F.lit(POOLED)
-    rejected = F.lit(False)
-    for s, name, cutoff in sorted(cutoffs):
-        rejected = rejected | ((group == s) & (signals(m)[name] > cutoff))
-    return ~base_failed(m) & ~rejected
+def _stratum(name: str) -> Column:
+    """A key that tells null from every text."""
+    return F.when(F.col(name).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(name).cast("string")))
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **how) -> DataFrame:
-    """The documents without their texts, with the counts in ``__quality`` and the verdict in ``__kept``.
+def verdict(rows: DataFrame, cutoffs: DataFrame, stratum: str = "lang", m: str = "__quality") -> DataFrame:
+    """Adds ``__kept``: neither a base rule nor a certified cutoff of its own stratum rejects."""
+    beyond = [F.coalesce(value > F.get("__cutoffs", F.lit(i)), F.lit(False)) for i, value in enumerate(signals(m).values())]
+    rejected = beyond[0] | beyond[1] | beyond[2] | beyond[3]
+    judged = meet(rows.withColumn("__stratum", _stratum(stratum)), cutoffs, ["__stratum"], "left")
+    return judged.withColumn("__kept", ~base_failed(m) & ~rejected).drop("__stratum", "__cutoffs")
+
 
-    Texts are measured once; the counts are checkpointed.
-    """
+def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **how) -> DataFrame:
+    """The documents without their texts, with the counts in ``__quality`` and the verdict in ``__kept``."""
     rows = cut(measured(docs, text).select(*columns(docs, (text,)), "__quality"))
-    return rows.withColumn("__kept", verdict(calibrate(rows, labels, key, stratum, **how), stratum))
+    return verdict(rows, calibrate(rows, labels, key, stratum, **how), stratum)
 
 
 def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", **how) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    cutoffs = calibrate(measured(docs.select(key, stratum, text), text), labels, key, stratum, **how)
-    return measured(docs, text).where(verdict(cutoffs, stratum)).select(*columns(docs))
+    rows = cut(measured(docs, text))
+    return verdict(rows, calibrate(rows, labels, key, stratum, **how), stratum).where("__kept").select(*columns(docs))
