@@ -1,13 +1,17 @@
 """Operators on small hand-made inputs."""
 
+import os
+import random
+
 import pytest
 from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from verdigris.functions import exprs
-from verdigris.operators import context, fuzzy, lifecycle, matching, search, upsert, versions
-from verdigris.plans import project
-from verdigris.sources import parsers
+from verdigris.operators import context, fuzzy, lifecycle, matching, records, search, upsert, versions
+from verdigris.plans import project, upgrade
+from verdigris.sources import parsers, sinks
+from verdigris.streaming import outcomes
 
 
 def one(spark, expr, **values):
@@ -129,9 +133,202 @@ def test_guard(spark):
 
 
 def test_release_pairs(spark):
-    docs = spark.createDataFrame([(1, "Bug Fixes\nfix the thing: now\n#12\nfirst line: a\nsecond line\n\nshort"), (2, None), (3, "")], "d long, t string")
-    got = [(r.d, r.section, r.statement) for r in parsers.release_statements(docs, "d", "t").collect()]
-    assert got == [(1, "Bug Fixes", "fix the thing: now"), (1, "Bug Fixes", "first line: a (second line)")]
+    docs = spark.createDataFrame(
+        [(1, "Bug Fixes\nfix the thing: now\n#12\nfirst line: a\nsecond line\n\nshort"), (2, None), (3, ""), (4, "a: 1\nb\nc: 2\nd\ne: longer"), (5, "# H\nplain: one\n- a bullet\nrest: two")], "d long, t string"
+    )
+    got = sorted((r.d, r.line_no, r.section, r.statement) for r in parsers.release_statements(docs, "d", "t").collect())
+    assert got == [
+        (1, 1, "Bug Fixes", "fix the thing: now"), (1, 3, "Bug Fixes", "first line: a (second line)"), (4, 0, "", "a: 1 (b)"), (4, 2, "", "c: 2 (d)"), (4, 4, "", "e: longer"), (5, 2, "H", "a bullet"),
+    ]
+
+
+def test_asciidoc(spark):
+    docs = spark.createDataFrame([(1, "= Title\n- first one\n == no\n* second one\n== Deprecated things\n- abc\n- gone now\n  - nested one"), (2, None)], "d long, t string")
+    got = [(r.section, r.statement, r.type) for r in parsers.asciidoc_statements(docs, "d", "t").orderBy("line_no").collect()]
+    assert got == [("Title", "first one", "behavioral"), ("Title", "second one", "behavioral"), ("Deprecated things", "gone now", "deprecation")]
+
+
+def test_upgrade_prose(spark):
+    text = "## Old\n### A\nx\n## Upgrading from Spring Boot 3.4\nintro\n### Heap dump\nfirst\n\n second\n#### deep\n### Nothing\n### Last one\nbreaking\n## Upgrading from again\n### B\ny"
+    docs = spark.createDataFrame([(1, text), (2, "## No\n### A\nx"), (3, None)], "d long, t string")
+    got = [(r.d, r.statement, r.type) for r in parsers.upgrade_prose(docs, "d", "t").orderBy("line_no").collect()]
+    assert got == [(1, "Heap dump: first second", "behavioral"), (1, "Last one: breaking", "breaking")]
+
+
+def test_release_body_falls_back(spark):
+    page = '<div class="a markdown-body">\n<p>Page <b>text</b></p>\n</div>'
+    rows = [
+        (1, 0, "u0", None, page), (1, 1, "u1", '{"body": "said", "html_url": "h"}', None), (2, 0, "u0", '{"body": " "}', None), (2, 1, "u1", '{"body": "never read"}', page),
+        (3, 0, "u0", None, "<p>x</p>"), (4, 0, "u0", '{"body": "b"}', None),
+    ]
+    got = {r.k: (r.url, r.body) for r in parsers.release_body(spark.createDataFrame(rows, "k long, rank int, url string, json string, html string"), "k").collect()}
+    assert got == {1: ("h", "said"), 2: ("u1", "Page\ntext"), 4: ("u0", "b")}
+
+
+def test_coordinates_and_gradle_version(spark):
+    pom = "<dependency><groupId> org.hibernate.orm </groupId>\n<artifactId>core</artifactId></dependency><dependency><groupId>org.hibernate.x</groupId></dependency><dependency><artifactId>b</artifactId><groupId>com.acme</groupId></dependency>"
+    assert one(spark, parsers.maven_coordinates(F.col("t")), t=pom) == ["org.hibernate.orm:core"]
+    gradle = "implementation 'org.springframework.boot:starter:3.1'\nversion 'x'\n  version \"1.2\"\nversion \"9\"\napi(\"org.springframework.boot:starter:3.2\")"
+    assert one(spark, parsers.gradle_coordinates(F.col("t")), t=gradle) == ["org.springframework.boot:starter"]
+    assert one(spark, parsers.gradle_version(F.col("t")), t=gradle) == "1.2"
+
+
+def test_html_summary(spark):
+    long = "word " * 20
+    assert one(spark, parsers.html_summary(F.col("t")), t=f"<p>short</p><p>{long}<b>bold</b></p>") == long + "bold"
+    assert one(spark, parsers.html_summary(F.col("t")), t=f'<meta property="og:description" content=" seen "><p>{long}</p>') == "seen"
+    assert one(spark, parsers.html_summary(F.col("t")), t="<p>short</p>") is None
+
+
+def test_severity_in_any_case(spark):
+    got = [one(spark, exprs.at_least(F.col("s").cast("string"), "Medium"), s=s) for s in ("HIGH", "medium", "Low", "", None, "odd")]
+    assert got == [True, True, False, False, False, False]
+
+
+def test_executor_reads_nulls_and_case(spark):
+    row = spark.createDataFrame([(1, True, None, "Moderate", "a -> b", "matched"), (1, None, None, "MECHANICAL", "a -> b", "matched")], "r long, a boolean, m boolean, e string, t string, p string")
+    got = [r[0] for r in row.select(exprs.executor(F.col("r"), F.col("a"), F.col("m"), F.col("e"), F.col("t"), F.col("p"))).collect()]
+    assert got == ["openrewrite", "agent-codemod"]
+
+
+def test_unknown_section_fails(spark):
+    assert one(spark, exprs.rule_type(F.col("s")), s="deprecation") == "deprecation"
+    with pytest.raises(Exception, match="unrecognized source section"):
+        one(spark, exprs.rule_type(F.col("s")), s="none such")
+
+
+def test_cards_only_without_any_step(spark):
+    rules = spark.createDataFrame([("p", 1), ("p", 2), ("q", 3)], "plan string, rule_id long")
+    steps = spark.createDataFrame([(1,)], "rule_id long")
+    assert [r.rule_id for r in upgrade.rule_cards(rules, steps, ["plan"]).collect()] == [3]
+    assert upgrade.rule_cards(rules, steps.limit(0), ["plan"]).count() == 3
+
+
+def test_truncated_group(spark):
+    rules = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "rule_id long, match_count int")
+    affects = spark.createDataFrame([(1, "Dependency", "com.fasterxml.jackson.core:databind"), (2, "Dependency", "com.fasterxml.jackson:x"), (3, "Dependency", "com.fasterxml.jackson.core:y")], "rule_id long, kind string, name string")
+    scan = matching.normalise(spark.createDataFrame([("com.fasterxml.jackson.annotation.JsonProperty",), ("com.fasterxml.other.Thing",)], "name string"))
+    got = {r.rule_id: r.matched_entities for r in lifecycle.matched_names(rules, affects, scan).collect()}
+    assert got == {1: "com.fasterxml.jackson.annotation.JsonProperty", 2: "com.fasterxml.jackson.annotation.JsonProperty"}
+
+
+def test_near_duplicate_passes(spark):
+    said = ["alpha beta gamma", "delta epsilon zeta", "eta theta iota kappa", "lamda mu nu"]
+    unit = lambda i: [float(j == i) for j in range(5)]
+    known = spark.createDataFrame([(10, said[0], unit(0), True), (11, said[0], unit(1), True), (12, said[1], unit(2), True), (13, said[2], unit(3), False), (14, said[3], unit(4), False)], "id long, statement string, embedding array<double>, indexed boolean")
+    tilted = lambda i, by: [x + by * (j == (i + 1) % 5) for j, x in enumerate(unit(i))]
+    asked = [(1, said[0], unit(4)), (2, "other words", tilted(2, 0.2)), (3, "eta theta iota kappa more", tilted(3, 0.2)), (4, "nothing shared", tilted(4, 0.2)), (5, "eta theta", tilted(3, 2.0)), (6, "no vector", []), (7, "zero", [0.0] * 5), (8, None, None)]
+    got = {r.id: (r.known_id, r["pass"]) for r in search.near_duplicate(spark.createDataFrame(asked, "id long, statement string, embedding array<double>"), known).collect()}
+    assert got == {1: (10, 1), 2: (12, 2), 3: (13, 3)}
+
+
+def test_vector_pairs_are_all_found(spark):
+    rng = random.Random(4)
+    rows = [[rng.gauss(0, 1) + 3 * (j == i % 7) for j in range(12)] for i in range(400)] + [[1.0] * 12] * 60
+    frame = spark.createDataFrame(list(enumerate(rows)), "id long, embedding array<double>")
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    close = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / norm(a) / norm(b), 6) >= 0.8
+    want = {(i, j) for i in range(0, 460, 20) for j in range(460) if i != j and close(rows[i], rows[j])}
+    assert {(r.query, r.id) for r in search.within(frame.where("id % 20 = 0"), frame, 0.8).collect()} == want and want
+
+
+def test_update_guards(spark):
+    steps = spark.createDataFrame([(1, 100), (2, 200), (3, 300)], "step_id long, rule_id long")
+    rules = spark.createDataFrame([(100, "f", 5), (200, "f", 9), (300, "g", 5)], "rule_id long, framework string, sortable long")
+    contexts = spark.createDataFrame([(7, "f", 4, 5)], "context_id long, framework string, from_sortable long, to_sortable long")
+    bridges, owned = spark.createDataFrame([(100,)], "rule_id long"), spark.createDataFrame([(7, 3)], "context_id long, step_id long")
+    asked = [(0, 7, 1, "completed"), (1, 7, 1, "deferred"), (2, 7, 2, "deferred"), (3, 7, 2, "completed"), (4, 7, 3, "skipped"), (5, 7, 1, "bridgeResolved"), (6, 8, 1, "failed"), (7, 7, 99, "failed"), (8, 7, 1, None)]
+    got = {r.request_id: r.error_code for r in context.judge_updates(spark.createDataFrame(asked, "request_id long, context_id long, step_id long, outcome string"), steps, rules, contexts, bridges, owned).collect()}
+    assert got == {0: None, 1: None, 2: "bridge_not_in_graph", 3: "step_not_on_path", 4: None, 5: "invalid_outcome", 6: "step_not_on_path", 7: "step_not_on_path", 8: "invalid_outcome"}
+
+
+def test_bridges_resolve_deferrals(spark):
+    events = [(7, 1, "deferred", 2, 1), (7, 2, "completed", None, 2), (7, 3, "deferred", 2, 3), (7, 4, "deferred", None, 1), (8, 1, "deferred", 2, 1)]
+    got = {(r.context_id, r.step_id): (r.status, r.resolved_via) for r in context.settled(spark.createDataFrame(events, "context_id long, step_id long, outcome string, required long, at long")).collect()}
+    assert got == {(7, 1): ("completed", "bridge"), (7, 2): ("completed", None), (7, 3): ("deferred", None), (7, 4): ("deferred", None), (8, 1): ("deferred", None)}
+
+
+def test_contexts_are_created_or_resumed(spark):
+    lists = ", ".join(f"{c} array<string>" for c in ("scanned_entities", *context.BUCKETS))
+    key = "project_id long, from_sortable long, to_sortable long, framework string"
+    old = spark.createDataFrame([(1, 1, 2, "f", "partial", *[["a"]] * 6), (2, 9, 10, "f", "complete", *[["z"]] * 6)], f"{key}, status string, {lists}")
+    asked = spark.createDataFrame([(1, 1, 2, "f", *[["b"]] * 6, 1), (2, 9, 10, "f", *[["n"]] * 6, 1), (3, 1, 2, "f", *[["c"]] * 6, 1)], f"{key}, {lists}, at long")
+    known = spark.createDataFrame([("f", 1), ("f", 2)], "framework string, sortable long")
+    got = {r.project_id: (r.status, r.scanned_entities, r.classes, r.created) for r in context.opened(old, asked, known).collect()}
+    assert got == {1: ("partial", ["a"], ["b"], False), 2: ("in-progress", ["n"], ["n"], True), 3: ("in-progress", ["c"], ["c"], True)}
+
+
+def test_closing(spark):
+    rows = spark.createDataFrame([(1, "in-progress"), (2, "in-progress")], "context_id long, status string")
+    asked = spark.createDataFrame([(1, 1, "partial", "x", 1), (2, 1, "done", "y", 2), (3, 9, "complete", "z", 3)], "request_id long, context_id long, final_status string, notes string, at long")
+    after, judged = context.closed(rows, asked)
+    assert {r.context_id: (r.status, r.notes) for r in after.collect()} == {1: ("partial", "x"), 2: ("in-progress", "")}
+    assert {r.request_id: r.error_code for r in judged.collect()} == {1: None, 2: "invalid_final_status", 3: "context_not_found"}
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    """A row that comes after the watermark has passed its window changes nothing; one in time does."""
+    from datetime import datetime
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    batches = [[("10:05", "view", 1.0)], [("12:30", "view", 1.0), ("12:31", "click", 2.0)], [("12:40", "view", 1.0), ("12:25", "click", 1.0)], [("12:59", "view", 1.0), ("10:06", "view", 9.0)]]
+    for i, rows in enumerate(batches):
+        at = [datetime.fromisoformat(f"2024-01-01 {t}:00") for t, _, _ in rows]
+        table = {"event_id": pa.array(range(len(rows)), pa.int64()), "ts": pa.array(at, pa.timestamp("us")), "user_id": pa.array([1] * len(rows), pa.int64()), "event_type": [k for _, k, _ in rows], "value": [v for _, _, v in rows], "props": ["{}"] * len(rows)}
+        pq.write_table(pa.table(table), f"{tmp_path}/e{i}.parquet")
+        os.utime(f"{tmp_path}/e{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = outcomes.windowed(outcomes.events(spark, f"{tmp_path}/", files=1))
+    got = {(r.start, r.event_type): (r.events, r.total) for r in outcomes.run_to_table(stream, str(tmp_path / "out"), ["start", "event_type"]).collect()}
+    assert got == {("2024-01-01 10:00:00", "view"): (1, 1.0), ("2024-01-01 12:00:00", "view"): (3, 3.0), ("2024-01-01 12:00:00", "click"): (2, 3.0)}
+
+
+def test_sinks_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("f", "# a\n| x |"), ("g", "# b")], "framework string, markdown string")
+    for _ in range(2):
+        sinks.write_markdown(rows, str(tmp_path / "md"), ["framework"])
+    assert {(r.framework, r.value) for r in spark.read.text(str(tmp_path / "md"), wholetext=True).collect()} == {("f", "# a\n| x |\n"), ("g", "# b\n")}
+    batch = spark.createDataFrame([("deprecation", "t", [("class", "N", "removed")])], "source_section string, title string, entities array<struct<kind:string,name:string,role:string>>")
+    sinks.write_entities(batch, str(tmp_path / "json"))
+    back = parsers.entity_batches(spark, str(tmp_path / "json")).first()
+    assert (back.title, back.entities[0].name, back.steps) == ("t", "N", None)
+    (tmp_path / "bad.json").write_text('{"entities": [{"title": ')
+    with pytest.raises(Exception):
+        parsers.entity_batches(spark, str(tmp_path / "bad.json")).collect()
+    hops = spark.createDataFrame([("f", 1000000, 2000000), ("f", 2000000, 3000000)], "framework string, hop_from long, hop_to long")
+    sinks.write_ranges(hops, str(tmp_path / "hops"))
+    assert spark.read.parquet(str(tmp_path / "hops")).where("framework = 'f' AND major = 2").select("hop_to").first()[0] == 3000000
+
+
+def test_insight_dumps_of_both_styles(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"statement": "s", "sourceUrl": "u", "affectedClasses": ["C"]}]')
+    (tmp_path / "b.json").write_text('[{"statement": "t", "evidence_url": "v"}]')
+    got = parsers.insight_dumps(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json")).orderBy("statement").collect()
+    assert [(r.statement, r.source_url, r.affected_classes) for r in got] == [("s", "u", ["C"]), ("t", "v", None)]
+
+
+def test_calls_are_traced(spark, tmp_path):
+    calls = spark.createDataFrame([("tool", 1)], "tool string, ms long")
+    for _ in range(2):
+        records.trace(calls, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def test_filters_with_open_ends(spark):
+    rows = spark.range(5)
+    assert rows.where(exprs.between_or_open(F.col("id"), 2, None)).count() == 3 and rows.where(exprs.between_or_open(F.col("id"))).count() == 5
+    assert rows.where(exprs.equals_or_any(F.col("id"), None)).count() == 5 and rows.where(exprs.equals_or_any(F.col("id"), 3)).count() == 1
+    assert one(spark, exprs.mentions("ABC", F.col("a"), F.col("b")), a=None, b="xabcx") is True
+
+
+def test_batch_edges(spark):
+    step = {"index": 1, "requires": []}
+    entity = {"source_section": "deprecation", "title": "t", "steps": [step, {"index": 2, "requires": [1, 5]}], "entities": [dict(kind="class", name="A", role="removed"), dict(kind="class", name="B", role="replacement"), dict(kind="property", name="p", role="mentioned")]}
+    tables = records.batch_tables(spark.createDataFrame([entity, entity], parsers.ENTITY_BATCH), "4.0.0")
+    assert [(r["index"], r.requires) for r in tables["requires"].collect()] == [(2, 1)]
+    assert [tuple(r) for r in tables["replaced_by"].collect()] == [("class", "A", "B")]
+    assert {(r.name, r.edge, r.version) for r in tables["lifecycle"].collect()} == {("A", "REMOVED_IN", "4.0.0"), ("B", "INTRODUCED_IN", "4.0.0"), ("p", "DEPRECATED_IN", "4.0.0")}
 
 
 def test_changelog_section(spark):

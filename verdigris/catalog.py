@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from verdigris.plans import etl, project, records, retrieval, streams, upgrade
+from verdigris.plans import etl, notes, project, records, retrieval, state, streams, upgrade
 
-_PLANS = (upgrade, project, records, retrieval, etl, streams)
+_PLANS = (upgrade, project, state, records, retrieval, etl, notes, streams)
 QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLES: dict = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}

@@ -42,6 +42,10 @@ RULE_TYPES = {
     "new_capability": "behavioral",
 }
 
+#: Entity kinds, their node label and edge type.
+LABELS = {"class": "Class", "property": "ApplicationProperty", "dependency": "Dependency"}
+EDGES = {"class": "AFFECTS_CLASS", "property": "AFFECTS_PROPERTY", "dependency": "AFFECTS_DEPENDENCY"}
+
 #: Name prefixes that a context keeps.
 ALLOWED_PREFIXES = (
     "org.springframework", "jakarta.", "javax.", "org.hibernate", "io.micrometer", "io.projectreactor", "org.thymeleaf",
@@ -64,16 +68,43 @@ def lookup(value: Column, table: dict, default=None) -> Column:
     return out.otherwise(F.lit(default))
 
 
+def rule_type(section: Column) -> Column:
+    """Rule type of a source section; an unknown one fails the query."""
+    unknown = F.raise_error(F.concat(F.lit("unrecognized source section "), F.coalesce(section, F.lit("null"))))
+    return F.coalesce(lookup(section, RULE_TYPES), unknown.cast("string"))
+
+
+def equals_or_any(column: Column, value) -> Column:
+    """Optional equality: everything passes without a value."""
+    return F.lit(True) if value is None else F.coalesce(column == F.lit(value), F.lit(False))
+
+
+def between_or_open(column: Column, low=None, high=None) -> Column:
+    """Closed range, either bound of which may be left open."""
+    from_low = F.lit(True) if low is None else column >= low
+    to_high = F.lit(True) if high is None else column <= high
+    return F.coalesce(from_low & to_high, F.lit(False))
+
+
+def mentions(keyword: str, *texts: Column) -> Column:
+    """A keyword stands in one of the texts, in any case."""
+    found = F.lit(False)
+    for text in texts:
+        found = found | F.coalesce(F.contains(F.lower(text), F.lit(keyword.lower())), F.lit(False))
+    return found
+
+
 def severity_rank(severity: Column) -> Column:
     """0 for critical up to 3 for low; 4 for anything else."""
     return lookup(severity, SEVERITY_RANK, 4)
 
 
 def at_least(severity: Column, threshold: str | None) -> Column:
-    """Severity reaches the threshold; null fails unless there is none."""
-    if threshold is None:
+    """Severity, in any case, reaches the threshold; null and empty ones fail unless there is none."""
+    if not threshold:
         return F.lit(True)
-    return F.coalesce(lookup(severity, THRESHOLD_RANK, 0), F.lit(0)) >= THRESHOLD_RANK.get(threshold, 0)
+    reached = lookup(F.lower(severity), THRESHOLD_RANK, 0) >= THRESHOLD_RANK.get(threshold.lower(), 0)
+    return F.coalesce(reached & (severity != ""), F.lit(False))
 
 
 def applicability(affected: Column, matches: Column, rank: Column, scanned: Column, forced: Column | None = None) -> Column:
@@ -91,11 +122,15 @@ def is_concrete(text: Column) -> Column:
 
 
 def executor(recipe: Column, auto: Column, missing: Column, effort: Column, instruction: Column, applicable: Column) -> Column:
-    """The track that carries a step out; a recipe of unknown automation falls through to the effort rows."""
+    """The track that carries a step out; a recipe of unknown automation falls through to the effort rows.
+
+    Unknown missing parameters are none; effort is read in any case.
+    """
+    missing = F.coalesce(missing, F.lit(False))
     return (
         F.when(recipe.isNotNull() & auto & ~missing, "openrewrite")
         .when(recipe.isNotNull() & (~auto | missing), "prompted-auto")
-        .when(effort.isin("mechanical", "moderate") & is_concrete(instruction) & (applicable == "matched"), "agent-codemod")
+        .when(F.lower(effort).isin("mechanical", "moderate") & is_concrete(instruction) & (applicable == "matched"), "agent-codemod")
         .otherwise("human-review")
     )
 

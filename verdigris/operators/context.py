@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 OUTCOMES = ("completed", "failed", "skipped", "deferred", "excluded")
+#: How a context may be closed, and the checks of each mode.
+FINAL_STATUSES = ("complete", "partial", "abandoned")
+LITE_CHECKS = ("truncation", "applicability_uncertain", "version_sanity", "paysafe_unresolved")
+FULL_CHECKS = (*LITE_CHECKS, "stepless_rule", "bridge_eligible")
+#: What a scan puts into a context; refreshed whenever it is opened again.
+BUCKETS = ("classes", "class_simple", "deps_ga", "dep_artifacts", "props")
 
 
 def fold(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -119,3 +125,89 @@ def cap(rows: DataFrame, n: int, order: list[Column]) -> DataFrame:
     """The first n rows of a ranked report, with their rank."""
     top = rows.orderBy(*order).limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def judge_updates(requests: DataFrame, steps: DataFrame, rules: DataFrame, contexts: DataFrame, bridges: DataFrame, owned: DataFrame) -> DataFrame:
+    """The requests (request_id, context_id, step_id, outcome) with ``error_code``, null where the update is accepted.
+
+    In this order: an outcome that is none; a deferral although no bridge
+    (``bridges``: rule_id) leads from the step's rule; a step that is neither
+    on the context's path (its rule's version in the context's range) nor its
+    own (``owned``: context_id, step_id).
+    """
+    placed = steps.select("step_id", "rule_id").join(rules.select("rule_id", F.col("framework").alias("rule_framework"), "sortable"), "rule_id")
+    placed = placed.join(bridges.select("rule_id", F.lit(True).alias("bridged")).distinct(), "rule_id", "left")
+    mine = owned.select("context_id", "step_id", F.lit(True).alias("own")).distinct()
+    met = (
+        requests.join(placed, "step_id", "left")
+        .join(contexts.select("context_id", "framework", "from_sortable", "to_sortable"), "context_id", "left")
+        .join(mine, ["context_id", "step_id"], "left")
+    )
+    inside = (F.col("rule_framework") == F.col("framework")) & (F.col("sortable") > F.col("from_sortable")) & (F.col("sortable") <= F.col("to_sortable"))
+    off = F.lit(False)
+    error = (
+        F.when(~F.coalesce(F.col("outcome").isin(*OUTCOMES), off), "invalid_outcome")
+        .when((F.col("outcome") == "deferred") & ~F.coalesce("bridged", off), "bridge_not_in_graph")
+        .when(~(F.coalesce("own", off) | F.coalesce(inside, off)), "step_not_on_path")
+    )
+    return met.select(*requests.columns, error.alias("error_code"))
+
+
+def settled(events: DataFrame) -> DataFrame:
+    """Last state of every step (context_id, step_id) of accepted events (outcome, required, at).
+
+    A deferred step whose required step is completed after the deferral is
+    completed through its bridge.
+    """
+    last = fold(events.select("context_id", "step_id", "outcome", "required", "at"), ["context_id", "step_id"], ["at"])
+    done = events.where("outcome = 'completed'").groupBy("context_id", F.col("step_id").alias("required")).agg(F.max("at").alias("done_at"))
+    met = last.join(done, ["context_id", "required"], "left")
+    via = (F.col("outcome") == "deferred") & (F.col("done_at") > F.col("at"))
+    return met.select(
+        "context_id", "step_id", F.when(via, "completed").otherwise(F.col("outcome")).alias("status"), F.when(via, "bridge").alias("resolved_via")
+    )
+
+
+def opened(existing: DataFrame, requests: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """Contexts after each request opened its own, by (project_id, from_sortable, to_sortable), with ``created``.
+
+    A new one is in progress.  One that is there keeps its status and its
+    scanned entities; its buckets are those of the request.  With ``versions``
+    contexts whose start is no longer in the catalogue are deleted first, and
+    so made anew.  Of several requests for one context one counts, the last by
+    ``at``.
+    """
+    keys = ["project_id", "from_sortable", "to_sortable"]
+    if versions is not None:
+        known = versions.select("framework", F.col("sortable").alias("from_sortable")).distinct()
+        existing = existing.join(known, ["framework", "from_sortable"], "left_semi")
+    fresh = fold(requests.select(*keys, "framework", "scanned_entities", *BUCKETS, "at"), keys, ["at"])
+    new = fresh.select(*keys, F.struct("framework", "scanned_entities", *BUCKETS).alias("new"))
+    old = existing.select(*keys, F.struct("framework", "status", "scanned_entities", *BUCKETS).alias("old"))
+    either = lambda c: F.when(F.col("old").isNotNull(), F.col("old")[c]).otherwise(F.col("new")[c]).alias(c)
+    latest = lambda c: F.when(F.col("new").isNotNull(), F.col("new")[c]).otherwise(F.col("old")[c]).alias(c)
+    return old.join(new, keys, "full_outer").select(
+        *keys, either("framework"), F.coalesce("old.status", F.lit("in-progress")).alias("status"), either("scanned_entities"), *map(latest, BUCKETS),
+        F.col("old").isNull().alias("created"),
+    )
+
+
+def closed(contexts: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(contexts after the closing requests, requests with their error).
+
+    A request (request_id, context_id, final_status, notes, at) with another
+    status, or for no context, changes nothing; the last sound one counts.
+    """
+    there = contexts.select("context_id", F.lit(True).alias("there"))
+    error = F.when(~F.coalesce(F.col("final_status").isin(*FINAL_STATUSES), F.lit(False)), "invalid_final_status").when(F.col("there").isNull(), "context_not_found")
+    judged = requests.join(there, "context_id", "left").select(*requests.columns, error.alias("error_code"))
+    last = fold(judged.where("error_code is null").select("context_id", "final_status", "notes", "at"), ["context_id"], ["at"])
+    after = contexts.join(last, "context_id", "left").select(
+        *[c for c in contexts.columns if c != "status"], F.coalesce("final_status", "status").alias("status"), F.coalesce("notes", F.lit("")).alias("notes")
+    )
+    return after, judged
+
+
+def checks(mode: Column) -> Column:
+    """Names of the gap checks of a mode; only ``full``, which no mode is too, has all."""
+    return F.when(F.coalesce(mode, F.lit("full")) == "full", F.array(*map(F.lit, FULL_CHECKS))).otherwise(F.array(*map(F.lit, LITE_CHECKS)))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 THRESHOLD, ALTERNATIVES = 0.68, 3
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def plain(name: Column) -> Column:
@@ -23,18 +24,27 @@ def by_level(requests: DataFrame, services: DataFrame) -> DataFrame:
     return best.select("request_id", "name", F.col("b.service").alias("service"), method.alias("method"))
 
 
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the table as the bits of one number."""
+    full = (1 << len(a)) - 1
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    row = full
+    for c in b:
+        met = row & at.get(c, 0)
+        row = ((row + met) | (row - met)) & full
+    return (row ^ full).bit_count()
+
+
 def indel(a: str, b: str) -> float:
     """1 - (insertions + deletions) / (lengths): twice the longest common subsequence over both lengths."""
-    if not a and not b:
-        return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            kept = row[j]
-            row[j] = before + 1 if x == y else max(row[j], row[j - 1])
-            before = kept
-    return 2 * row[-1] / (len(a) + len(b))
+    return 2 * common(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def letters(key: Column) -> Column:
+    """How often each letter and digit stands in a plain name."""
+    return F.transform(F.array(*map(F.lit, ALPHABET)), lambda c: F.length(key) - F.length(F.replace(key, c, F.lit(""))))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -46,14 +56,18 @@ def resolve(requests: DataFrame, services: DataFrame, threshold: float = THRESHO
     """All levels; fuzzy for requests that the others leave, with score and alternatives.
 
     The catalogue of services is a list of names; requests meet those of it
-    whose lengths allow the threshold: 2 min / (sum) >= threshold.
+    whose lengths allow the threshold, 2 min / (sum) >= threshold, and of these
+    only pairs with enough letters in common, in any order, are aligned: a
+    common subsequence has no more letters than both names share.
     """
     found = by_level(requests, services).select("*", F.lit(None).cast("double").alias("similarity"), F.lit("").alias("alternatives"))
     rest = requests.join(found.select("request_id"), "request_id", "left_anti").withColumn("key", plain(F.col("name"))).where("key <> ''")
-    s = services.select("service", plain(F.col("service")).alias("skey")).withColumn("size", F.length("skey"))
+    s = services.select("service", plain(F.col("service")).alias("skey")).withColumns({"size": F.length("skey"), "sletters": letters(F.col("skey"))})
     low, high = F.ceil(F.length("key") * threshold / (2 - threshold)), F.floor(F.length("key") * (2 - threshold) / threshold)
     sized = rest.withColumn("size", F.explode(F.sequence(low, high)))
-    scored = sized.join(s, "size").withColumn("similarity", similarity("key", "skey")).where(F.col("similarity") >= threshold)
+    shared = F.aggregate(F.zip_with("letters", "sletters", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    likely = sized.withColumn("letters", letters(F.col("key"))).join(s, "size").where(2 * shared >= threshold * (F.length("key") + F.col("size")) - 1e-9)
+    scored = likely.withColumn("similarity", similarity("key", "skey")).where(F.col("similarity") >= threshold)
     w = Window.partitionBy("request_id").orderBy(F.desc("similarity"), "service")
     top = scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= ALTERNATIVES + 1)
     best = top.groupBy("request_id", "name").agg(

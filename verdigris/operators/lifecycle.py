@@ -38,7 +38,8 @@ def matched_names(rules: DataFrame, affects: DataFrame, scan: DataFrame) -> Data
 
     Direct names, classes by simple name, artifacts; and, where the rule
     matched, scanned classes under its classes' packages or, without a class
-    of its own, under its dependencies' groups.
+    of its own, under its dependencies' groups.  A group under which nothing
+    was scanned stands for the group above it.
     """
     a = affects.join(rules.select("rule_id", "match_count"), "rule_id")
     last = lambda c: F.element_at(F.split(c, r"\."), -1)
@@ -54,7 +55,39 @@ def matched_names(rules: DataFrame, affects: DataFrame, scan: DataFrame) -> Data
     hit = a.where("match_count > 0")
     has_class = affects.where("kind = 'Class'").select("rule_id").distinct()
     package = hit.where("kind = 'Class'").select("rule_id", F.substring("name", F.lit(1), F.length("name") - F.length(last("name")) - 1).alias("prefix"))
-    group = hit.where("kind = 'Dependency'").join(has_class, "rule_id", "left_anti").select("rule_id", F.get(F.split("name", ":"), F.lit(0)).alias("prefix"))
-    bridged = package.unionByName(group).distinct().join(under, "prefix").select("rule_id", "found")
+    group = hit.where("kind = 'Dependency'").join(has_class, "rule_id", "left_anti").select("rule_id", F.get(F.split("name", ":"), F.lit(0)).alias("prefix")).distinct()
+    known = under.select("prefix").distinct()
+    above = F.when(F.contains("prefix", F.lit(".")), F.substring("prefix", F.lit(1), F.length("prefix") - F.length(last("prefix")) - 1))
+    wider = group.join(known, "prefix", "left_anti").select("rule_id", above.alias("prefix"))
+    bridged = package.unionByName(group).unionByName(wider).distinct().join(under, "prefix").select("rule_id", "found")
     every = direct.unionByName(by_simple).unionByName(by_artifact).unionByName(bridged)
     return every.groupBy("rule_id").agg(F.array_join(F.sort_array(F.collect_set("found")), ",").alias("matched_entities"))
+
+
+def lifecycle_edges(roles: DataFrame, rules: DataFrame) -> DataFrame:
+    """(kind, name, framework, edge, sortable): removed, introduced and deprecated entities by version.
+
+    ``roles``: (rule_id, kind, name, role); ``rules``: (rule_id, framework,
+    sortable, rule_type).  A removed entity is REMOVED_IN, a replacement
+    INTRODUCED_IN, any other of a deprecation rule DEPRECATED_IN the version.
+    """
+    edge = (
+        F.when(F.col("role") == "removed", "REMOVED_IN")
+        .when(F.col("role") == "replacement", "INTRODUCED_IN")
+        .when(F.col("rule_type") == "deprecation", "DEPRECATED_IN")
+    )
+    return roles.join(rules, "rule_id").select("kind", "name", "framework", edge.alias("edge"), "sortable").where("edge is not null").distinct()
+
+
+def deprecations(edges: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Per entity and framework the first version that deprecates (else introduces) and removes it, and its successors.
+
+    ``replaced``: (kind, old_name, new_name).  Only entities that a rule of the
+    framework reaches have an edge, so the semi-join on rules is the edge table.
+    """
+    first = lambda e: F.min(F.when(F.col("edge") == e, F.col("sortable")))
+    per = edges.groupBy("kind", "name", "framework").agg(
+        F.coalesce(first("DEPRECATED_IN"), first("INTRODUCED_IN")).alias("deprecated_in"), first("REMOVED_IN").alias("removed_in")
+    )
+    successor = replaced.groupBy("kind", F.col("old_name").alias("name")).agg(F.min("new_name").alias("replaced_by"), F.count_distinct("new_name").alias("successors"))
+    return per.join(successor, ["kind", "name"], "left").select("kind", "name", "framework", "deprecated_in", "removed_in", "replaced_by", F.coalesce("successors", F.lit(0).cast("long")).alias("successors"))

@@ -30,7 +30,7 @@ def class_prefixes(scan: DataFrame) -> DataFrame:
 
 
 def entity_hits(entities: DataFrame, scan: DataFrame) -> DataFrame:
-    """(kind, name) with direct, group and package hits.
+    """(kind, name) with direct, group and package hits, of the entities that have any.
 
     direct: the name itself, a class's simple name, or a dependency's
     coordinates or artifact was scanned.  group: a scanned class lies under
@@ -52,16 +52,12 @@ def entity_hits(entities: DataFrame, scan: DataFrame) -> DataFrame:
     prefix = F.when(F.col("kind") == "Class", F.substring("name", F.lit(1), F.length("name") - F.length(last) - 1)).when(
         (F.col("kind") == "Dependency") & (F.size(coords) >= 2), F.get(coords, F.lit(0))
     )
-    under = e.withColumn("prefix", prefix).join(class_prefixes(scan), "prefix", "left_semi").select("kind", "name", F.lit(True).alias("under"))
+    under = e.withColumn("prefix", prefix).join(class_prefixes(scan), "prefix", "left_semi").select("kind", "name").distinct().withColumn("under", F.lit(True))
     off = F.lit(False)
-    return (
-        e.join(direct, ["kind", "name"], "left")
-        .join(under, ["kind", "name"], "left")
-        .select(
-            "kind", "name", F.coalesce("direct", off).alias("direct"),
-            (F.coalesce("under", off) & (F.col("kind") == "Dependency")).alias("under_group"),
-            (F.coalesce("under", off) & (F.col("kind") == "Class")).alias("under_package"),
-        )
+    return direct.join(under, ["kind", "name"], "full_outer").select(
+        "kind", "name", F.coalesce("direct", off).alias("direct"),
+        (F.coalesce("under", off) & (F.col("kind") == "Dependency")).alias("under_group"),
+        (F.coalesce("under", off) & (F.col("kind") == "Class")).alias("under_package"),
     )
 
 
@@ -75,7 +71,10 @@ def applicable(rules: DataFrame, affects: DataFrame, scan: DataFrame, package_br
     reading the edges for them.  Edges are aggregated per rule before the join.
     """
     hits = entity_hits(affects if entities is None else entities, scan)
-    edges = affects.join(rules.select("rule_id"), "rule_id", "left_semi").join(hits, ["kind", "name"])
+    flags = ("direct", "under_group", "under_package")
+    # what was scanned is few beside the edges: the left join lets the edges stay where they are
+    edges = affects.join(rules.select("rule_id"), "rule_id", "left_semi").join(hits, ["kind", "name"], "left")
+    edges = edges.withColumns({f: F.coalesce(f, F.lit(False)) for f in flags})
     if forced is not None:
         edges = edges.join(forced.select("name", F.lit(1).alias("forced")), "name", "left")
     else:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from verdigris.operators.upsert import replacement_pairs
+
 
 def alias(name: Column) -> Column:
     """Framework name without blanks, dashes and underscores, lower-cased."""
@@ -48,16 +50,27 @@ def stub_recipes(steps: DataFrame, recipes: DataFrame) -> DataFrame:
     return both.select("recipe_id", name.alias("display_name"), "verified_by")
 
 
-def batch_tables(batches: DataFrame) -> dict[str, DataFrame]:
-    """Rules, steps, scopes and affected entities of entity batches, each without repeats."""
+def batch_tables(batches: DataFrame, version: str | None = None) -> dict[str, DataFrame]:
+    """Rules, steps, scopes, affected entities, and prerequisite, replacement and lifecycle edges of entity batches, each without repeats.
+
+    A removed entity and a replacement of one kind in one rule are a pair; a
+    removed entity is REMOVED_IN ``version``, a replacement INTRODUCED_IN it,
+    any other of a deprecation section DEPRECATED_IN it.
+    """
     rule = F.substring(F.sha2(F.concat_ws("|", "source_section", "title"), 256), 1, 12)
     b = batches.withColumn("rule_id", rule)
     first = b.groupBy("rule_id").agg(*[F.min(c).alias(c) for c in ("title", "change_type", "source_section")])
     steps = b.select("rule_id", F.explode("steps").alias("s")).select("rule_id", "s.index", "s.effort", "s.automatable").distinct()
     default = F.array(F.struct(F.lit("general").alias("scope"), F.lit("low").alias("severity")))
     scopes = b.select("rule_id", F.explode(F.when(F.coalesce(F.size("scopes"), F.lit(0)) <= 0, default).otherwise(F.col("scopes"))).alias("s")).select("rule_id", "s.scope", "s.severity").distinct()
-    entities = b.select("rule_id", F.explode("entities").alias("e")).select("rule_id", "e.kind", "e.name", "e.role").distinct()
-    return {"rule": first, "step": steps, "scope": scopes, "affects": entities}
+    entities = b.select("rule_id", "source_section", F.explode("entities").alias("e")).select("rule_id", "source_section", "e.kind", "e.name", "e.role").distinct()
+    requires = b.select("rule_id", F.explode("steps").alias("s")).select("rule_id", F.col("s.index").alias("index"), F.explode("s.requires").alias("requires")).distinct()
+    known = steps.select("rule_id", F.col("index").alias("requires")).distinct()
+    edge = F.when(F.col("role") == "removed", "REMOVED_IN").when(F.col("role") == "replacement", "INTRODUCED_IN").when(F.col("source_section") == "deprecation", "DEPRECATED_IN")
+    return {
+        "rule": first, "step": steps, "scope": scopes, "affects": entities.drop("source_section"), "requires": requires.join(known, ["rule_id", "requires"], "left_semi"),
+        "replaced_by": replacement_pairs(entities), "lifecycle": entities.select("kind", "name", edge.alias("edge"), F.lit(version).alias("version")).where("edge is not null").distinct(),
+    }
 
 
 def submit(insights: DataFrame) -> DataFrame:

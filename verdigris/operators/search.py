@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from verdigris.lineage import cut
+
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
@@ -11,10 +17,16 @@ def tokens(text: Column) -> Column:
 
 
 def bm25(docs: DataFrame, query: list[str], k: int, key: str = "id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Top k documents (id, score, rank) for the terms of a query, ties by id."""
+    """Top k documents (id, score, rank) for the terms of a query, ties by id.
+
+    Texts are read and cut into terms once; what both the totals and the hits
+    read is a checkpoint of the counts.
+    """
     terms = sorted(set(query))
-    sized = docs.select(key, tokens(F.col(text)).alias("ts")).select(
-        key, F.size("ts").alias("dl"), *[F.size(_only(t)).alias(f"tf{i}") for i, t in enumerate(terms)]
+    sized = cut(
+        docs.select(key, tokens(F.col(text)).alias("ts")).select(
+            key, F.size("ts").alias("dl"), *[F.size(_only(t)).alias(f"tf{i}") for i, t in enumerate(terms)]
+        )
     )
     total = sized.agg(
         F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
@@ -68,14 +80,101 @@ def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
     )
 
 
-def near_duplicate(candidates: DataFrame, known: DataFrame, least: float = 0.92) -> DataFrame:
-    """Each candidate with the known rule it repeats and the pass that said so.
+def postings(docs: DataFrame, terms: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(term, id, tf, dl) of the wanted terms: an inverted index, which queries join on its terms."""
+    cut_up = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("ts"))
+    words = cut_up.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(terms, "term", "left_semi")
+    return words.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+
+
+def bm25_each(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query, id, score, rank): the top k documents (id, text) for each query (query, text) but itself, ties by id."""
+    asked = cut(queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
+    index = cut(postings(docs, asked.select("term").distinct()))
+    total = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    met = asked.join(df, "term").join(index, "term").where(F.col("id") != F.col("query")).crossJoin(F.broadcast(total))  # one row
+    scored = met.groupBy("query", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
 
-    Pass 1: the same statement.  Pass 2: cosine of at least ``least`` among the
-    known vectors of the candidate's block (``label``), the best, ties by id.
+#: Pivots of the vector search: a bounded sample, by which every row is indexed.
+PIVOTS = 64
+
+
+def _angles(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
+    """Angles of rows with the pivots; NaN for rows of another length, or of zeros."""
+    out = np.full((len(vectors), len(pivots)), np.nan)
+    right = [i for i, v in enumerate(vectors) if v is not None and len(v) == pivots.shape[1]]
+    if right:
+        m = np.array([vectors.iloc[i] for i in right], np.float64)
+        norm = np.sqrt((m * m).sum(axis=1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[right] = np.arccos(np.clip(m @ pivots.T / norm[:, None], -1, 1))
+    return out
+
+
+def within(queries: DataFrame, rows: DataFrame, least: float, pivots: int = PIVOTS) -> DataFrame:
+    """(query, id, score): every pair of a query and a row (id, embedding) with a cosine of at least ``least`` > 0.
+
+    Rows belong to their nearest pivot.  By the triangle inequality of angles a
+    query need only look into cells whose pivot is no farther than the cell's
+    radius and the angle of ``least``, so none is missed.  The scores are those
+    of ``cosine``.  A cell with many rows is a hot key of a join that can be
+    split.
+    """
+    sample = rows.where(F.size("embedding") > 0).orderBy(F.xxhash64("id")).select("embedding").limit(pivots).collect()
+    kept = [np.array(r[0], np.float64) for r in sample]
+    kept = [v / np.linalg.norm(v) for v in kept if len(v) == len(kept[0]) and np.linalg.norm(v) > 0]
+    spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
+    if not kept:
+        return queries.select(F.col("id").alias("query"), F.col("id"), F.lit(0.0).alias("score")).limit(0)
+    given = spark.sparkContext.broadcast(np.array(kept))
+
+    def nearest_cell(batches):
+        for b in batches:
+            angle = _angles(b["embedding"], given.value)
+            some = ~np.isnan(angle).any(axis=1)
+            yield pd.DataFrame({"id": b["id"][some], "cell": angle[some].argmin(axis=1), "angle": angle[some].min(axis=1)})
+
+    cells = cut(rows.select("id", "embedding").mapInPandas(nearest_cell, f"id {kind}, cell long, angle double"))
+    radius = {r.cell: r.far for r in cells.groupBy("cell").agg(F.max("angle").alias("far")).collect()}  # one row for each pivot
+    reach = np.array([radius.get(i, -10.0) for i in range(len(kept))]) + math.acos(min(1.0, least)) + 1e-6
+
+    def cells_to_see(batches):
+        for b in batches:
+            near = _angles(b["embedding"], given.value) <= reach
+            q, cell = np.nonzero(near)
+            yield pd.DataFrame({"query": b["id"].to_numpy()[q], "cell": cell})
+
+    asked = queries.select("id", "embedding").mapInPandas(cells_to_see, f"query {kind}, cell long")
+    pairs = asked.join(cells.select("id", "cell"), "cell").where(F.col("query") != F.col("id")).select("query", "id")
+    met = pairs.join(rows.select("id", F.col("embedding").alias("v")), "id").join(queries.select(F.col("id").alias("query"), "embedding"), "query")
+    return met.select("query", "id", F.round(cosine(F.col("embedding"), F.col("v")), 6).alias("score")).where(F.col("score") >= least)
+
+
+def near_duplicate(candidates: DataFrame, known: DataFrame, least: float = 0.92, hits: int = 5) -> DataFrame:
+    """Each candidate (id, statement, embedding) with the known row it repeats and the pass that said so.
+
+    Pass 1: the same statement, the lowest id.  Pass 2: the best cosine of at
+    least ``least`` over the whole vector index (rows with ``indexed``), ties by
+    id.  Pass 3: of the best ``hits`` rows by BM25 for the statement the first
+    with a cosine of at least ``least``.  As pass 3 asks for both, the cosines
+    come first and only candidates that have such a row are scored.
     """
-    exact = candidates.join(known.select(F.col("id").alias("known_id"), "statement"), "statement").select("id", "known_id", F.lit(1).alias("pass"), F.lit(1.0).alias("score"))
-    k = known.select(F.col("id").alias("known_id"), F.col("embedding").alias("v"), "label")
-    vector = candidates.join(k, "label").select("id", "known_id", F.lit(2).alias("pass"), F.round(cosine(F.col("embedding"), F.col("v")), 6).alias("score")).where(F.col("score") >= least)
-    best = exact.unionByName(vector).groupBy("id").agg(F.min(F.struct("pass", (-F.col("score")).alias("minus"), "known_id")).alias("b"))
-    return best.select("id", F.col("b.known_id").alias("known_id"), F.col("b.pass").alias("pass"), (-F.col("b.minus")).alias("score"))
+    same = candidates.join(known.select(F.col("id").alias("known_id"), "statement"), "statement").where(F.col("id") != F.col("known_id"))
+    exact = same.groupBy("id").agg(F.min("known_id").alias("known_id")).select("id", "known_id", F.lit(1).alias("pass"), F.lit(1.0).alias("score"))
+    exact = cut(exact)
+    rest = candidates.join(exact, "id", "left_anti")
+    close = cut(within(rest, known, least).select(F.col("query").alias("id"), F.col("id").alias("known_id"), "score").join(known.select(F.col("id").alias("known_id"), "indexed"), "known_id"))
+    best = F.min(F.struct((-F.col("score")).alias("minus"), "known_id")).alias("b")
+    vector = cut(close.where("indexed").groupBy("id").agg(best).select("id", "b.known_id", F.lit(2).alias("pass"), (-F.col("b.minus")).alias("score")))
+    unsettled = cut(close.join(vector, "id", "left_anti").select("id", "known_id", "score"))
+    asked = rest.join(unsettled.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("query"), F.col("statement").alias("text"))
+    found = bm25_each(asked, known.select("id", F.col("statement").alias("text")), hits).select(F.col("query").alias("id"), F.col("id").alias("known_id"), "rank")
+    ranked_hits = found.join(unsettled, ["id", "known_id"]).groupBy("id").agg(F.min(F.struct("rank", "known_id", "score")).alias("b"))
+    lexical = ranked_hits.select("id", "b.known_id", F.lit(3).alias("pass"), "b.score")
+    return exact.unionByName(vector).unionByName(lexical)

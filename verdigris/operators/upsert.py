@@ -38,3 +38,8 @@ def votes(insights: DataFrame, events: DataFrame) -> DataFrame:
         F.coalesce("votes", F.lit(0).cast("long")).alias("votes"),
         (F.col("verified") | F.coalesce("by_event", F.lit(False))).alias("verified"),
     )
+
+
+def key_violations(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that stand on more than one row, with their number: none after a sound write."""
+    return table.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1")

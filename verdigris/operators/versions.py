@@ -40,3 +40,30 @@ def hops(versions: DataFrame, key: str = "sortable") -> DataFrame:
     """Consecutive versions of each framework."""
     w = Window.partitionBy("framework").orderBy(key)
     return versions.select("framework", F.col(key).alias("hop_from"), F.lead(key).over(w).alias("hop_to")).where("hop_to is not null")
+
+
+def on_path(contexts: DataFrame, versions: DataFrame) -> DataFrame:
+    """(context_id, framework, sortable): the versions in each context's range (from, to].
+
+    A range join without comparing all pairs: a framework's versions are one
+    short sorted list, of which a context keeps its part.
+    """
+    lists = versions.groupBy("framework").agg(F.sort_array(F.collect_set("sortable")).alias("all"))
+    inside = F.filter("all", lambda v: (v > F.col("from_sortable")) & (v <= F.col("to_sortable")))
+    return contexts.join(lists, "framework").select("context_id", "framework", F.explode(inside).alias("sortable"))
+
+
+def checked_range(requests: DataFrame, versions: DataFrame) -> DataFrame:
+    """Each requested range (request_id, framework, low, high) with what is wrong with it, null if nothing is.
+
+    ``reversed``, else ``unknown_from``, else ``unknown_to``, else ``too_few``
+    (less than two versions).
+    """
+    lists = versions.groupBy("framework").agg(F.collect_set("sortable").alias("all"))
+    met = requests.join(lists, "framework", "left").withColumn("all", F.coalesce("all", F.array().cast("array<bigint>")))
+    inside = F.size(F.filter("all", lambda v: (v >= F.col("low")) & (v <= F.col("high"))))
+    fault = (
+        F.when(F.col("low") > F.col("high"), "reversed").when(~F.array_contains("all", F.col("low")), "unknown_from")
+        .when(~F.array_contains("all", F.col("high")), "unknown_to").when(inside < 2, "too_few")
+    )
+    return met.select("request_id", "framework", "low", "high", fault.alias("fault"))

@@ -116,11 +116,6 @@ def dependency_upgrades_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bodies(spark, sf_dir).select("s_suppkey", parsers.without_dependency_upgrades(F.col("body")).alias("body"))
 
 
-def release_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements of plain-text documents by the pairing parser."""
-    return parsers.release_statements(Graph(spark, sf_dir).table("documents"), "doc_id", "text")
-
-
 def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines per section of each document, a short line being a heading."""
     rows = parsers.lines(Graph(spark, sf_dir).table("documents"), "doc_id", "text")
@@ -221,7 +216,7 @@ def major_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     classify_statement, stability_marker, ga_filter, release_filter, semver_compatible, jira_enrich, changelog_overlap_dedup, commit_prefix, markdown_render, markdown_parse,
-    dependency_upgrades_stripped, release_text_parse, heading_sections, html_to_text, html_meta_summary, maven_versions, npm_versions, managed_versions, changelog_section, tags_sorted,
+    dependency_upgrades_stripped, heading_sections, html_to_text, html_meta_summary, maven_versions, npm_versions, managed_versions, changelog_section, tags_sorted,
     build_file_version, java_scan, yaml_scan, property_scan, namespace_renames, credential_scrub, major_ranges,
 )}
 
@@ -268,8 +263,10 @@ SELECT s_suppkey, CAST(n AS INTEGER) AS line_no, section, statement, {_TYPE} AS
     "heading_sections": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
 s AS (SELECT doc_id, last_value(CASE WHEN length(line) > 0 AND length(line) < 40 THEN n END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM l) SELECT doc_id, CAST(section AS INTEGER) AS section, count(*) AS lines FROM s GROUP BY 1, 2""",
     "html_to_text": _HTML,
-    "html_meta_summary": """WITH x AS (SELECT page_id, regexp_extract(html, '(?is)<meta\\s+name=["'']description["'']\\s+content=["'']([^"'']*)["'']', 1) AS m, regexp_extract(html, '(?is)<p[^>]*>([^<]{80,})</p>', 1) AS p FROM pages)
-SELECT page_id, CASE WHEN m <> '' THEN m WHEN p <> '' THEN p END AS summary FROM x""".replace("\\\\", "\\"),
+    "html_meta_summary": r"""WITH x AS (SELECT page_id, trim(regexp_extract(html, '(?is)<meta\s+name=["'']description["'']\s+content=["'']([^"'']*)["'']', 1)) AS m,
+  trim(regexp_extract(html, '(?is)<meta\s+property=["'']og:description["'']\s+content=["'']([^"'']*)["'']', 1)) AS o,
+  list_filter(list_transform(regexp_extract_all(html, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1), lambda t: trim(regexp_replace(t, '(?s)<[^>]*>', '', 'g'))), lambda t: length(t) >= 80) AS ps FROM pages)
+SELECT page_id, CASE WHEN m <> '' THEN m WHEN o <> '' THEN o ELSE ps[1] END AS summary FROM x""",
     "maven_versions": BASE + "SELECT framework, version FROM version",
     "npm_versions": BASE + "SELECT framework, version FROM version",
     "managed_versions": "SELECT s_suppkey, 'org.g:a' || s_suppkey AS coordinates, '1.' || s_nationkey AS version FROM supplier",

@@ -61,8 +61,8 @@ def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(
                 F.lit("deprecation").alias("source_section"), F.concat(F.lit("t"), (k % 500).cast("string")).alias("title"), F.lit("removal").alias("change_type"),
                 F.when(k % 2 == 0, F.array(F.struct(F.lit("api").alias("scope"), F.lit("high").alias("severity")))).alias("scopes"),
-                F.array(F.struct(F.lit("class").alias("kind"), F.concat(F.lit("N"), (k % 100).cast("string")).alias("name"), F.lit("removed").alias("role"))).alias("entities"),
-                F.array(F.struct(F.lit(1).alias("index"), F.lit("mechanical").alias("effort"), (k % 500 % 3 == 0).alias("automatable"))).alias("steps"),
+                F.array(F.struct(F.lit("class").alias("kind"), F.concat(F.lit("N"), (k % 100).cast("string")).alias("name"), F.get(F.array(*map(F.lit, ["removed", "replacement", "mentioned"])), (k % 3).cast("int")).alias("role"))).alias("entities"),
+                F.array(F.struct(F.lit(1).alias("index"), F.lit("mechanical").alias("effort"), (k % 500 % 3 == 0).alias("automatable"), F.array(F.lit(1), F.lit(7)).alias("requires"))).alias("steps"),
             )
         ).alias("j")
     )
@@ -93,9 +93,9 @@ def insight_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Graph(spark, sf_dir).table("supplier")
     camel = s.where("s_suppkey % 2 = 0").select(F.to_json(F.struct(F.col("s_name").alias("statement"), F.concat(F.lit("u"), k.cast("string")).alias("sourceUrl"), F.lit("3.0").alias("frameworkVersion"))).alias("j"))
     snake = s.where("s_suppkey % 2 = 1").select(F.to_json(F.struct(F.col("s_name").alias("statement"), F.concat(F.lit("v"), k.cast("string")).alias("evidence_url"))).alias("j"))
-    one = camel.select(F.from_json("j", "statement string, sourceUrl string, frameworkVersion string").alias("e")).select("e.*").withColumnsRenamed({"sourceUrl": "source_url", "frameworkVersion": "framework_version"})
-    two = snake.select(F.from_json("j", "statement string, evidence_url string").alias("e")).select("e.*").withColumnsRenamed({"evidence_url": "source_url"})
-    return one.unionByName(two, allowMissingColumns=True)
+    one = camel.select(F.from_json("j", "statement string, sourceUrl string, frameworkVersion string").alias("e")).select("e.*")
+    two = snake.select(F.from_json("j", "statement string, evidence_url string").alias("e")).select("e.*")
+    return parsers.one_style(one, two)
 
 
 def severity_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +150,7 @@ def manual_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of rendered tables under their hop headings, read back."""
     g = Graph(spark, sf_dir)
-    h = versions.hops(g.version).where("hop_from % 4000 = 0")
+    h = versions.hops(g.version)
     body = F.concat(
         F.lit("# F\n\n## `"), F.col("hop_from").cast("string"), F.lit("` → `"), F.col("hop_to").cast("string"),
         F.lit("`\n\n| Type | Confidence | Source | Statement |\n|---|---|---|---|\n| breaking | confirmed | u | a "), "framework", F.lit(" |\n| behavioral | inferred | v | b |\n"),
@@ -183,8 +183,10 @@ ORACLES = {
     "zombie_contexts": BASE + "SELECT context_id, framework, from_sortable FROM context c WHERE NOT EXISTS (FROM version v WHERE v.framework = c.framework AND v.sortable = c.from_sortable AND v.sortable % 5000 <> 0)",
     "outcomes_after_delete": BASE + "SELECT context_id, count(*) AS events FROM outcome_event WHERE context_id NOT IN (SELECT context_id FROM context WHERE status = 'complete') GROUP BY 1",
     "stub_recipes": """SELECT * FROM (VALUES ('stub.mechanical', 'Hand made', 'someone'), ('stub.moderate', 'Stub for stub.moderate', NULL), ('stub.architectural', 'Stub for stub.architectural', NULL), ('other', 'Other', 'x')) t(recipe_id, display_name, verified_by)""",
-    "entity_batch_counts": """WITH b AS (SELECT p_partkey % 500 AS t, p_partkey % 2 AS s, p_partkey % 100 AS n FROM part)
-SELECT 'rule' AS "table", count(DISTINCT t) AS n FROM b UNION ALL SELECT 'step', count(DISTINCT t) FROM b UNION ALL SELECT 'scope', count(*) FROM (SELECT DISTINCT t, s FROM b) UNION ALL SELECT 'affects', count(*) FROM (SELECT DISTINCT t, n FROM b)""",
+    "entity_batch_counts": """WITH b AS (SELECT p_partkey % 500 AS t, p_partkey % 2 AS s, p_partkey % 100 AS n, ['removed', 'replacement', 'mentioned'][p_partkey % 3 + 1] AS r FROM part)
+SELECT 'rule' AS "table", count(DISTINCT t) AS n FROM b UNION ALL SELECT 'step', count(DISTINCT t) FROM b UNION ALL SELECT 'scope', count(*) FROM (SELECT DISTINCT t, s FROM b) UNION ALL SELECT 'affects', count(*) FROM (SELECT DISTINCT t, n, r FROM b)
+UNION ALL SELECT 'requires', count(DISTINCT t) FROM b UNION ALL SELECT 'replaced_by', count(*) FROM (SELECT DISTINCT x.n, y.n FROM b x JOIN b y ON x.t = y.t WHERE x.r = 'removed' AND y.r = 'replacement' AND x.n <> y.n)
+UNION ALL SELECT 'lifecycle', count(*) FROM (SELECT DISTINCT n, r FROM b)""",
     "insight_submit": """SELECT DISTINCT 'community-' || left(md5('s' || event_id % 700), 12) AS rule_id, 's' || event_id % 700 AS statement, CASE WHEN event_id % 700 % 2 = 0 THEN 0.9::DOUBLE ELSE 0.5 END AS confidence,
   CASE WHEN event_id % 700 % 3 = 0 THEN 'me' ELSE 'mcp-agent' END AS submitted_by FROM events""",
     "insight_dumps": "SELECT s_name AS statement, CASE WHEN s_suppkey % 2 = 0 THEN 'u' ELSE 'v' END || s_suppkey AS source_url, CASE WHEN s_suppkey % 2 = 0 THEN '3.0' END AS framework_version FROM supplier",
@@ -198,6 +200,6 @@ SELECT request_id, a.framework, requested, v.sortable IS NOT NULL AS available,
     "co_migration_warning": BASE + "SELECT context_id, from_sortable < 4000000 AND to_sortable >= 4000000 AND EXISTS (FROM scan_names WHERE starts_with(name, 'org.brand2')) AS warn FROM context",
     "manual_steps": BASE + "SELECT user_id AS context_id, event_id, CASE WHEN event_id % 2 = 0 THEN '*.yml' ELSE 'config' END AS scope, 9999 AS step_index FROM events WHERE event_type = 'signup' AND user_id IN (SELECT context_id FROM context WHERE status = 'in-progress')",
     "raw_changelog": BASE + """, h AS (SELECT framework, sortable AS hop_from, lead(sortable) OVER (PARTITION BY framework ORDER BY sortable) AS hop_to FROM version),
-k AS (SELECT framework || '|' || hop_from AS k, framework, CAST(hop_to AS VARCHAR) AS hop_to FROM h WHERE hop_to IS NOT NULL AND hop_from % 4000 = 0)
+k AS (SELECT framework || '|' || hop_from AS k, framework, CAST(hop_to AS VARCHAR) AS hop_to FROM h WHERE hop_to IS NOT NULL)
 SELECT k, hop_to, 'breaking' AS type, 'confirmed' AS confidence, 'a ' || framework AS statement FROM k UNION ALL SELECT k, hop_to, 'behavioral', 'inferred', 'b' FROM k""",
 }

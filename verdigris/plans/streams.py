@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from verdigris.lineage import shared_folder
 from verdigris.plans.base_sql import BASE
 from verdigris.streaming import outcomes
 
 
-def _root(spark: SparkSession) -> str:
-    """The shared folder the session names; a local one only where unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verdigris-")
-
-
 def stream_outcome_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of every step of every user, folded by a stream."""
-    return outcomes.run_to_table(outcomes.last_outcome(outcomes.events(spark, f"{sf_dir}/events.parquet")), _root(spark))
+    return outcomes.run_to_table(outcomes.last_outcome(outcomes.events(spark, f"{sf_dir}/events.parquet")), shared_folder(spark), ["user_id", "step_key"])
 
 
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcomes.run_to_table(outcomes.windowed(outcomes.events(spark, f"{sf_dir}/events.parquet")), _root(spark))
+    return outcomes.run_to_table(outcomes.windowed(outcomes.events(spark, f"{sf_dir}/events.parquet")), shared_folder(spark), ["start", "event_type"])
 
 
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def upgrade_path_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upgrade_path_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per version with its rules and entities as sorted lists."""
     g = Graph(spark, sf_dir)
-    rules = _applied(g)
+    rules = _path(g)
     names = g.affects.join(rules.select("rule_id", "sortable"), "rule_id").groupBy("sortable").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("entities"))
     lists = rules.groupBy("sortable").agg(
         F.count("*").alias("rule_count"),
@@ -75,10 +75,21 @@ def recipe_plan_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recipe_plan_rule_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules of the plan without any step, as cards."""
+    """The cards of every framework's plan: its rules, where none of them has a step, else none.
+
+    The steps of one framework are held back, so that its plan falls back.
+    """
     g = Graph(spark, sf_dir)
-    rules = _applied(g, package_bridge=True).where("applicability <> 'excluded'")
-    return rules.join(g.step.select("rule_id"), "rule_id", "left_anti").select("rule_id", "rule_type", "applicability")
+    path = versions.in_range(g.rule, LOW, HIGH)
+    rules = matching.applicable(path, g.affects, matching.normalise(g.scan_names), package_bridge=True, entities=g.part_entity).where("applicability <> 'excluded'")
+    written = g.step.join(g.rule.where("framework <> 'AFRICA'").select("rule_id"), "rule_id", "left_semi")
+    return rule_cards(rules, written, ["framework"]).select("framework", "rule_id", "rule_type", "applicability")
+
+
+def rule_cards(rules: DataFrame, steps: DataFrame, plan: list[str]) -> DataFrame:
+    """Rules of the plans in which no rule has a step: a plan with any step gives no card, not even for stepless rules."""
+    with_steps = rules.join(steps.select("rule_id"), "rule_id", "left_semi").select(*plan).distinct()
+    return rules.join(with_steps, plan, "left_anti")
 
 
 def executor_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +164,7 @@ def rule_type_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules per type of their source section."""
     names = list(exprs.RULE_TYPES)
     section = F.get(F.array(*map(F.lit, names)), (F.col("rule_id") % len(names)).cast("int"))
-    return Graph(spark, sf_dir).rule.select("rule_id", section.alias("section")).withColumn("rule_type", exprs.lookup(F.col("section"), exprs.RULE_TYPES)).groupBy("section", "rule_type").agg(F.count("*").alias("rules"))
+    return Graph(spark, sf_dir).rule.select("rule_id", section.alias("section")).withColumn("rule_type", exprs.rule_type(F.col("section"))).groupBy("section", "rule_type").agg(F.count("*").alias("rules"))
 
 
 def priority_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,8 +269,9 @@ SELECT CAST(rn AS INTEGER) AS rank, rule_id, applicability, severity_rank FROM o
     "recipe_plan_tracks": BASE + """SELECT step_id, s.rule_id, effort, plan_applicability AS applicability, plan_match_count AS match_count,
   CASE WHEN automatable AND effort = 'mechanical' AND recipe_id IS NOT NULL AND auto AND NOT missing_params THEN 'automated' ELSE 'manual' END AS track
 FROM step s JOIN path p ON s.rule_id = p.rule_id WHERE plan_applicability <> 'excluded'""",
-    "recipe_plan_rule_cards": BASE + "SELECT rule_id, rule_type, plan_applicability AS applicability FROM path WHERE plan_applicability <> 'excluded' AND rule_id NOT IN (SELECT rule_id FROM step)",
-    "executor_routing": BASE + f"""SELECT step_id, CASE WHEN recipe_id IS NOT NULL AND auto AND NOT missing_params THEN 'openrewrite' WHEN recipe_id IS NOT NULL AND (NOT auto OR missing_params) THEN 'prompted-auto'
+    "recipe_plan_rule_cards": BASE + """SELECT framework, rule_id, rule_type, plan_applicability AS applicability FROM applied a WHERE sortable > 5006000 AND sortable <= 7006000 AND plan_applicability <> 'excluded'
+AND NOT EXISTS (FROM applied b JOIN step s ON s.rule_id = b.rule_id WHERE b.framework = a.framework AND b.framework <> 'AFRICA' AND b.sortable > 5006000 AND b.sortable <= 7006000 AND b.plan_applicability <> 'excluded')""",
+    "executor_routing": BASE + f"""SELECT step_id, CASE WHEN recipe_id IS NOT NULL AND auto AND NOT coalesce(missing_params, false) THEN 'openrewrite' WHEN recipe_id IS NOT NULL AND (NOT auto OR coalesce(missing_params, false)) THEN 'prompted-auto'
   WHEN effort IN ('mechanical', 'moderate') AND {_CONCRETE} AND plan_applicability = 'matched' THEN 'agent-codemod' ELSE 'human-review' END AS executor FROM step s JOIN path p ON s.rule_id = p.rule_id""",
     "concrete_instruction": BASE + f"SELECT step_id, {_CONCRETE} AS concrete FROM step",
     "resolve_version_exact": _resolve_sql("CASE WHEN above = requested THEN above END"),
@@ -276,7 +288,9 @@ m AS (
   UNION SELECT rule_id, c.name FROM a JOIN scan s ON s.bucket = 'class_simple' AND string_split(a.name, '.')[-1] = s.name JOIN classes c ON string_split(c.name, '.')[-1] = s.name WHERE kind = 'Class'
   UNION SELECT rule_id, s.name FROM a JOIN scan s ON s.bucket = 'dep_artifacts' AND split_part(a.name, ':', 2) = s.name WHERE kind = 'Dependency'
   UNION SELECT rule_id, c.name FROM a JOIN classes c ON starts_with(c.name, left(a.name, length(a.name) - length(string_split(a.name, '.')[-1]))) WHERE kind = 'Class' AND plan_match_count > 0
-  UNION SELECT rule_id, c.name FROM a JOIN classes c ON starts_with(c.name, split_part(a.name, ':', 1) || '.') WHERE kind = 'Dependency' AND NOT has_class AND plan_match_count > 0)
+  UNION SELECT rule_id, c.name FROM a JOIN classes c ON starts_with(c.name, split_part(a.name, ':', 1) || '.') WHERE kind = 'Dependency' AND NOT has_class AND plan_match_count > 0
+  UNION SELECT rule_id, c.name FROM a JOIN classes c ON starts_with(c.name, regexp_replace(split_part(a.name, ':', 1), '\\.[^.]*$', '') || '.') WHERE kind = 'Dependency' AND NOT has_class AND plan_match_count > 0
+    AND NOT EXISTS (FROM classes k WHERE starts_with(k.name, split_part(a.name, ':', 1) || '.')))
 SELECT rule_id, string_agg(found, ',' ORDER BY found) AS matched_entities FROM m GROUP BY 1""",
     "entity_classification": BASE + """, s AS (SELECT rule_id, count(*) AS steps FROM step GROUP BY 1), e AS (SELECT rule_id, count(*) AS entities FROM affects GROUP BY 1)
 SELECT rule_id, coalesce(steps, 0) AS steps, coalesce(entities, 0) AS entities, CASE WHEN coalesce(steps, 0) > 0 THEN 'actionable' WHEN coalesce(entities, 0) > 0 THEN 'incomplete' ELSE 'informational' END AS classification

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def events(spark: SparkSession, path: str) -> DataFrame:
-    """A stream over event files; ``path`` is a file or a folder."""
+def events(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A stream over event files; ``path`` is a file or a folder, ``files`` the most of them in a batch."""
+    reader = spark.readStream.schema(EVENTS)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
     # as a pattern: a plain path would have to be a folder
-    return spark.readStream.schema(EVENTS).parquet(f"{path}*")
+    return reader.parquet(f"{path}*")
 
 
 def last_outcome(stream: DataFrame) -> DataFrame:
@@ -23,7 +26,7 @@ def last_outcome(stream: DataFrame) -> DataFrame:
 
 
 def windowed(stream: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts and sums per tumbling window and type; events later than ``late`` are out of it."""
+    """Counts and sums per tumbling window and type; rows of windows that ended ``late`` before the watermark are left out."""
     timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     w = timed.groupBy(F.window("at", size).alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("total"))
     return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "events", "total")
@@ -35,20 +38,35 @@ def sessions(rows: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return s.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "events")
 
 
-def run_to_table(stream: DataFrame, root: str) -> DataFrame:
-    """Runs a stream over what is there and gives its complete result.
+def run_to_table(stream: DataFrame, root: str, keys: list[str], buckets: int = 16) -> DataFrame:
+    """Runs a stream over what is there, in update mode, and gives its result by key.
 
-    Each batch overwrites the result under ``root``, a shared folder, so a
-    batch that is run again after a loss leaves the same result.
+    A batch brings only the rows that changed.  They replace the rows of their
+    key in the result, a table of ``buckets`` folders by a hash of the key;
+    each batch writes a new version of the buckets it touches, under its own
+    number, so a batch that is run again after a loss leaves the same result.
     """
     spark = stream.sparkSession
     at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.outputMode("complete")
-        .option("checkpointLocation", f"{at}/state")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/result"))
-        .trigger(availableNow=True)
-        .start()
-    )
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    current: dict[int, str] = {}
+
+    def merge(batch: DataFrame, number: int) -> None:
+        fresh = batch.withColumn("__bucket", bucket)
+        touched = sorted(r[0] for r in fresh.select("__bucket").distinct().collect())  # at most ``buckets``
+        if not touched:
+            return
+        old = [current[b] for b in touched if b in current]
+        if old:
+            kept = spark.read.schema(stream.schema).parquet(*old)
+            fresh = fresh.unionByName(kept.join(batch.select(*keys).distinct(), keys, "left_anti").withColumn("__bucket", bucket))
+        target = f"{at}/result-{number}"
+        fresh.write.mode("overwrite").partitionBy("__bucket").parquet(target)
+        for b in touched:
+            current[b] = f"{target}/__bucket={b}"
+
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(merge).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/result")
+    if not current:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*current.values())
