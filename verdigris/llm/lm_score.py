@@ -1,30 +1,40 @@
 """Scores of texts under a hashed maximum-entropy model.
 
 A token's probability is factored as ``P(class | h) P(cell | class, h)
-P(token | cell)``.  A token's hash names one of 256 cells, 16 to each of 16
-classes.  The first two factors are softmax models over hashed features of the
+P(token | cell)``.  The ``HEAD_CELLS`` most frequent tokens have a cell of
+their own each; all others share the ``CELLS - HEAD_CELLS`` tail cells by a hash
+of their last three bytes, which tells kinds of words, and languages, apart.
+Cells stand in order of frequency, the tail last, and ``INNER`` neighbours are a
+class.  The first two factors are softmax models over hashed features of the
 history ``h``: the previous token, the one before it (a skip) and both
-together; the third is the token's smoothed share of its cell.  The sum over
-all tokens that can occur, with one unit of mass per cell for unseen ones, is
-one.
+together, each with a table of weights of its own in either factor; the third
+is the token's smoothed share of its cell.  The sum over all tokens that can
+occur, with one unit of mass per cell for unseen ones, is one.
 
-Training: every task runs over its part of the training documents with
-preconditioned minibatch gradient steps, and the tasks' weights are averaged
-by tokens in a tree.  Scoring: sparse numpy batches.
+Training: the documents are dealt to ``ROUNDS`` parts by a hash.  In each round
+every task starts from the same weights and runs over its share of one part
+with preconditioned minibatch gradient steps; then each row of weights becomes
+the average over the tasks that met its feature, by how often they did.  The
+result depends on how the files are split, within the noise of the gradient.
+Scoring: sparse numpy batches.
 
 Defined results
     Tokens: words ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased, then one
     end.  Null or empty text: the end alone.  A document is held out where
     ``crc32`` of its id as text, mod 7, is 2; a null id counts as empty text.
-    Repeated rows train and are scored each.  Without any training document N
-    and V are 0 and every token has base probability 1.  Empty table: no rows.
+    Repeated rows train and are scored each.  Ties of frequency go to the lower
+    hash.  Without any training document N and V are 0 and every token has
+    base probability 1.  Empty table: no rows.
 
 Scale
     Token counts are summed per task before they are shuffled.  The most
-    frequent tokens, at most ``HEAD`` of them, and the model (a fixed number
-    of weights) are broadcast; a document's rarer tokens meet their counts in
-    an equi-join whose keys are rare by construction.  A task's weights are
-    cut into blocks and averaged in groups of at most ``FANIN`` rows.
+    frequent tokens, at most ``HEAD`` of them, and the model are broadcast; a
+    document's rarer tokens meet their counts in an equi-join whose keys are
+    rare by construction.  The rows of each table grow with the training
+    tokens, up to ``ROWS`` (two tables of 16 columns for each of three kinds of
+    features: 96 MB in a task).  A task sends the rows it changed only, in half
+    precision, cut into blocks; they are added up in a tree of at most
+    ``FANIN`` of them at a time.
 """
 
 from __future__ import annotations
@@ -37,32 +47,39 @@ from pyspark.sql import DataFrame, functions as F
 from . import _text
 from ._native import cut
 
-CELLS, CLASSES = 256, 16
-INNER = CELLS // CLASSES
-FEATURES = 1 << 12
+CELLS, CLASSES, HEAD_CELLS = 256, 16, 128
+INNER, TAIL = CELLS // CLASSES, CELLS - HEAD_CELLS
+KINDS = 3
+ROWS, FEWEST = 1 << 18, 1 << 12
 HEAD = 1 << 17
 BATCH = 1 << 15
-FANIN, BLOCKS = 32, 16
+ROUNDS = 3
+FANIN, BLOCK = 32, 1 << 13
 _END = np.uint64(0x5851F42D4C957F2D)
 _MERGE = 4_000_000
 
 
-def tokens(column) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all rows, each row closed by its end, and the rows' offsets."""
+def tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of all rows, each row closed by its end, their tail cells, and the rows' offsets."""
     buf, off = _text.raw(column)
     low = _text.LOWER[buf]
     starts, ends, woff = _text.bounds(low, off, _text.NON_SPACE)
     h = _text.word_hashes(low, starts, ends)
+    last = np.zeros(len(h), np.uint64)
+    for j in (1, 2, 3):
+        there = ends - j >= starts
+        last = last * np.uint64(256) + np.where(there, low[np.maximum(ends - j, 0)] if len(low) else 0, 0).astype(np.uint64)
     toff = woff + np.arange(len(woff))
-    out = np.full(toff[-1], _END, np.uint64)
+    out, tail = np.full(toff[-1], _END, np.uint64), np.zeros(toff[-1], np.int64)
     own = np.ones(len(out), bool)
     own[toff[1:] - 1] = False
     out[own] = h
-    return out, toff
+    tail[own] = (_text.mix(last) >> np.uint64(33)).astype(np.int64) % TAIL
+    return out, tail, toff
 
 
-def features(h: np.ndarray, toff: np.ndarray) -> np.ndarray:
-    """(tokens, 3) rows of the weight tables: previous, skip, both."""
+def features(h: np.ndarray, toff: np.ndarray, rows: int) -> np.ndarray:
+    """(tokens, KINDS) rows of the weight tables: previous, skip, both."""
     one, two = np.zeros_like(h), np.zeros_like(h)
     one[1:], two[2:] = h[:-1], h[:-2]
     one[toff[:-1]] = 0
@@ -70,7 +87,22 @@ def features(h: np.ndarray, toff: np.ndarray) -> np.ndarray:
     second = toff[:-1] + 1
     two[second[second < toff[1:]]] = 0
     mixed = [_text.mix(one + np.uint64(1)), _text.mix(two + np.uint64(2)), _text.mix(one * np.uint64(0x9E3779B97F4A7C15) + two + np.uint64(3))]
-    return np.stack([(m >> np.uint64(40)).astype(np.int64) % FEATURES for m in mixed], axis=1)
+    return np.stack([(m >> np.uint64(24)).astype(np.int64) % rows for m in mixed], axis=1)
+
+
+class Cells:
+    """The cell of a token: that of a frequent one, else its tail cell."""
+
+    def __init__(self, head: np.ndarray):
+        """``head``: hashes of the most frequent tokens, in order."""
+        self.order = np.argsort(head)
+        self.sorted = head[self.order]
+
+    def __call__(self, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return HEAD_CELLS + tail
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == h, self.order[at], HEAD_CELLS + tail)
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -80,107 +112,149 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weights of both softmax layers, and their biases from the cells' shares."""
+    """Weights of both softmax layers, a table for each kind of feature, and their biases from the cells' shares."""
 
-    def __init__(self, cell_counts: np.ndarray):
+    def __init__(self, cell_counts: np.ndarray, rows: int):
         share = (cell_counts + 1.0).reshape(CLASSES, INNER)
+        self.rows = rows
         self.b1 = np.log(share.sum(axis=1) / share.sum()).astype(np.float32)
         self.b2 = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
-        self.w1 = np.zeros((FEATURES, CLASSES), np.float32)
-        self.w2 = np.zeros((FEATURES * CLASSES, INNER), np.float32)
+        self.w = np.zeros((2 * KINDS, rows, INNER), np.float32)
+
+    def places(self, f: np.ndarray, k: np.ndarray) -> list[list[np.ndarray]]:
+        """Rows of the tables of both layers: a feature's, and that of a feature with a class."""
+        inner = [(((f[:, j] * CLASSES + k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % self.rows for j in range(KINDS)]
+        return [[f[:, j] for j in range(KINDS)], inner]
 
-    def logs(self, f: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-softmax of classes, and of the cells of each token's class."""
+    def logs(self, f: np.ndarray, cell: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+        """Rows used, log-softmax of classes, and of the cells of each token's class."""
         k = cell // INNER
-        one = self.b1 + self.w1[f[:, 0]] + self.w1[f[:, 1]] + self.w1[f[:, 2]]
-        r = f * CLASSES + k[:, None]
-        two = self.b2[k] + self.w2[r[:, 0]] + self.w2[r[:, 1]] + self.w2[r[:, 2]]
-        return _log_softmax(one), _log_softmax(two)
+        places = self.places(f, k)
+        z = [np.broadcast_to(self.b1, (len(f), CLASSES)).copy(), self.b2[k]]
+        for layer in (0, 1):
+            for j in range(KINDS):
+                z[layer] += self.w[layer * KINDS + j][places[layer][j]]
+        return places, _log_softmax(z[0]), _log_softmax(z[1])
 
     def log_prob(self, f: np.ndarray, cell: np.ndarray) -> np.ndarray:
         out = np.empty(len(f))
         for a in range(0, len(f), BATCH):
-            one, two = self.logs(f[a : a + BATCH], cell[a : a + BATCH])
+            _, one, two = self.logs(f[a : a + BATCH], cell[a : a + BATCH])
             i = np.arange(len(one))
             out[a : a + BATCH] = one[i, cell[a : a + BATCH] // INNER] + two[i, cell[a : a + BATCH] % INNER]
         return out
 
-    def step(self, f: np.ndarray, cell: np.ndarray, rate: float = 0.3, damp: float = 20.0) -> None:
-        """One gradient step on a minibatch, each row's by the tokens that have its feature."""
-        one, two = self.logs(f, cell)
-        i, k = np.arange(len(f)), cell // INNER
-        for logs, hit, table, rows in ((one, k, self.w1, f), (two, cell % INNER, self.w2, f * CLASSES + k[:, None])):
+    def step(self, f: np.ndarray, cell: np.ndarray, met: np.ndarray | None = None, rate: float = 0.5, damp: float = 5.0) -> None:
+        """One gradient step on a minibatch, each row's by the tokens that have its feature; ``met`` counts these."""
+        places, one, two = self.logs(f, cell)
+        i = np.arange(len(f))
+        for layer, (logs, hit) in enumerate(((one, cell // INNER), (two, cell % INNER))):
             g = np.exp(logs)
             g[i, hit] -= 1
-            for j in range(3):
-                order = np.argsort(rows[:, j].astype(np.uint16), kind="stable")  # a radix sort: all rows are below 2**16
-                used = rows[order, j]
+            for j in range(KINDS):
+                rows = places[layer][j]
+                order = np.argsort(rows.astype(np.uint32))
+                used = rows[order]
                 first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
-                n = np.diff(np.append(first, len(used)))
-                total = np.add.reduceat(g[order], first, axis=0)
-                table[used[first]] -= (rate * total / (n + damp)[:, None]).astype(np.float32)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.w1.ravel(), self.w2.ravel()])
-
-    def load(self, flat: np.ndarray) -> Model:
-        self.w1 = flat[: self.w1.size].reshape(self.w1.shape).copy()
-        self.w2 = flat[self.w1.size :].reshape(self.w2.shape).copy()
-        return self
+                n = np.diff(np.append(first, len(used))).astype(np.float32)
+                table = layer * KINDS + j
+                self.w[table][used[first]] -= (rate / (n + damp))[:, None] * np.add.reduceat(g[order], first, axis=0)
+                if met is not None:
+                    met[table][used[first]] += n
 
 
 def count_tokens(docs: DataFrame, text: str) -> DataFrame:
-    """(h, c): occurrences of every token."""
+    """(h, tail, c): occurrences of every token, and its tail cell."""
 
     def count(batches):
         kept, size = [], 0
         for batch in _text.slices(batches, text):
-            kept.append(np.unique(tokens(batch.column(0))[0], return_counts=True))
-            size += len(kept[-1][0])
+            h, tail, _ = tokens(batch.column(0))
+            h, first, n = np.unique(h, return_index=True, return_counts=True)
+            kept.append((h, tail[first], n))
+            size += len(h)
             if size > _MERGE:
-                yield _text.summed(kept, "h", "c")
+                yield _summed(kept)
                 kept, size = [], 0
         if kept:
-            yield _text.summed(kept, "h", "c")
+            yield _summed(kept)
 
-    return docs.select(text).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select(text).mapInArrow(count, "h long, tail long, c long").groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
-def train(docs: DataFrame, text: str, cell_counts: np.ndarray) -> Model:
-    """A model from one distributed pass over ``docs``."""
-    given = docs.sparkSession.sparkContext.broadcast(cell_counts)
+def _summed(kept: list[tuple]) -> pa.RecordBatch:
+    h, tail, n = (np.concatenate(c) for c in zip(*kept))
+    h, first, at = np.unique(h, return_index=True, return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tail[first]), pa.array(np.bincount(at, n, len(h)).astype(np.int64))], ["h", "tail", "c"])
 
-    def learn(batches):
-        model, seen = Model(given.value), 0
-        for batch in _text.slices(batches, text):
-            h, toff = tokens(batch.column(0))
-            f, cell = features(h, toff), (h % np.uint64(CELLS)).astype(np.int64)
-            for a in range(0, len(h), BATCH):
-                model.step(f[a : a + BATCH], cell[a : a + BATCH])
-            seen += len(h)
-        if seen:
+
+_KIND = "task long, block long, n binary, d binary"
+
+
+def _changed(table: int, block: int, n: np.ndarray, d: np.ndarray) -> dict:
+    """The rows of a block that were met, as counts and changes; the rows are marked by bits."""
+    there = n > 0
+    return {"block": table * (ROWS // BLOCK) + block, "n": np.packbits(there).tobytes() + n[there].astype(np.float32).tobytes(), "d": d[there].astype(np.float16).tobytes()}
+
+
+def _unpacked(n: bytes, d: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    there = np.flatnonzero(np.unpackbits(np.frombuffer(n, np.uint8, size // 8)))
+    return there, np.frombuffer(n, np.float32, offset=size // 8), np.frombuffer(d, np.float16).reshape(-1, INNER).astype(np.float32)
+
+
+def train(docs: DataFrame, key: str, text: str, cell_counts: np.ndarray, cells: Cells, rows: int, rounds: int = ROUNDS) -> Model:
+    """A model from ``rounds`` synchronous rounds, each over its part of ``docs``."""
+    spark, model, size = docs.sparkSession, Model(cell_counts, rows), min(rows, BLOCK)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-docs.rdd.getNumPartitions() // rounds))
+    part = F.pmod(F.xxhash64(key, text), F.lit(rounds))
+    for number in range(rounds):
+        shared = spark.sparkContext.broadcast((cells, cell_counts, model.w.astype(np.float16)))
+
+        def learn(batches, shared=shared):
             from pyspark import TaskContext
 
+            cells, counts, before = shared.value
+            own, met = Model(counts, rows), np.zeros((2 * KINDS, rows), np.float32)
+            own.w[:] = before
+            for batch in _text.slices(batches, "text"):
+                h, tail, toff = tokens(batch.column(0))
+                f, cell = features(h, toff, rows), cells(h, tail)
+                for a in range(0, len(h), BATCH):
+                    own.step(f[a : a + BATCH], cell[a : a + BATCH], met)
             task = TaskContext.get().partitionId()
-            for i, part in enumerate(np.array_split(model.flat(), BLOCKS)):
-                yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([i]), pa.array([float(seen)]), pa.array([part.tobytes()])], ["task", "block", "n", "w"])
-
-    def average(group: pd.DataFrame) -> pd.DataFrame:
-        n = group["n"].sum()
-        w = sum(np.frombuffer(b, np.float32) * (m / n) for b, m in zip(group["w"], group["n"]))
-        return pd.DataFrame({"task": [int(group["task"].iloc[0]) // FANIN], "block": [group["block"].iloc[0]], "n": [n], "w": [w.astype(np.float32).tobytes()]})
-
-    kind = "task long, block long, n double, w binary"
-    learnt = docs.select(text).mapInArrow(learn, kind)
-    parts = docs.rdd.getNumPartitions()
-    while True:
-        learnt = learnt.groupBy("block", F.floor(F.col("task") / FANIN).alias("group")).applyInPandas(average, kind)
-        parts = -(-parts // FANIN)
-        if parts <= 1:
-            break
-    model = Model(cell_counts)
-    rows = learnt.orderBy("block").collect()  # BLOCKS rows, the model
-    return model.load(np.concatenate([np.frombuffer(r.w, np.float32) for r in rows])) if rows else model
+            for t in range(2 * KINDS):
+                for b in range(rows // size):
+                    at = slice(b * size, (b + 1) * size)
+                    if met[t, at].any():
+                        out = _changed(t, b, met[t, at], (own.w[t, at] - before[t, at]) * met[t, at][:, None] / met[t, at].max())
+                        yield pa.RecordBatch.from_pylist([out | {"task": task, "n": out["n"] + np.float32(met[t, at].max()).tobytes()}], schema=_SCHEMA)
+
+        def add(group: pd.DataFrame) -> pd.DataFrame:
+            n, d = np.zeros(size, np.float32), np.zeros((size, INNER), np.float32)
+            for counts, changes in zip(group["n"], group["d"]):
+                there, c, x = _unpacked(counts, changes, size)
+                n[there] += c[:-1]
+                d[there] += x * c[-1]
+            top = np.float32(max(n.max(), 1))
+            out = _changed(0, 0, n, d / top)
+            return pd.DataFrame({"task": [int(group["task"].iloc[0]) // FANIN], "block": [group["block"].iloc[0]], "n": [out["n"] + top.tobytes()], "d": [out["d"]]})
+
+        learnt = docs.where(part == number).select(F.col(text).alias("text")).coalesce(tasks).mapInArrow(learn, _KIND)
+        left = tasks
+        while True:
+            learnt = learnt.groupBy("block", F.floor(F.col("task") / FANIN).alias("group")).applyInPandas(add, _KIND)
+            left = -(-left // FANIN)
+            if left <= 1:
+                break
+        for r in learnt.collect():  # the changed rows of the model
+            t, b = divmod(r.block, ROWS // BLOCK)
+            there, c, x = _unpacked(r.n, r.d, size)
+            model.w[t, b * size + there] += x * c[-1] / c[:-1][:, None]
+        shared.unpersist()
+    return model
+
+
+_SCHEMA = pa.schema([("task", pa.int64()), ("block", pa.int64()), ("n", pa.binary()), ("d", pa.binary())])
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,10 +263,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     docs = docs.select(F.col(key).alias("key"), (remainder == 2).alias("held_out"), F.col(text).alias("text"))
     training = docs.where(~F.col("held_out"))
     counts = cut(count_tokens(training, "text"))
-    by_cell = counts.groupBy(F.pmod("h", F.lit(CELLS)).alias("cell")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    top = counts.orderBy(F.desc("c"), "h").limit(HEAD_CELLS).collect()
+    cells = Cells(np.array([r.h for r in top], np.int64).view(np.uint64))
+    by_tail = counts.groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     cell_n, cell_v = np.zeros(CELLS), np.zeros(CELLS)
-    for r in by_cell:
-        cell_n[r.cell], cell_v[r.cell] = r.n, r.v
+    for r in by_tail:
+        cell_n[HEAD_CELLS + r.tail], cell_v[HEAD_CELLS + r.tail] = r.n, r.v
+    for i, r in enumerate(top):
+        cell_n[i], cell_v[i] = r.c, 1
+        cell_n[HEAD_CELLS + r.tail] -= r.c
+        cell_v[HEAD_CELLS + r.tail] -= 1
     total, kinds = int(cell_n.sum()), int(cell_v.sum())
 
     # The lowest count from which on at most HEAD tokens are left; counts are binned in eighths of octaves.
@@ -207,16 +287,20 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     order = np.argsort(head["h"].to_numpy(np.int64).view(np.uint64))
     known = head["h"].to_numpy(np.int64).view(np.uint64)[order], head["c"].to_numpy(np.int64)[order]
 
-    model = train(training, "text", cell_n)
-    shared = docs.sparkSession.sparkContext.broadcast((known, model, np.log10(cell_n + cell_v + 1)))
+    rows = min(ROWS, max(FEWEST, 1 << (total // 16).bit_length()))
+    model = train(training, "key", "text", cell_n, cells, rows)
+    shared = docs.sparkSession.sparkContext.broadcast((known, cells, cell_n, model.w.astype(np.float16), np.log10(cell_n + cell_v + 1)))
+    del model
 
     def run(batches):
-        (words, seen), model, cell_log = shared.value
+        (words, seen), cells, counts, weights, cell_log = shared.value
         gain = np.log10(seen + 1.0)
+        model = Model(counts, weights.shape[1])
+        model.w[:] = weights
         for batch in _text.slices(batches, "text"):
-            h, toff = tokens(batch.column(2))
-            cell = (h % np.uint64(CELLS)).astype(np.int64)
-            per_token = model.log_prob(features(h, toff), cell) / np.log(10) - cell_log[cell]
+            h, tail, toff = tokens(batch.column(2))
+            cell = cells(h, tail)
+            per_token = model.log_prob(features(h, toff, model.rows), cell) / np.log(10) - cell_log[cell]
             at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
             in_head = words[at] == h if len(words) else np.zeros(len(h), bool)
             row = np.repeat(np.arange(batch.num_rows), np.diff(toff))
