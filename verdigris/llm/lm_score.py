@@ -31,10 +31,11 @@ Scale
     frequent tokens, at most ``HEAD`` of them, and the model are broadcast; a
     document's rarer tokens meet their counts in an equi-join whose keys are
     rare by construction.  The rows of each table grow with the training
-    tokens, up to ``ROWS`` (two tables of 16 columns for each of three kinds of
-    features: 96 MB in a task).  A task sends the rows it changed only, in half
-    precision, cut into blocks; they are added up in a tree of at most
-    ``FANIN`` of them at a time.
+    tokens, up to ``ROWS`` (for each of three kinds of features a table of 16
+    columns, and one of half the rows for a feature with a class: 72 MB in a
+    task).  A task sends the rows it changed only, a byte for each weight, cut
+    into blocks; they are added up in a tree of at most ``FANIN`` of them at a
+    time.
 """
 
 from __future__ import annotations
@@ -50,9 +51,9 @@ from ._native import cut
 CELLS, CLASSES, HEAD_CELLS = 256, 16, 128
 INNER, TAIL = CELLS // CLASSES, CELLS - HEAD_CELLS
 KINDS = 3
-ROWS, FEWEST = 1 << 18, 1 << 12
+ROWS, FEWEST, SHARED = 1 << 18, 1 << 12, 2
 HEAD = 1 << 17
-BATCH = 1 << 15
+BATCH = 1 << 13
 ROUNDS = 3
 FANIN, BLOCK = 32, 1 << 13
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -119,48 +120,60 @@ class Model:
         self.rows = rows
         self.b1 = np.log(share.sum(axis=1) / share.sum()).astype(np.float32)
         self.b2 = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
-        self.w = np.zeros((2 * KINDS, rows, INNER), np.float32)
-
-    def places(self, f: np.ndarray, k: np.ndarray) -> list[list[np.ndarray]]:
-        """Rows of the tables of both layers: a feature's, and that of a feature with a class."""
-        inner = [(((f[:, j] * CLASSES + k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % self.rows for j in range(KINDS)]
-        return [[f[:, j] for j in range(KINDS)], inner]
-
-    def logs(self, f: np.ndarray, cell: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
-        """Rows used, log-softmax of classes, and of the cells of each token's class."""
-        k = cell // INNER
-        places = self.places(f, k)
-        z = [np.broadcast_to(self.b1, (len(f), CLASSES)).copy(), self.b2[k]]
-        for layer in (0, 1):
-            for j in range(KINDS):
-                z[layer] += self.w[layer * KINDS + j][places[layer][j]]
-        return places, _log_softmax(z[0]), _log_softmax(z[1])
+        # zeros take no memory until they are written
+        self.w = [np.zeros((rows, INNER), np.float32) for _ in range(KINDS)] + [np.zeros((rows // SHARED, INNER), np.float32) for _ in range(KINDS)]
+
+    def places(self, f: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
+        """Rows of all tables: a feature's, and that of a feature with a class."""
+        inner = [(((f[:, j] * CLASSES + k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % (self.rows // SHARED) for j in range(KINDS)]
+        return [f[:, j] for j in range(KINDS)] + inner
+
+    def load(self, weights: list[np.ndarray]) -> Model:
+        self.w = [w.astype(np.float32) for w in weights]
+        return self
+
+    def logs(self, z: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return _log_softmax(z[0]), _log_softmax(z[1])
+
+    def biases(self, k: np.ndarray) -> list[np.ndarray]:
+        return [np.broadcast_to(self.b1, (len(k), CLASSES)).copy(), self.b2[k]]
 
     def log_prob(self, f: np.ndarray, cell: np.ndarray) -> np.ndarray:
         out = np.empty(len(f))
         for a in range(0, len(f), BATCH):
-            _, one, two = self.logs(f[a : a + BATCH], cell[a : a + BATCH])
-            i = np.arange(len(one))
-            out[a : a + BATCH] = one[i, cell[a : a + BATCH] // INNER] + two[i, cell[a : a + BATCH] % INNER]
+            c, i = cell[a : a + BATCH], np.arange(min(BATCH, len(f) - a))
+            z, places = self.biases(c // INNER), self.places(f[a : a + BATCH], c // INNER)
+            for table in range(2 * KINDS):
+                z[table // KINDS] += self.w[table][places[table]]
+            one, two = self.logs(z)
+            out[a : a + BATCH] = one[i, c // INNER] + two[i, c % INNER]
         return out
 
-    def step(self, f: np.ndarray, cell: np.ndarray, met: np.ndarray | None = None, rate: float = 0.5, damp: float = 5.0) -> None:
-        """One gradient step on a minibatch, each row's by the tokens that have its feature; ``met`` counts these."""
-        places, one, two = self.logs(f, cell)
-        i = np.arange(len(f))
-        for layer, (logs, hit) in enumerate(((one, cell // INNER), (two, cell % INNER))):
-            g = np.exp(logs)
-            g[i, hit] -= 1
-            for j in range(KINDS):
-                rows = places[layer][j]
-                order = np.argsort(rows.astype(np.uint32))
-                used = rows[order]
-                first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
-                n = np.diff(np.append(first, len(used))).astype(np.float32)
-                table = layer * KINDS + j
-                self.w[table][used[first]] -= (rate / (n + damp))[:, None] * np.add.reduceat(g[order], first, axis=0)
-                if met is not None:
-                    met[table][used[first]] += n
+    def step(self, f: np.ndarray, cell: np.ndarray, met: list[np.ndarray] | None = None, rate: float = 0.5, damp: float = 2.0) -> None:
+        """One gradient step on a minibatch, each row's by the tokens that have its feature; ``met`` counts these.
+
+        Rows are read and written once, in order; the tokens share them.
+        """
+        z, i = self.biases(cell // INNER), np.arange(len(f))
+        groups = []
+        for table, rows in enumerate(self.places(f, cell // INNER)):
+            order = np.argsort(rows.astype(np.uint32))
+            used = rows[order]
+            first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
+            n = np.diff(np.append(first, len(used)))
+            own, which = used[first], np.empty(len(rows), np.int64)
+            which[order] = np.repeat(np.arange(len(own)), n)
+            w = self.w[table][own]
+            z[table // KINDS] += w[which]
+            groups.append((order, first, n.astype(np.float32), own, w))
+        g = [np.exp(x) for x in self.logs(z)]
+        g[0][i, cell // INNER] -= 1
+        g[1][i, cell % INNER] -= 1
+        for table, (order, first, n, own, w) in enumerate(groups):
+            w -= (rate / (n + damp))[:, None] * np.add.reduceat(g[table // KINDS][order], first, axis=0)
+            self.w[table][own] = w
+            if met is not None:
+                met[table][own] += n
 
 
 def count_tokens(docs: DataFrame, text: str) -> DataFrame:
@@ -188,56 +201,59 @@ def _summed(kept: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tail[first]), pa.array(np.bincount(at, n, len(h)).astype(np.int64))], ["h", "tail", "c"])
 
 
-_KIND = "task long, block long, n binary, d binary"
+_KIND = "task long, block long, rows binary, n binary, scale binary, d binary"
 
 
-def _changed(table: int, block: int, n: np.ndarray, d: np.ndarray) -> dict:
-    """The rows of a block that were met, as counts and changes; the rows are marked by bits."""
-    there = n > 0
-    return {"block": table * (ROWS // BLOCK) + block, "n": np.packbits(there).tobytes() + n[there].astype(np.float32).tobytes(), "d": d[there].astype(np.float16).tobytes()}
+def _packed(rows: np.ndarray, n: np.ndarray, d: np.ndarray) -> dict:
+    """Changed rows of a block, how often they were met, and their changes in steps of a 127th of each row's largest."""
+    scale = np.maximum(np.abs(d).max(axis=1), 1e-20).astype(np.float32)
+    return {"rows": rows.astype(np.uint16).tobytes(), "n": n.astype(np.float32).tobytes(), "scale": scale.tobytes(), "d": np.rint(d / scale[:, None] * 127).astype(np.int8).tobytes()}
 
 
-def _unpacked(n: bytes, d: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    there = np.flatnonzero(np.unpackbits(np.frombuffer(n, np.uint8, size // 8)))
-    return there, np.frombuffer(n, np.float32, offset=size // 8), np.frombuffer(d, np.float16).reshape(-1, INNER).astype(np.float32)
+def _unpacked(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    d = np.frombuffer(r["d"], np.int8).reshape(-1, INNER).astype(np.float32)
+    return np.frombuffer(r["rows"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.float32), d * (np.frombuffer(r["scale"], np.float32) / 127)[:, None]
 
 
 def train(docs: DataFrame, key: str, text: str, cell_counts: np.ndarray, cells: Cells, rows: int, rounds: int = ROUNDS) -> Model:
     """A model from ``rounds`` synchronous rounds, each over its part of ``docs``."""
-    spark, model, size = docs.sparkSession, Model(cell_counts, rows), min(rows, BLOCK)
+    spark, model = docs.sparkSession, Model(cell_counts, rows)
     tasks = max(spark.sparkContext.defaultParallelism, -(-docs.rdd.getNumPartitions() // rounds))
     part = F.pmod(F.xxhash64(key, text), F.lit(rounds))
     for number in range(rounds):
-        shared = spark.sparkContext.broadcast((cells, cell_counts, model.w.astype(np.float16)))
+        shared = spark.sparkContext.broadcast((cells, cell_counts, [w.astype(np.float16) for w in model.w]))
 
         def learn(batches, shared=shared):
             from pyspark import TaskContext
 
             cells, counts, before = shared.value
-            own, met = Model(counts, rows), np.zeros((2 * KINDS, rows), np.float32)
-            own.w[:] = before
+            own = Model(counts, rows).load(before)
+            met = [np.zeros(len(w), np.float32) for w in own.w]
             for batch in _text.slices(batches, "text"):
                 h, tail, toff = tokens(batch.column(0))
                 f, cell = features(h, toff, rows), cells(h, tail)
                 for a in range(0, len(h), BATCH):
                     own.step(f[a : a + BATCH], cell[a : a + BATCH], met)
             task = TaskContext.get().partitionId()
-            for t in range(2 * KINDS):
-                for b in range(rows // size):
-                    at = slice(b * size, (b + 1) * size)
-                    if met[t, at].any():
-                        out = _changed(t, b, met[t, at], (own.w[t, at] - before[t, at]) * met[t, at][:, None] / met[t, at].max())
-                        yield pa.RecordBatch.from_pylist([out | {"task": task, "n": out["n"] + np.float32(met[t, at].max()).tobytes()}], schema=_SCHEMA)
+            for t, w in enumerate(own.w):
+                changed = np.flatnonzero(met[t])
+                change = w[changed] - before[t][changed]
+                edges = np.searchsorted(changed, np.arange(0, len(w) + BLOCK, BLOCK))
+                for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+                    if j > i:
+                        r = changed[i:j]
+                        yield pa.RecordBatch.from_pylist([{"task": task, "block": t * (ROWS // BLOCK) + b} | _packed(r - b * BLOCK, met[t][r], change[i:j])], schema=_SCHEMA)
 
         def add(group: pd.DataFrame) -> pd.DataFrame:
-            n, d = np.zeros(size, np.float32), np.zeros((size, INNER), np.float32)
-            for counts, changes in zip(group["n"], group["d"]):
-                there, c, x = _unpacked(counts, changes, size)
-                n[there] += c[:-1]
-                d[there] += x * c[-1]
-            top = np.float32(max(n.max(), 1))
-            out = _changed(0, 0, n, d / top)
-            return pd.DataFrame({"task": [int(group["task"].iloc[0]) // FANIN], "block": [group["block"].iloc[0]], "n": [out["n"] + top.tobytes()], "d": [out["d"]]})
+            """Mean changes of the rows of one block, by how often each was met."""
+            n, d = np.zeros(BLOCK, np.float32), np.zeros((BLOCK, INNER), np.float32)
+            for r in group.to_dict("records"):
+                at, times, change = _unpacked(r)
+                n[at] += times
+                d[at] += change * times[:, None]
+            at = np.flatnonzero(n)
+            out = _packed(at, n[at], d[at] / n[at][:, None])
+            return pd.DataFrame([{"task": int(group["task"].iloc[0]) // FANIN, "block": group["block"].iloc[0]} | out])
 
         learnt = docs.where(part == number).select(F.col(text).alias("text")).coalesce(tasks).mapInArrow(learn, _KIND)
         left = tasks
@@ -247,14 +263,14 @@ def train(docs: DataFrame, key: str, text: str, cell_counts: np.ndarray, cells:
             if left <= 1:
                 break
         for r in learnt.collect():  # the changed rows of the model
-            t, b = divmod(r.block, ROWS // BLOCK)
-            there, c, x = _unpacked(r.n, r.d, size)
-            model.w[t, b * size + there] += x * c[-1] / c[:-1][:, None]
+            t, b = divmod(r["block"], ROWS // BLOCK)
+            at, _, change = _unpacked(r)
+            model.w[t][b * BLOCK + at] += change
         shared.unpersist()
     return model
 
 
-_SCHEMA = pa.schema([("task", pa.int64()), ("block", pa.int64()), ("n", pa.binary()), ("d", pa.binary())])
+_SCHEMA = pa.schema([("task", pa.int64()), ("block", pa.int64()), ("rows", pa.binary()), ("n", pa.binary()), ("scale", pa.binary()), ("d", pa.binary())])
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,14 +305,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     rows = min(ROWS, max(FEWEST, 1 << (total // 16).bit_length()))
     model = train(training, "key", "text", cell_n, cells, rows)
-    shared = docs.sparkSession.sparkContext.broadcast((known, cells, cell_n, model.w.astype(np.float16), np.log10(cell_n + cell_v + 1)))
+    shared = docs.sparkSession.sparkContext.broadcast((known, cells, cell_n, [w.astype(np.float16) for w in model.w], np.log10(cell_n + cell_v + 1)))
     del model
 
     def run(batches):
         (words, seen), cells, counts, weights, cell_log = shared.value
         gain = np.log10(seen + 1.0)
-        model = Model(counts, weights.shape[1])
-        model.w[:] = weights
+        model = Model(counts, len(weights[0])).load(weights)
         for batch in _text.slices(batches, "text"):
             h, tail, toff = tokens(batch.column(2))
             cell = cells(h, tail)
