@@ -450,7 +450,7 @@ def test_lm_gradient():
     before, places = [w.copy() for w in model.w], model.places(f, cell // lm_score.INNER)
     loss = lambda: -model.log_prob(f, cell).sum()
     numeric = {}
-    for table, row, column in ((0, 5, 1), (1, 9, 2), (2, 11, 7), (3, places[3][0], 1), (5, places[5][2], 8)):
+    for table, row, column in ((0, 5, 1), (1, 9, 2), (2, 11, 7), (3, places[3][0], 1), (4, places[4][2], 8)):
         model.w[table][row, column] += 0.05
         up = loss()
         model.w[table][row, column] -= 0.1

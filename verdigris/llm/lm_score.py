@@ -6,9 +6,9 @@ their own each; all others share the ``CELLS - HEAD_CELLS`` tail cells by a hash
 of their last three bytes, which tells kinds of words, and languages, apart.
 Cells stand in order of frequency, the tail last, and ``INNER`` neighbours are a
 class.  The first two factors are softmax models over hashed features of the
-history ``h``: the previous token, the one before it (a skip) and both
-together, each with a table of weights of its own in either factor; the third
-is the token's smoothed share of its cell.  The sum over all tokens that can
+history ``h``: the previous token, the one before it (a skip) and, for the
+class, both together, each with a table of weights of its own in either
+factor; the third is the token's smoothed share of its cell.  The sum over all tokens that can
 occur, with one unit of mass per cell for unseen ones, is one.
 
 Training: the documents are dealt to ``ROUNDS`` parts by a hash.  In each round
@@ -32,8 +32,8 @@ Scale
     document's rarer tokens meet their counts in an equi-join whose keys are
     rare by construction.  The rows of each table grow with the training
     tokens, up to ``ROWS`` (for each of three kinds of features a table of 16
-    columns, and one of half the rows for a feature with a class: 72 MB in a
-    task).  A task sends the rows it changed only, a byte for each weight, cut
+    columns, and for two of them one of half the rows for a feature with a
+    class: 64 MB in a task).  A task sends the rows it changed only, a byte for each weight, cut
     into blocks; they are added up in a tree of at most ``FANIN`` of them at a
     time.
 """
@@ -50,7 +50,7 @@ from ._native import cut
 
 CELLS, CLASSES, HEAD_CELLS = 256, 16, 128
 INNER, TAIL = CELLS // CLASSES, CELLS - HEAD_CELLS
-KINDS = 3
+KINDS, WITH_CLASS = 3, 2
 ROWS, FEWEST, SHARED = 1 << 18, 1 << 12, 2
 HEAD = 1 << 17
 BATCH = 1 << 13
@@ -121,11 +121,11 @@ class Model:
         self.b1 = np.log(share.sum(axis=1) / share.sum()).astype(np.float32)
         self.b2 = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
         # zeros take no memory until they are written
-        self.w = [np.zeros((rows, INNER), np.float32) for _ in range(KINDS)] + [np.zeros((rows // SHARED, INNER), np.float32) for _ in range(KINDS)]
+        self.w = [np.zeros((rows, INNER), np.float32) for _ in range(KINDS)] + [np.zeros((rows // SHARED, INNER), np.float32) for _ in range(WITH_CLASS)]
 
     def places(self, f: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
         """Rows of all tables: a feature's, and that of a feature with a class."""
-        inner = [(((f[:, j] * CLASSES + k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % (self.rows // SHARED) for j in range(KINDS)]
+        inner = [(((f[:, j] * CLASSES + k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % (self.rows // SHARED) for j in range(WITH_CLASS)]
         return [f[:, j] for j in range(KINDS)] + inner
 
     def load(self, weights: list[np.ndarray]) -> Model:
@@ -143,7 +143,7 @@ class Model:
         for a in range(0, len(f), BATCH):
             c, i = cell[a : a + BATCH], np.arange(min(BATCH, len(f) - a))
             z, places = self.biases(c // INNER), self.places(f[a : a + BATCH], c // INNER)
-            for table in range(2 * KINDS):
+            for table in range(len(self.w)):
                 z[table // KINDS] += self.w[table][places[table]]
             one, two = self.logs(z)
             out[a : a + BATCH] = one[i, c // INNER] + two[i, c % INNER]
@@ -206,19 +206,19 @@ _KIND = "task long, block long, rows binary, n binary, scale binary, d binary"
 
 def _packed(rows: np.ndarray, n: np.ndarray, d: np.ndarray) -> dict:
     """Changed rows of a block, how often they were met, and their changes in steps of a 127th of each row's largest."""
-    scale = np.maximum(np.abs(d).max(axis=1), 1e-20).astype(np.float32)
-    return {"rows": rows.astype(np.uint16).tobytes(), "n": n.astype(np.float32).tobytes(), "scale": scale.tobytes(), "d": np.rint(d / scale[:, None] * 127).astype(np.int8).tobytes()}
+    scale = np.maximum(np.abs(d).max(axis=1), 1e-4).astype(np.float16).astype(np.float32)
+    return {"rows": rows.astype(np.uint16).tobytes(), "n": n.astype(np.float32).tobytes(), "scale": scale.astype(np.float16).tobytes(), "d": np.rint(np.clip(d / scale[:, None], -1, 1) * 127).astype(np.int8).tobytes()}
 
 
 def _unpacked(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     d = np.frombuffer(r["d"], np.int8).reshape(-1, INNER).astype(np.float32)
-    return np.frombuffer(r["rows"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.float32), d * (np.frombuffer(r["scale"], np.float32) / 127)[:, None]
+    return np.frombuffer(r["rows"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.float32), d * (np.frombuffer(r["scale"], np.float16).astype(np.float32) / 127)[:, None]
 
 
 def train(docs: DataFrame, key: str, text: str, cell_counts: np.ndarray, cells: Cells, rows: int, rounds: int = ROUNDS) -> Model:
     """A model from ``rounds`` synchronous rounds, each over its part of ``docs``."""
     spark, model = docs.sparkSession, Model(cell_counts, rows)
-    tasks = max(spark.sparkContext.defaultParallelism, -(-docs.rdd.getNumPartitions() // rounds))
+    tasks = -(-docs.rdd.getNumPartitions() // rounds)  # each with about as many documents as a task that reads all
     part = F.pmod(F.xxhash64(key, text), F.lit(rounds))
     for number in range(rounds):
         shared = spark.sparkContext.broadcast((cells, cell_counts, [w.astype(np.float16) for w in model.w]))
