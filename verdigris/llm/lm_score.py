@@ -55,6 +55,7 @@ ROWS, FEWEST, SHARED = 1 << 18, 1 << 12, 2
 HEAD = 1 << 17
 BATCH = 1 << 13
 ROUNDS = 3
+MOST = 16.0
 FANIN, BLOCK = 32, 1 << 13
 _END = np.uint64(0x5851F42D4C957F2D)
 _MERGE = 4_000_000
@@ -106,10 +107,7 @@ class Cells:
         return np.where(self.sorted[at] == h, self.order[at], HEAD_CELLS + tail)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+_ONES = np.ones(INNER, np.float32)
 
 
 class Model:
@@ -129,12 +127,10 @@ class Model:
         return [f[:, j] for j in range(KINDS)] + inner
 
     def load(self, weights: list[np.ndarray]) -> Model:
-        self.w = [w.astype(np.float32) for w in weights]
+        """Weights within MOST, so that no sum of them overflows a softmax."""
+        self.w = [np.clip(w, -MOST, MOST, dtype=np.float32) for w in weights]
         return self
 
-    def logs(self, z: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return _log_softmax(z[0]), _log_softmax(z[1])
-
     def biases(self, k: np.ndarray) -> list[np.ndarray]:
         return [np.broadcast_to(self.b1, (len(k), CLASSES)).copy(), self.b2[k]]
 
@@ -145,8 +141,7 @@ class Model:
             z, places = self.biases(c // INNER), self.places(f[a : a + BATCH], c // INNER)
             for table in range(len(self.w)):
                 z[table // KINDS] += self.w[table][places[table]]
-            one, two = self.logs(z)
-            out[a : a + BATCH] = one[i, c // INNER] + two[i, c % INNER]
+            out[a : a + BATCH] = z[0][i, c // INNER] + z[1][i, c % INNER] - np.log((np.exp(z[0]) @ _ONES) * (np.exp(z[1]) @ _ONES))
         return out
 
     def step(self, f: np.ndarray, cell: np.ndarray, met: list[np.ndarray] | None = None, rate: float = 0.5, damp: float = 2.0) -> None:
@@ -166,7 +161,9 @@ class Model:
             w = self.w[table][own]
             z[table // KINDS] += w[which]
             groups.append((order, first, n.astype(np.float32), own, w))
-        g = [np.exp(x) for x in self.logs(z)]
+        g = [np.exp(x) for x in z]
+        for x in g:
+            x /= (x @ _ONES)[:, None]
         g[0][i, cell // INNER] -= 1
         g[1][i, cell % INNER] -= 1
         for table, (order, first, n, own, w) in enumerate(groups):
@@ -305,13 +302,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     rows = min(ROWS, max(FEWEST, 1 << (total // 16).bit_length()))
     model = train(training, "key", "text", cell_n, cells, rows)
-    shared = docs.sparkSession.sparkContext.broadcast((known, cells, cell_n, [w.astype(np.float16) for w in model.w], np.log10(cell_n + cell_v + 1)))
+    shared = docs.sparkSession.sparkContext.broadcast((known, cells, cell_n, [np.clip(w, -MOST, MOST).astype(np.float16) for w in model.w], np.log10(cell_n + cell_v + 1)))
     del model
 
     def run(batches):
         (words, seen), cells, counts, weights, cell_log = shared.value
         gain = np.log10(seen + 1.0)
-        model = Model(counts, len(weights[0])).load(weights)
+        model = Model(counts, len(weights[0]))
+        model.w = weights  # in half precision as they are
         for batch in _text.slices(batches, "text"):
             h, tail, toff = tokens(batch.column(2))
             cell = cells(h, tail)
