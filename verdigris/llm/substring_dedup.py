@@ -17,11 +17,17 @@ strings.  The place of the least hash of a ``KMER``-byte window within the
 ``LENGTH`` bytes from a start is the start's anchor: it depends on these bytes
 only, so equal strings have equal anchors at equal distances.  Starts with the
 same anchor are one run; runs whose anchor hash stands only once in the
-collection cannot repeat and are dropped.  Runs of the same content (two
-hashes, 128 bits) repeat as a whole; one of them stands for all.  Where an
-anchor hash has runs of several contents, these become strings of less than
-``2 LENGTH`` bytes, aligned at their anchors and grouped by anchor hash, and
-``2 LENGTH`` rounds suffice.
+collection cannot repeat and are dropped.  Runs of the same content repeat as
+a whole; one of them stands for all.  Contents are compared by a cryptographic
+digest of their bytes (BLAKE2b, 128 bits) beside the anchor's hash, as the
+bytes of all runs together would be four times the input.  Where an anchor
+hash has runs of several contents, these become strings of less than ``2
+LENGTH`` bytes, aligned at their anchors and grouped by anchor hash, and ``2
+LENGTH`` rounds suffice.  A round reads its column of symbols and the order and
+common prefixes of the round before from files, front to back, and writes the
+new order and common prefixes to files.  As only suffixes at equal distances
+from their anchors can be equal, a round orders its own suffixes and need not
+merge them into those of all rounds.
 
 Defined results
     Texts are taken as UTF-8 bytes, null as empty.  Matches do not cross
@@ -31,7 +37,7 @@ Defined results
     null or repeated keys do no harm.  Empty table: no rows.
 
 Scale
-    About 1 run per 140 bytes is shuffled (40 bytes each), summed map-side to
+    About 1 run per 140 bytes is shuffled (48 bytes each), summed map-side to
     count contents, and once more to meet the counts.  Texts are shuffled to
     cut the strings out and to remove the spans.  A group of more than
     ``PART`` contents is dealt to parts by a hash; each part resolves
@@ -69,7 +75,7 @@ def _kmer_hashes(buf: np.ndarray) -> np.ndarray:
 
 
 def runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH):
-    """(row, first start, last start, anchor, anchor hash, content hash) of all runs, positions within the row."""
+    """(row, first start, last start, anchor, anchor hash) of all runs, positions within the row."""
     width = length - KMER + 1
     out = []
     row_end = np.repeat(off[1:], np.diff(off))
@@ -93,17 +99,22 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH):
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(start)) - 1
         p1, p2, x = start[first], start[last], anchor[first]
-        up, down = _text._tables(len(part))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_text._BYTE[part] * up[: len(part)])])
-        content = (sums[p2 + length] - sums[p1]) * down[p1]
-        shape = ((p2 - p1) * 1024 + x - p1).astype(np.uint64)
-        out.append((p1 + a, p2 + a, x + a, h[x], _text.mix(content ^ _text.mix(shape))))
+        out.append((p1 + a, p2 + a, x + a, h[x]))
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    p1, p2, x, g, s = (np.concatenate(c) for c in zip(*out))
+        return none, none, none, none, np.zeros(0, np.uint64)
+    p1, p2, x, g = (np.concatenate(c) for c in zip(*out))
     row = np.searchsorted(off, p1, "right") - 1
-    return row, p1 - off[row], p2 - off[row], x - off[row], g, s
+    return row, p1 - off[row], p2 - off[row], x - off[row], g
+
+
+def _digests(data: bytes, starts: np.ndarray, ends: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """(n, 2) digests of stretches of ``data``, each with a number that belongs to its content."""
+    more = np.zeros(len(starts), np.int64) if more is None else more
+    found = [
+        hashlib.blake2b(data[a:b], digest_size=16, salt=m.to_bytes(8, "little")).digest() for a, b, m in zip(starts.tolist(), ends.tolist(), more.tolist())
+    ]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
 class _Columns:
@@ -124,9 +135,32 @@ class _Columns:
         self.file.close()
 
 
+class _State:
+    """An array that one round leaves to the next, through an unnamed file."""
+
+    def __init__(self, kind: type):
+        self.kind, self.file = kind, tempfile.TemporaryFile()
+
+    def read(self) -> np.ndarray:
+        self.file.seek(0)
+        return np.frombuffer(self.file.read(), self.kind)
+
+    def write(self, values: np.ndarray) -> None:
+        self.file.seek(0)
+        self.file.truncate()
+        self.file.write(values.astype(self.kind, copy=False).tobytes())
+
+    def close(self) -> None:
+        self.file.close()
+
+
 def insert_columns(flat: np.ndarray, at: np.ndarray, least: np.ndarray, most: np.ndarray, group: np.ndarray, length: int = LENGTH):
     """Yields (d, order, common) for d = 0, 1, ...: the strings with a symbol at ``-d``, in order.
 
+    ``order`` and ``common`` go through a file from round to round.  The round's
+    symbols in the order of the round before are its part of the
+    Burrows-Wheeler transform; a stable sort by them gives the next order.
+
     String ``i`` has its anchor at ``flat[at[i]]`` and covers the offsets from
     ``-most[i]`` up to ``length - least[i]``.  ``common[t]`` is the common
     prefix of ``order[t - 1]`` and ``order[t]`` from ``-d`` on, 0 between groups.
@@ -136,9 +170,9 @@ def insert_columns(flat: np.ndarray, at: np.ndarray, least: np.ndarray, most: np
     enters = np.argsort(-top, kind="stable")
     entered = 0
     columns = _Columns(flat, at, rounds)
-    order, common = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    orders, prefixes = _State(np.int64), _State(np.int32)
     for j in rounds:
-        symbols = columns.read()
+        symbols, order, common = columns.read(), orders.read(), prefixes.read()
         kept = np.flatnonzero(bottom[order] <= j)
         if len(kept) < len(order):
             if len(kept):
@@ -163,20 +197,12 @@ def insert_columns(flat: np.ndarray, at: np.ndarray, least: np.ndarray, most: np
             pairs = np.stack([moved[same - 1] + 1, moved[same] + 1], axis=1).ravel()
             fresh[same] = np.minimum.reduceat(np.append(common, np.int32(2**30)), pairs)[::2] + 1
         order, common = order[moved], fresh
+        orders.write(order)
+        prefixes.write(common)
         if j <= 0:
             yield -j, order, common
-    columns.close()
-
-
-def _window_hashes(flat: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the ``length`` bytes from each position on."""
-    out = []
-    up, down = _text._tables(len(flat) + 1)
-    for salt in (0, 0x5BD1E995):
-        values = _text.mix(_text._BYTE + np.uint64(salt))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(values[flat] * up[: len(flat)])])
-        out.append(_text.mix((sums[at + length] - sums[at]) * down[at]).view(np.int64))
-    return out[0], out[1]
+    for file in (columns, orders, prefixes):
+        file.close()
 
 
 def _resolve(rows: list[tuple], length: int) -> list[pa.RecordBatch]:
@@ -217,7 +243,7 @@ def _resolve(rows: list[tuple], length: int) -> list[pa.RecordBatch]:
     out = [pa.RecordBatch.from_arrays([pa.array(k1[i]), pa.array(k2[i]), pa.array(x[i] - hi + 1), pa.array(x[i] - lo + length), none, none], names)]
     if reps:
         i, d = (np.concatenate(c) for c in zip(*reps))
-        w1, w2 = _window_hashes(flat, at[i] - d, length)
+        w1, w2 = _digests(flat.tobytes(), at[i] - d, at[i] - d + length).T
         start = x[i] - d
         # a string that is already known to repeat is there for others: an empty interval
         end = np.where(hit[i, d], start, start + length)
@@ -279,19 +305,21 @@ def repeated(docs: DataFrame, length: int = LENGTH, part: int = PART) -> DataFra
 
     def extract(batches):
         for batch in _text.slices(batches, "text"):
-            row, p1, p2, x, g, s = runs(*_text.raw(batch.column(2)), length)
+            buf, off = _text.raw(batch.column(2))
+            row, p1, p2, x, g = runs(buf, off, length)
             k1, k2 = (np.asarray(batch.column(i)) for i in (0, 1))
             place = (p1 << 20) | ((p2 - p1) << 10) | (x - p1)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g.view(np.int64), s.view(np.int64), k1[row], k2[row], place)], ["g", "s", "k1", "k2", "place"])
+            s1, s2 = _digests(buf.tobytes(), off[row] + p1, off[row] + p2 + length, ((p2 - p1) << 10) | (x - p1)).T
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g.view(np.int64), s1, s2, k1[row], k2[row], place)], ["g", "s1", "s2", "k1", "k2", "place"])
 
-    all_runs = docs.mapInArrow(extract, "g long, s long, k1 long, k2 long, place long")
+    all_runs = docs.mapInArrow(extract, "g long, s1 long, s2 long, k1 long, k2 long, place long")
     # Runs of equal content are one kind; one run stands for it.
-    kinds = all_runs.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at"))
+    kinds = all_runs.groupBy("g", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at"))
     groups = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
     kinds = cut(kinds.join(groups, "g", "left").where("n > 1 OR kinds > 1"))
     first = F.shiftright(F.col("place"), 20)
     span = lambda c: F.shiftright(F.col(c), 10).bitwiseAND(1023)
-    whole = all_runs.join(kinds.where("n > 1").select("g", "s"), ["g", "s"]).select(
+    whole = all_runs.join(kinds.where("n > 1").select("g", "s1", "s2"), ["g", "s1", "s2"]).select(
         "k1", "k2", first.alias("a"), (first + span("place") + length).alias("b")
     )
     at = F.col("at.place")
