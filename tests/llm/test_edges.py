@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and long texts, repeated rows, clashing columns and empty tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from verdigris.llm import decontaminate, language_id, lm_score, mixing, near_dedup, pii, quality, secret_scan, substring_dedup, url_filter
 
@@ -43,6 +44,78 @@ def test_edge_rows(spark, edge_docs, labels, bench_items, name, tmp_path):
     assert n == edge_docs.count() if name not in FILTERS else 0 < n
 
 
+def by_id(rows):
+    """Rows of each id, as sets of tuples without it."""
+    out = {}
+    for r in rows:
+        out.setdefault(r[0], set()).add(tuple(r)[1:])
+    return out
+
+
+def test_values_of_personal_data(spark, edge_docs):
+    """No text here holds any: no spans, and every text stays as it is, null, blank, long and repeated ones alike."""
+    assert pii.annotate(edge_docs).where(F.size("__spans") > 0).count() == 0
+    before, after = (sorted(map(str, d.select("doc_id", "text").collect())) for d in (edge_docs, pii.sanitise(edge_docs)))
+    assert before == after
+
+
+def test_values_of_removal(spark, edge_docs):
+    got = by_id(substring_dedup.dedup(edge_docs).select("doc_id", "n_bytes", "n_removed", "n_spans").collect())
+    size = len(edge_docs.where("doc_id = 6").first().text)
+    assert got[5] == {(size, size, 1)} and got[6] == {(size, size, 1)}
+    assert got[1] == {(0, 0, 0)} and got[2] == {(0, 0, 0)} and got[3] == {(4, 0, 0)} and (0, 0, 0) in got[None]
+    assert got[10] == {(5000, 5000, 1)} and got[11] == {(600, 600, 1)}
+    assert {n for n, _, _ in got[9]} == {len(("Käse größer ñandú " * 30).encode())}
+
+
+def test_values_of_quality(spark, edge_docs, labels):
+    q = quality.judge(edge_docs, labels)
+    got = by_id(q.select("doc_id", "__quality.n_words", "__quality.word_chars", "__quality.n_repeat_words", "__kept").collect())
+    assert got[1] == got[2] == got[3] == {(0, 0, 0, False)} and got[4] == {(1, 3, 0, False)} and got[10] == {(1, 5000, 0, False)}
+    assert {(r[0], r[3]) for r in got[5]} == {(80, True)} and len(got[5]) == 1 and got[9] == {(90, 30 * 15, 90, False)} and got[11] == {(120, 60 * 5, 120, False)}
+
+
+def test_values_of_secrets(edge_docs):
+    """The one run of hexadecimal letters is a secret; nothing else here is."""
+    assert [(r.doc_id, [tuple(s) for s in r["__spans"]]) for r in secret_scan.scan(edge_docs).where(F.size("__spans") > 0).collect()] == [(10, [(0, 2, 5000)])]
+
+
+def test_values_of_the_mix(edge_docs):
+    """Three sources: s1, then ä, then null; of texts without words nothing is taken, repeated rows count each."""
+    got = mixing.mix(edge_docs).select("doc_id", "source", "__size", "__source_size", "__target", "__taken").collect()
+    size = {s: sum(r["__size"] for r in got if r.source == s) for s in ("s1", "ä", None)}
+    assert size == {"s1": 30_000 + 80 * 4 + 2 + 120, "ä": 90, None: 80}
+    assert {(r.source, r["__source_size"]) for r in got} == set(size.items())
+    assert {r.source: r["__target"] for r in got} == {"s1": sum(size.values()) - 510.0, "ä": 270.0, None: 240.0}
+    assert all(r["__taken"] <= 3 * r["__size"] for r in got)
+    taken = {s: sum(r["__taken"] for r in got if r.source == s) for s in size}
+    assert taken == {"s1": sum(size.values()) - 510, "ä": 270, None: 240}
+
+
+def test_values_of_scores(edge_docs):
+    got = by_id(lm_score.score(edge_docs).select("doc_id", "n_tokens", "held_out", "base_score", "score").collect())
+    assert {r[0] for r in got[1]} == {r[0] for r in got[2]} == {r[0] for r in got[3]} == {1} and {r[0] for r in got[4]} == {2}
+    assert len(got[5]) == 1 and {r[0] for r in got[8]} == {30_001} and {r[0] for r in got[None]} == {81, 1}
+    assert all(r[2] < 0 and r[3] < 0 for rows in got.values() for r in rows)
+    assert got[1] and next(iter(got[1]))[2:] == next(iter(got[2]))[2:]  # the end alone, whatever the blank
+
+
+def test_values_of_languages(spark, edge_docs):
+    languages, model = language_id.fit(edge_docs)
+    out = language_id.identify(edge_docs.select("doc_id", "text", "source"), languages, model, "text", "source").collect()
+    got = {r.doc_id: r for r in out}
+    assert languages == ["de", "en"] and len(out) == edge_docs.count()
+    assert got[9].lang == "de" and got[8].lang == got[5].lang == "en"
+    assert got[1].text_lang == got[3].text_lang == "de"  # no evidence: a tie, the first in order
+    assert all(0.5 <= r.probability <= 1 for r in out)
+
+
+def test_values_of_occurrences(edge_docs, bench_items):
+    got = by_id((r.doc_id, r["__n_words"], tuple(r["__runs"]), tuple(r["__items"])) for r in decontaminate.find(edge_docs, bench_items).collect())
+    assert got[4] == {(1, (0, 1), ("1", "4"))} and got[1] == got[2] == got[3] == {(0, (), ())}
+    assert got[9] == {(90, (), ())} and got[10] == {(1, (), ())} and got[11] == {(120, (), ())} and got[8] == {(30_000, (), ())}
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_empty_table(spark, no_docs, labels, bench_items, name):
     assert operators(spark, labels, bench_items)[name](no_docs).count() == 0
