@@ -7,10 +7,12 @@ import pytest
 from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
+from verdigris import api
 from verdigris.functions import exprs
 from verdigris.operators import context, fuzzy, lifecycle, matching, records, search, upsert, versions
 from verdigris.plans import project, upgrade
 from verdigris.sources import parsers, sinks
+from verdigris.sources.graph import Graph
 from verdigris.streaming import outcomes
 
 
@@ -126,6 +128,29 @@ def test_fuzzy_levels(spark):
     assert got == {1: ("wallet-api", "exact"), 2: ("Ledger", "case_insensitive"), 3: ("wallet-api", "alphanumeric_normalized"), 4: ("payments", "fuzzy")}
 
 
+def test_layers_and_pins(spark):
+    layer = lambda *rows: spark.createDataFrame(rows, "service string, target string")
+    got = {tuple(r) for r in fuzzy.layered(layer(("Wallet-Api", "old"), ("ledger", "l")), layer(("wallet_api", "new"), ("!", "x"))).collect()}
+    assert got == {("wallet_api", "new"), ("ledger", "l")}
+    asked = spark.createDataFrame([(1, "ledger"), (2, "other")], "request_id long, name string")
+    found = fuzzy.by_level(asked, spark.createDataFrame([("ledger",), ("other",)], "service string"))
+    pins = spark.createDataFrame([("ledger", "main-ledger")], "name string, service string")
+    assert {tuple(r) for r in fuzzy.pinned_first(asked, pins, found).collect()} == {(1, "ledger", "main-ledger", "pinned"), (2, "other", "other", "exact")}
+
+
+def test_plan_falls_back_to_cards(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    path = api.resolved_path(g, "ASIA", 5006000, 99000000)
+    assert path.high == g.version.where("framework = 'ASIA'").agg(F.max("sortable")).first()[0]
+    plan = api.build_recipe_plan(g, path, g.scan_names, steps=g.step.limit(0))
+    assert {(r.track, r.blocked_reason) for r in plan.collect()} == {("manual", "no_migration_steps")}
+    assert api.build_recipe_plan(g, path, g.scan_names).where("blocked_reason is not null").count() == 0
+    with pytest.raises(ValueError):
+        api.resolved_path(g, "none", 1, 2)
+    with pytest.raises(ValueError):
+        api.steps_for_scope_tier(g, path, g.scan_names, "api", "urgent")
+
+
 def test_guard(spark):
     with pytest.raises(ValueError):
         project.guarded(spark, {}, "drop table x")

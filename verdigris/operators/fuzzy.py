@@ -14,6 +14,22 @@ def plain(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
 
 
+def layered(*layers: DataFrame) -> DataFrame:
+    """One catalogue (service, target) of several, first to last: a later layer's entry stands for an earlier one of the same plain name."""
+    every = None
+    for i, layer in enumerate(layers):
+        rows = layer.select("service", "target", F.lit(i).alias("layer"), plain(F.col("service")).alias("key"))
+        every = rows if every is None else every.unionByName(rows)
+    best = every.where("key <> ''").groupBy("key").agg(F.max_by(F.struct("service", "target"), F.struct("layer", "service")).alias("b"))
+    return best.select("b.service", "b.target")
+
+
+def pinned_first(requests: DataFrame, pins: DataFrame, found: DataFrame) -> DataFrame:
+    """Resolved requests, those that a pin (name, service) names answered by it at once."""
+    pinned = requests.join(pins.withColumnRenamed("service", "pin"), "name").select("request_id", "name", F.col("pin").alias("service"), F.lit("pinned").alias("method"))
+    return pinned.unionByName(found.join(pinned.select("request_id"), "request_id", "left_anti").select("request_id", "name", "service", "method"))
+
+
 def by_level(requests: DataFrame, services: DataFrame) -> DataFrame:
     """Each request with the best of its equal, case-insensitive or alphanumeric namesakes."""
     s = services.select("service", plain(F.col("service")).alias("key"))

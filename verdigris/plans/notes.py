@@ -95,6 +95,28 @@ def extracted_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framework_changes(spark, hops, releases, hops.where("hop_to % 5000 < 2000").select("framework", "hop_to", wiki.alias("body")))
 
 
+def guide_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of migration guides: AsciiDoc from major 6 on where the text is AsciiDoc, else Markdown."""
+    g = Graph(spark, sf_dir)
+    to = F.col("sortable").cast("string")
+    ascii_doc = F.concat(F.lit("= Guide\n== Removed\n- dropped in "), to, F.lit("\n# not a heading\n* breaking "), to)
+    markdown = F.concat(F.lit("# Guide\n== x\n- kept in "), to)
+    guides = g.version.select("framework", "sortable", F.when(F.col("sortable") % 2000 == 0, ascii_doc).otherwise(markdown).alias("body"))
+    return parsers.guide_statements(guides.withColumn("guide", F.concat_ws("|", "framework", to)), "guide", "body", F.floor(F.col("sortable") / 1000000)).select("guide", "line_no", "statement", "type")
+
+
+def platform_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of the enterprise platform: those of the server versions between the bases of its versions, by a range join."""
+    g = Graph(spark, sf_dir)
+    table = spark.createDataFrame(parsers.PLATFORM_VERSIONS, "version string, short string, base string").select("version", F.lit("ASIA").alias("framework"), exprs.sortable(F.col("version")).alias("own"), exprs.sortable(F.col("base")).alias("sortable"))
+    hops = versions.hops(table, "sortable").select(F.col("hop_to").alias("context_id"), "framework", F.col("hop_from").alias("from_sortable"), F.col("hop_to").alias("to_sortable"))
+    base = g.version.where("framework = 'ASIA'").select("framework", (F.col("sortable") * 4).alias("sortable"))
+    steps = versions.on_path(hops, base)
+    rules = g.rule.where("framework = 'ASIA'").groupBy((F.col("sortable") * 4).alias("sortable"), "rule_type").agg(F.count("*").alias("rules"))
+    named = table.select("version", F.col("sortable").alias("context_id"))
+    return steps.join(rules, "sortable").join(named, "context_id").groupBy("version", "rule_type").agg(F.sum("rules").alias("rules"))
+
+
 def insight_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insights in a range of versions that name an entity, with the instruction of their first step."""
     g = Graph(spark, sf_dir)
@@ -108,7 +130,7 @@ def insight_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("insight_id", "sortable", F.array_join("names", ",").alias("names"), F.coalesce("instruction", F.lit("")).alias("solution"))
 
 
-QUERIES = {f.__name__: f for f in (release_text_parse, release_page_parse, asciidoc_parse, release_bodies, coordinate_scan, issue_fields, extracted_changes, insight_solutions)}
+QUERIES = {f.__name__: f for f in (release_text_parse, release_page_parse, asciidoc_parse, release_bodies, coordinate_scan, issue_fields, extracted_changes, guide_changes, platform_changes, insight_solutions)}
 
 _CLASSIFY = """CASE WHEN regexp_matches({t}, '(?i)breaking') THEN '{0}' WHEN regexp_matches({t}, '(?i)deprecat') THEN '{1}' WHEN regexp_matches({t}, '(?i)mandatory|migration|upgrade guide') THEN '{2}'
   WHEN regexp_matches({t}, '(?i)dependency|bom|component') THEN '{3}' WHEN regexp_matches({t}, '(?i)security|cve') THEN '{4}' WHEN regexp_matches({t}, '(?i)behavior') THEN '{5}' WHEN contains({t}, '/subsystem=') THEN '{6}' ELSE '{7}' END"""
@@ -167,6 +189,12 @@ UNION ALL SELECT framework, hop_from, hop_to, 'release', 4, 'last one: ' || hop_
 UNION ALL SELECT framework, hop_from, hop_to, 'wiki', 14, 'new bullet ' || hop_to, 'behavioral', 'inferred' FROM wk
 UNION ALL SELECT framework, hop_from, hop_to, 'upgrade', 4, 'Heap dump: first of ' || hop_to || ' second', 'behavioral', 'inferred' FROM wk
 UNION ALL SELECT framework, hop_from, hop_to, 'upgrade', 9, 'Removed API: breaking it', 'breaking', 'confirmed' FROM wk""",
+    "guide_changes": BASE + """SELECT framework || '|' || sortable AS guide, n AS line_no, CASE WHEN sortable % 2000 = 0 AND sortable >= 6000000 THEN CASE n WHEN 2 THEN 'dropped in ' ELSE 'breaking ' END WHEN sortable % 2000 = 0 THEN CASE n WHEN 2 THEN 'dropped in ' ELSE 'breaking ' END ELSE 'kept in ' END || sortable AS statement,
+  CASE WHEN sortable % 2000 = 0 AND n = 4 THEN 'breaking' ELSE 'behavioral' END AS type FROM version, (VALUES (2), (4)) t(n) WHERE sortable % 2000 = 0 OR n = 2""",
+    "platform_changes": BASE + f""", t AS (SELECT version, CAST(string_split(base, '.')[1] AS BIGINT) * 1000000 + CAST(string_split(base, '.')[2] AS BIGINT) * 1000 + CAST(string_split(base, '.')[3] AS BIGINT) AS b
+  FROM (VALUES {", ".join(f"('{v}', '{b}')" for v, _, b in parsers.PLATFORM_VERSIONS)}) x(version, base)),
+h AS (SELECT version, b AS hi, lag(b) OVER (ORDER BY b) AS lo FROM t)
+SELECT version, rule_type, count(*) AS rules FROM h JOIN rule ON framework = 'ASIA' AND sortable * 4 > lo AND sortable * 4 <= hi GROUP BY 1, 2""",
     "insight_solutions": BASE + """, n AS (SELECT insight_id, statement, CAST((insight_id % 7 + 1) * 1000000 AS BIGINT) AS sortable, list_sort(list_distinct(['e' || insight_id % 13, 'e' || insight_id * 3 % 13, 'e' || insight_id * 5 % 13])) AS names FROM insight),
 f AS (SELECT rule_id, min_by(instruction, step_index) AS instruction FROM step GROUP BY 1)
 SELECT insight_id, sortable, array_to_string(names, ',') AS names, coalesce(instruction, '') AS solution FROM n LEFT JOIN f ON rule_id = insight_id

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from verdigris import api
 from verdigris.functions import exprs
 from verdigris.operators import context, lifecycle, matching, upsert, versions
 from verdigris.plans.base_sql import BASE
@@ -92,6 +93,24 @@ def rule_cards(rules: DataFrame, steps: DataFrame, plan: list[str]) -> DataFrame
     return rules.join(with_steps, plan, "left_anti")
 
 
+def recipe_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole plan of rules of one scope at a severity or above: tracks and executors of its steps."""
+    g = Graph(spark, sf_dir)
+    return api.build_recipe_plan(g, api.resolved_path(g, FRAMEWORK, LOW + 500, HIGH - 500), g.scan_names, scopes=["api", "config"], least="medium")
+
+
+def path_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the capped report of one scope leaves out."""
+    g = Graph(spark, sf_dir)
+    return api.analyze_upgrade_path(g, api.resolved_path(g, FRAMEWORK, LOW + 500, HIGH - 500), g.scan_names, scopes=["api"], top_n=10)["diagnostics"]
+
+
+def scope_tier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct entities and rules of one scope tier."""
+    g = Graph(spark, sf_dir)
+    return api.steps_for_scope_tier(g, api.Path(FRAMEWORK, LOW, HIGH), g.scan_names, "api")["summary"]
+
+
 def executor_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The executor of every step of the plan."""
     g = Graph(spark, sf_dir)
@@ -219,6 +238,9 @@ QUERIES = {
     "recipe_plan_tracks": recipe_plan_tracks,
     "recipe_plan_rule_cards": recipe_plan_rule_cards,
     "executor_routing": executor_routing,
+    "recipe_plan": recipe_plan,
+    "path_diagnostics": path_diagnostics,
+    "scope_tier_summary": scope_tier_summary,
     "concrete_instruction": concrete_instruction,
     "resolve_version_exact": _resolver("exact"),
     "resolve_version_floor": _resolver("floor"),
@@ -273,6 +295,15 @@ FROM step s JOIN path p ON s.rule_id = p.rule_id WHERE plan_applicability <> 'ex
 AND NOT EXISTS (FROM applied b JOIN step s ON s.rule_id = b.rule_id WHERE b.framework = a.framework AND b.framework <> 'AFRICA' AND b.sortable > 5006000 AND b.sortable <= 7006000 AND b.plan_applicability <> 'excluded')""",
     "executor_routing": BASE + f"""SELECT step_id, CASE WHEN recipe_id IS NOT NULL AND auto AND NOT coalesce(missing_params, false) THEN 'openrewrite' WHEN recipe_id IS NOT NULL AND (NOT auto OR coalesce(missing_params, false)) THEN 'prompted-auto'
   WHEN effort IN ('mechanical', 'moderate') AND {_CONCRETE} AND plan_applicability = 'matched' THEN 'agent-codemod' ELSE 'human-review' END AS executor FROM step s JOIN path p ON s.rule_id = p.rule_id""",
+    "recipe_plan": BASE + f"""SELECT p.rule_id, step_id, CASE WHEN automatable AND effort = 'mechanical' AND recipe_id IS NOT NULL AND auto AND NOT missing_params THEN 'automated' ELSE 'manual' END AS track,
+  CASE WHEN recipe_id IS NOT NULL AND auto AND NOT coalesce(missing_params, false) THEN 'openrewrite' WHEN recipe_id IS NOT NULL AND (NOT auto OR coalesce(missing_params, false)) THEN 'prompted-auto'
+  WHEN effort IN ('mechanical', 'moderate') AND {_CONCRETE} AND plan_applicability = 'matched' THEN 'agent-codemod' ELSE 'human-review' END AS executor, CAST(NULL AS VARCHAR) AS blocked_reason, plan_applicability AS applicability
+FROM step s JOIN path p ON s.rule_id = p.rule_id WHERE plan_applicability <> 'excluded' AND scope IN ('api', 'config') AND severity IN ('medium', 'high', 'critical')""",
+    "path_diagnostics": BASE + """SELECT count(*) FILTER (applicability <> 'excluded') AS rules_included, count(*) FILTER (applicability = 'excluded') AS rules_excluded_by_entity_filter, count(*) FILTER (applicability = 'uncertain') AS rules_via_safety_net,
+  (SELECT count(*) FROM scan_names) AS scanned_total, CAST(CASE WHEN count(*) FILTER (applicability <> 'excluded') > 10 THEN 10 END AS INTEGER) AS rules_capped_at FROM path WHERE scope = 'api'""",
+    "scope_tier_summary": BASE + """, h AS (SELECT DISTINCT name, kind, step_id, p.rule_id, scope, severity FROM path p JOIN affects a ON a.rule_id = p.rule_id JOIN step s ON s.rule_id = p.rule_id
+  WHERE scope = 'api' AND severity IN ('medium', 'high', 'critical') AND name IN (FROM scan_names))
+SELECT count(DISTINCT name) AS entities, count(DISTINCT rule_id) AS rule_count, count(*) AS total FROM h""",
     "concrete_instruction": BASE + f"SELECT step_id, {_CONCRETE} AS concrete FROM step",
     "resolve_version_exact": _resolve_sql("CASE WHEN above = requested THEN above END"),
     "resolve_version_floor": _resolve_sql("below"),

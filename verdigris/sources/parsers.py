@@ -207,6 +207,12 @@ def asciidoc_statements(docs: DataFrame, key: str, text: str) -> DataFrame:
     return found.select("*", kind.alias("type"), sure.alias("confidence"))
 
 
+def guide_statements(docs: DataFrame, key: str, text: str, major: Column) -> DataFrame:
+    """Statements of migration guides: as AsciiDoc from major version 6 on, where the text begins with ``=``; else as Markdown."""
+    ascii_doc = F.coalesce((major >= 6) & F.startswith(F.trim(text), F.lit("=")), F.lit(False))
+    return asciidoc_statements(docs.where(ascii_doc), key, text).unionByName(markdown_statements(docs.where(~ascii_doc), key, text))
+
+
 def upgrade_prose(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Statements ``Title: prose`` of the level-3 sections under the first heading ``## Upgrading from``."""
     line = F.col("line")
