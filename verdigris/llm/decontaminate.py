@@ -24,8 +24,8 @@ Defined results
 
 Scale
     Two readings of the documents (rarity of the benchmark's words, then
-    places), whatever the size of the benchmark.  What is shuffled is
-    benchmark windows and the places that pass the sieves, which are nearly
+    places), whatever the size of the benchmark; ``find`` reads them once more
+    and counts their words.  What is shuffled is benchmark windows and the places that pass the sieves, which are nearly
     the matches alone; a text is shuffled only where hits are joined back to
     it and are more than may be broadcast.  Nothing of the benchmark but the
     sieves reaches the driver.  A window in many documents or items is a hot
