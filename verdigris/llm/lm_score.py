@@ -215,7 +215,7 @@ def _unpacked(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(docs: DataFrame, key: str, text: str, cell_counts: np.ndarray, cells: Cells, rows: int, rounds: int = ROUNDS) -> Model:
     """A model from ``rounds`` synchronous rounds, each over its part of ``docs``."""
     spark, model = docs.sparkSession, Model(cell_counts, rows)
-    tasks = -(-docs.rdd.getNumPartitions() // rounds)  # each with about as many documents as a task that reads all
+    tasks = max(1, -(-docs.rdd.getNumPartitions() // rounds))  # each with about as many documents as a task that reads all
     part = F.pmod(F.xxhash64(key, text), F.lit(rounds))
     for number in range(rounds):
         shared = spark.sparkContext.broadcast((cells, cell_counts, [w.astype(np.float16) for w in model.w]))
