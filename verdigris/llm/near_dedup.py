@@ -58,11 +58,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import _text
 from ._graph import components
-from ._native import columns, cut
+from ._native import columns, cut, meet
 
 K, BANDS = 96, 24
 SHINGLE, SIMILARITY = 5, 0.8
 NEAREST, PART, BLOCK, ELEMENTS = 4, 1024, 256, 1 << 19
+#: Rows whose darts are thrown together.
+TOGETHER = 512
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -88,6 +90,12 @@ def weighted(s: np.ndarray, soff: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def dart_signatures(e: np.ndarray, w: np.ndarray, eoff: np.ndarray, k: int = K) -> np.ndarray:
     """(rows, k) earliest darts of distinct elements ``e`` of weights ``w``: rank in the high bits, the dart's own hash in the low ones."""
+    edges = [*range(0, len(eoff) - 1, TOGETHER), len(eoff) - 1]
+    parts = [_darts(e[eoff[a] : eoff[b]], w[eoff[a] : eoff[b]], eoff[a : b + 1] - eoff[a], k) for a, b in zip(edges[:-1], edges[1:])]
+    return np.concatenate(parts) if parts else np.zeros((0, k), np.uint64)
+
+
+def _darts(e: np.ndarray, w: np.ndarray, eoff: np.ndarray, k: int) -> np.ndarray:
     rows, size = len(eoff) - 1, np.diff(eoff)
     table = np.full((rows, k), _NONE, np.uint64)
     total = np.diff(np.concatenate([[0.0], np.cumsum(w)])[eoff])
@@ -335,8 +343,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
 
     Documents without words, and those with a null id, all stay.
     """
-    found = classes(docs, key, text, **how)
-    losers = found.groupBy(key).agg(F.min("class_id").alias("__class")).where(F.col(key) != F.col("__class")).select(key)
-    left = docs.join(losers, key, "left_anti")
-    named = left.where(F.col(key).isNotNull()).dropDuplicates([key])
-    return named.unionAll(left.where(F.col(key).isNull())).select(*columns(docs))
+    found = cut(classes(docs, key, text, **how))
+    named = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("class_id").alias("__class"), F.count("*").alias("__n"))
+    left = meet(docs, named.where(F.col(key) != F.col("__class")).select(key), [key], "left_anti")
+    again = named.where("__n > 1").select(key)
+    # only rows of a repeated id are brought together
+    return meet(left, again, [key], "left_anti").unionByName(meet(left, again, [key], "left_semi").dropDuplicates([key])).select(*columns(docs))
