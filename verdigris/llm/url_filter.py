@@ -17,7 +17,9 @@ Defined results
 
 Scale
     The expressions of a URL are (labels of its host) x (distinct lengths of
-    rule paths), so a URL costs the same at any table size.  Only expressions
+    rule paths), so a URL costs the same at any table size; the suffixes take
+    half the square of the host's labels, of which a valid host (253
+    characters) has at most 127.  Only expressions
     that hit a rule are shuffled, aggregated map-side per (host, path).  The
     rule side is broadcast by Catalyst only under the session's size
     threshold; a larger table is shuffled, where it holds one row per rule
