@@ -128,6 +128,40 @@ def test_fuzzy_levels(spark):
     assert got == {1: ("wallet-api", "exact"), 2: ("Ledger", "case_insensitive"), 3: ("wallet-api", "alphanumeric_normalized"), 4: ("payments", "fuzzy")}
 
 
+@given(st.lists(st.text("ab1", min_size=1, max_size=7), min_size=1, max_size=8), st.lists(st.text("abz1", min_size=5, max_size=5), min_size=1, max_size=30), st.sampled_from([0, 70]))
+def test_closest_is_brute_force(asked, keys, more):
+    asked, keys = [a + "b" * more for a in asked], [k + "b" * more for k in keys]
+    services = [k.upper() if i % 2 else k for i, k in enumerate(keys)]
+    got = [(w, services[s], x) for w, s, x in zip(*map(list, fuzzy.closest(asked, keys, services, 0.5, 4)))]
+    want = []
+    for w, a in enumerate(asked):
+        scored = sorted((-fuzzy.indel(a, k), s) for k, s in zip(keys, services) if fuzzy.indel(a, k) >= 0.5)
+        want += [(w, s, -x) for x, s in scored[:4]]
+    assert got == want
+
+
+def test_fuzzy_does_not_meet_all_pairs(spark, monkeypatch):
+    """Nodes walked for 500 requests of 20,000 names: far fewer than pairs."""
+    keys = [f"supplier{i:09d}" for i in range(20000)]
+    walked, whole = [], fuzzy.np.repeat
+    monkeypatch.setattr(fuzzy.np, "repeat", lambda x, n: walked.append(int(fuzzy.np.sum(n))) or whole(x, n))
+    who, service, score = fuzzy.closest(["x" + k for k in keys[::40]], keys, keys, 0.68, 4)
+    assert len(who) == 4 * 500 and [int(s) for s, x in zip(service, score) if x > 0.95] == list(range(0, 20000, 40))
+    assert sum(walked) < 0.5 * 500 * 20000
+
+
+def test_fuzzy_in_blocks(spark, monkeypatch):
+    services = spark.createDataFrame([(f"Svc-{i % 90:03d}" if i % 2 else f"svc.{i:04d}",) for i in range(200)], "service string")
+    asked = spark.createDataFrame([(i, f"xsvc{i:03d}") for i in range(40)], "request_id long, name string")
+    whole = sorted(map(tuple, fuzzy.resolve(asked, services).collect()))
+    monkeypatch.setattr(fuzzy, "BLOCK", 30)
+    monkeypatch.setattr(fuzzy, "PART", 7)
+    assert sorted(map(tuple, fuzzy.resolve(asked, services).collect())) == whole and len(whole) == 40
+    top = [(-fuzzy.indel("xsvc007", k), s) for s, k in ((r.service, r.service.lower().replace("-", "").replace(".", "")) for r in services.collect())]
+    best = sorted(x for x in top if x[0] <= -0.68)[:4]
+    assert [(r[2], r[4], r[5]) for r in whole if r[0] == 7] == [(best[0][1], -best[0][0], ",".join(s for _, s in best[1:]))]
+
+
 def test_layers_and_pins(spark):
     layer = lambda *rows: spark.createDataFrame(rows, "service string, target string")
     got = {tuple(r) for r in fuzzy.layered(layer(("Wallet-Api", "old"), ("ledger", "l")), layer(("wallet_api", "new"), ("!", "x"))).collect()}
