@@ -291,6 +291,27 @@ def test_vector_pairs_are_all_found(spark):
     assert {(r.query, r.id) for r in search.within(frame.where("id % 20 = 0"), frame, 0.8).collect()} == want and want
 
 
+def test_pairs_and_terms_meet_within_tasks(spark, monkeypatch):
+    """No join of a query with every row, by vectors without clusters or by terms that all have; in blocks the same results."""
+    rng = random.Random(5)
+    words = lambda i: " ".join(["the", "and", *(f"w{rng.randrange(40)}" for _ in range(6)), f"only{i % 30}"])
+    rows = spark.createDataFrame([(i, words(i), [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)], "id long, text string, embedding array<double>")
+    asked = rows.where("id % 10 = 0")
+    queries = asked.select(F.col("id").alias("query"), "text")
+    pairs, hits = search.within(asked, rows, 0.8), search.bm25_each(queries, rows.select("id", "text"), 5)
+    for frame in (pairs, hits):
+        plan = frame._jdf.queryExecution().toString()
+        assert "FlatMapCoGroupsInPandas" in plan
+    whole = [sorted(map(tuple, f.collect())) for f in (pairs, hits.select("query", "id", "rank", F.round("score", 5)))]
+    assert len(whole[1]) == 5 * 30
+    for name, n in (("ASKED", 7), ("HELD", 50), ("AT_ONCE", 9), ("QUERIES", 7), ("DOCUMENTS", 50)):
+        monkeypatch.setattr(search, name, n)
+    pairs, hits = search.within(asked, rows, 0.8), search.bm25_each(queries, rows.select("id", "text"), 5)
+    assert [sorted(map(tuple, f.collect())) for f in (pairs, hits.select("query", "id", "rank", F.round("score", 5)))] == whole
+    one = sorted(((-r.score, r.id) for r in search.bm25(rows.where("id <> 0 or id = 0"), rows.first().text.split(), 6).collect()))
+    assert [i for _, i in one if i != 0][:5] == [r[1] for r in sorted(whole[1], key=lambda r: r[2]) if r[0] == 0]
+
+
 def test_update_guards(spark):
     steps = spark.createDataFrame([(1, 100), (2, 200), (3, 300)], "step_id long, rule_id long")
     rules = spark.createDataFrame([(100, "f", 5), (200, "f", 9), (300, "g", 5)], "rule_id long, framework string, sortable long")

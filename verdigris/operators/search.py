@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -87,73 +85,119 @@ def postings(docs: DataFrame, terms: DataFrame, key: str = "id", text: str = "te
     return words.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
+#: Queries and documents that one task scores together.
+QUERIES, DOCUMENTS = 8192, 8192
+
+
+def dealt(rows: DataFrame, own: str, key: str, n: int, other: str, m: int) -> DataFrame:
+    """Rows in ``n`` parts by their key, each met by ``m`` parts of the other side."""
+    return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+
+def best_by_terms(asked: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query, id, score) of the documents that may be among the k best of a query but itself: no worse than the k-th of this block by more than rounding.
+
+    ``asked``: (query, term); ``held``: (term, id, part), the weight of a term in a document.
+    """
+    term, at = held["term"].to_numpy(), np.argsort(held["term"].to_numpy(), kind="stable")
+    ids, doc = np.unique(held["id"].to_numpy(), return_inverse=True)
+    term, doc, part = term[at], doc[at], held["part"].to_numpy()[at]
+    found = [(asked["query"].to_numpy()[:0], ids[:0], np.zeros(0))]
+    for query, terms in asked.groupby("query")["term"]:
+        first, end = np.searchsorted(term, terms.to_numpy()), np.searchsorted(term, terms.to_numpy(), "right")
+        many = end - first
+        of = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        score = np.bincount(doc[of], part[of], len(ids))
+        score[ids == query] = 0
+        least = np.partition(score, -k)[-k] - 2e-6 if len(ids) > k else 0.0
+        kept = np.flatnonzero((score > 0) & (score >= least))
+        found.append((np.full(len(kept), query, found[0][0].dtype), ids[kept], score[kept]))
+    return pd.DataFrame(dict(zip(("query", "id", "score"), map(np.concatenate, zip(*found)))))
+
+
 def bm25_each(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query, id, score, rank): the top k documents (id, text) for each query (query, text) but itself, ties by id."""
-    asked = cut(queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
-    index = cut(postings(docs, asked.select("term").distinct()))
+    """(query, id, score, rank): the top k documents (id, text) for each query (query, text) but itself, ties by id.
+
+    Queries and documents have integer keys.  Frequent terms bring a query to
+    nearly all documents, so these pairs stay within a task, a bounded block of
+    queries and of documents, which only the best of the block leave.
+    """
+    wanted = cut(queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
+    index = cut(postings(docs, wanted.select("term").distinct()))
     total = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    df = cut(index.groupBy("term").agg(F.count("*").alias("df")).withColumn("number", F.monotonically_increasing_id()))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    met = asked.join(df, "term").join(index, "term").where(F.col("id") != F.col("query")).crossJoin(F.broadcast(total))  # one row
-    scored = met.groupBy("query", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    held = index.join(df, "term").crossJoin(F.broadcast(total)).select(F.col("number").alias("term"), "id", part.alias("part"))  # one row
+    asked = wanted.join(df, "term").select("query", F.col("number").alias("term"))
+    n, m = -(-wanted.select("query").distinct().count() // QUERIES) or 1, -(-docs.count() // DOCUMENTS) or 1
+    cells, kinds = ["asks", "holds"], {c: f.schema[c].dataType.simpleString() for c, f in (("query", queries), ("id", docs))}
+    left = dealt(asked, "asks", "query", n, "holds", m).repartition(n * m, *cells).groupBy(*cells)
+    right = dealt(held, "holds", "id", m, "asks", n).repartition(n * m, *cells).groupBy(*cells)
+    met = left.cogroup(right).applyInPandas(lambda x, y: best_by_terms(x, y, k), f"query {kinds['query']}, id {kinds['id']}, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return met.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Pivots of the vector search: a bounded sample, by which every row is indexed.
-PIVOTS = 64
+#: Queries and rows of one product of blocks, and rows of it that are multiplied at once.
+ASKED, HELD, AT_ONCE = 2048, 16384, 2048
 
 
-def _angles(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
-    """Angles of rows with the pivots; NaN for rows of another length, or of zeros."""
-    out = np.full((len(vectors), len(pivots)), np.nan)
-    right = [i for i, v in enumerate(vectors) if v is not None and len(v) == pivots.shape[1]]
-    if right:
-        m = np.array([vectors.iloc[i] for i in right], np.float64)
-        norm = np.sqrt((m * m).sum(axis=1))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            out[right] = np.arccos(np.clip(m @ pivots.T / norm[:, None], -1, 1))
-    return out
+def _sequential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed from left to right as ``cosine`` does."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        total = total + a[:, i] * b[:, i]
+    return total
 
 
-def within(queries: DataFrame, rows: DataFrame, least: float, pivots: int = PIVOTS) -> DataFrame:
+def _matrices(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length the places of the vectors that have it, and the vectors; none that is empty."""
+    places: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        if v is not None and len(v):
+            places.setdefault(len(v), []).append(i)
+    return {n: (np.array(at), np.array([vectors[i] for i in at], np.float64)) for n, at in places.items()}
+
+
+def close_pairs(asked: list, held: list, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place asked, place held, cosine) of the pairs whose cosine is about ``least`` or more; the cosine is that of ``cosine``, not rounded."""
+    found, given = [], _matrices(held)
+    for n, (at, a) in _matrices(asked).items():
+        if n not in given:
+            continue
+        with np.errstate(invalid="ignore", divide="ignore"):
+            unit = a / np.sqrt((a * a).sum(axis=1))[:, None]
+            for i in range(0, len(given[n][0]), AT_ONCE):
+                here, b = given[n][0][i : i + AT_ONCE], given[n][1][i : i + AT_ONCE]
+                q, r = np.nonzero(unit @ (b / np.sqrt((b * b).sum(axis=1))[:, None]).T >= least - 2e-6)
+                for j in range(0, len(q), 1 << 17):
+                    x, y = q[j : j + (1 << 17)], r[j : j + (1 << 17)]
+                    u, v = a[x], b[y]
+                    found.append((at[x], here[y], _sequential(u, v) / (np.sqrt(_sequential(u, u)) * np.sqrt(_sequential(v, v)))))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def within(queries: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """(query, id, score): every pair of a query and a row (id, embedding) with a cosine of at least ``least`` > 0.
 
-    Rows belong to their nearest pivot.  By the triangle inequality of angles a
-    query need only look into cells whose pivot is no farther than the cell's
-    radius and the angle of ``least``, so none is missed.  The scores are those
-    of ``cosine``.  A cell with many rows is a hot key of a join that can be
-    split.
+    All pairs are compared, as matrix products of bounded blocks: only pairs
+    that are close leave a task.  The scores are those of ``cosine``.
     """
-    sample = rows.where(F.size("embedding") > 0).orderBy(F.xxhash64("id")).select("embedding").limit(pivots).collect()
-    kept = [np.array(r[0], np.float64) for r in sample]
-    kept = [v / np.linalg.norm(v) for v in kept if len(v) == len(kept[0]) and np.linalg.norm(v) > 0]
-    spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
-    if not kept:
-        return queries.select(F.col("id").alias("query"), F.col("id"), F.lit(0.0).alias("score")).limit(0)
-    given = spark.sparkContext.broadcast(np.array(kept))
-
-    def nearest_cell(batches):
-        for b in batches:
-            angle = _angles(b["embedding"], given.value)
-            some = ~np.isnan(angle).any(axis=1)
-            yield pd.DataFrame({"id": b["id"][some], "cell": angle[some].argmin(axis=1), "angle": angle[some].min(axis=1)})
-
-    cells = cut(rows.select("id", "embedding").mapInPandas(nearest_cell, f"id {kind}, cell long, angle double"))
-    radius = {r.cell: r.far for r in cells.groupBy("cell").agg(F.max("angle").alias("far")).collect()}  # one row for each pivot
-    reach = np.array([radius.get(i, -10.0) for i in range(len(kept))]) + math.acos(min(1.0, least)) + 1e-6
-
-    def cells_to_see(batches):
-        for b in batches:
-            near = _angles(b["embedding"], given.value) <= reach
-            q, cell = np.nonzero(near)
-            yield pd.DataFrame({"query": b["id"].to_numpy()[q], "cell": cell})
-
-    asked = queries.select("id", "embedding").mapInPandas(cells_to_see, f"query {kind}, cell long")
-    pairs = asked.join(cells.select("id", "cell"), "cell").where(F.col("query") != F.col("id")).select("query", "id")
-    met = pairs.join(rows.select("id", F.col("embedding").alias("v")), "id").join(queries.select(F.col("id").alias("query"), "embedding"), "query")
-    return met.select("query", "id", F.round(cosine(F.col("embedding"), F.col("v")), 6).alias("score")).where(F.col("score") >= least)
+    kind = rows.schema["id"].dataType.simpleString()
+    asked, held = cut(queries.select("id", "embedding")), rows.select("id", "embedding")
+    n, m = -(-asked.count() // ASKED) or 1, -(-held.count() // HELD) or 1
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        q, r, cos = close_pairs(left["embedding"].tolist(), right["embedding"].tolist(), least)
+        other = left["id"].to_numpy()[q] != right["id"].to_numpy()[r]
+        return pd.DataFrame({"query": left["id"].to_numpy()[q[other]], "id": right["id"].to_numpy()[r[other]], "cosine": cos[other]})
+
+    cells = ["asks", "holds"]
+    left = dealt(asked, "asks", "id", n, "holds", m).repartition(n * m, *cells).groupBy(*cells)
+    right = dealt(held, "holds", "id", m, "asks", n).repartition(n * m, *cells).groupBy(*cells)
+    met = left.cogroup(right).applyInPandas(meet, f"query {kind}, id {kind}, cosine double")
+    return met.select("query", "id", F.round("cosine", 6).alias("score")).where(F.col("score") >= least)
 
 
 def near_duplicate(candidates: DataFrame, known: DataFrame, least: float = 0.92, hits: int = 5) -> DataFrame:
