@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from verdigris.operators import matching
+from verdigris.lineage import cut
 
 
 def one_hop(entities: DataFrame, replaced_by: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def matched_names(rules: DataFrame, affects: DataFrame, scan: DataFrame) -> Data
     of its own, under its dependencies' groups.  A group under which nothing
     was scanned stands for the group above it.
     """
-    a = affects.join(rules.select("rule_id", "match_count"), "rule_id")
+    a = cut(affects.join(rules.select("rule_id", "match_count"), "rule_id"))  # read by every way of matching
     last = lambda c: F.element_at(F.split(c, r"\."), -1)
     names = scan.select("name").distinct()
     classes = scan.where("bucket = 'classes'").select(F.col("name").alias("found"))

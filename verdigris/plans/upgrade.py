@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verdigris import api
 from verdigris.functions import exprs
+from verdigris.lineage import cut
 from verdigris.operators import context, lifecycle, matching, upsert, versions
 from verdigris.plans.base_sql import BASE
 from verdigris.sources.graph import Graph
@@ -18,7 +19,8 @@ def _path(g: Graph) -> DataFrame:
 
 
 def _applied(g: Graph, **how) -> DataFrame:
-    return matching.applicable(_path(g), g.affects, matching.normalise(g.scan_names), entities=g.part_entity, **how)
+    path = cut(_path(g))
+    return matching.applicable(path, g.affects_of(path), matching.normalise(g.scan_names), entities=g.part_entity, **how)
 
 
 def upgrade_path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,9 +166,10 @@ def normalize_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matched_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned names that the rules of the path matched, as a sorted list per rule."""
     g = Graph(spark, sf_dir)
-    scan = matching.normalise(g.scan_names)
-    rules = _applied(g, package_bridge=True)
-    return lifecycle.matched_names(rules, g.affects, scan)
+    scan, path = cut(matching.normalise(g.scan_names)), cut(_path(g))
+    affects = g.affects_of(path)
+    rules = matching.applicable(path, affects, scan, package_bridge=True, entities=g.part_entity)
+    return lifecycle.matched_names(rules, affects, scan)
 
 
 def entity_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
