@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verdigris.functions import exprs
+from verdigris.lineage import cut
 from verdigris.operators import context, matching, upsert, versions
 from verdigris.plans.base_sql import BASE
 from verdigris.sources.graph import Graph
@@ -28,10 +29,10 @@ def _manual(g: Graph) -> DataFrame:
 
 def _pending(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     g = Graph(spark, sf_dir)
-    path = versions.in_range(g.rule.where(F.col("framework") == FRAMEWORK), LOW, HIGH)
+    path = cut(versions.in_range(g.rule.where(F.col("framework") == FRAMEWORK), LOW, HIGH))
     forced = g.part_entity.where(F.col("p_partkey") % 50 == 1).select("name").distinct()
-    rules = matching.applicable(path, g.affects, matching.normalise(g.scan_names), package_bridge=True, forced=forced, entities=g.part_entity)
-    steps = g.step.join(path.select("rule_id"), "rule_id", "left_semi")
+    rules = matching.applicable(path, g.affects_of(path), matching.normalise(g.scan_names), package_bridge=True, forced=forced, entities=g.part_entity)
+    steps = g.step_of(path)
     keys = _outcomes(g).where(F.col("context_id") == CONTEXT).select("step_key")
     done = steps.withColumn("step_key", (F.col("step_id") % 100).cast("int")).join(keys, "step_key", "left_semi")
     return context.pending(rules, steps, done, _manual(g), **how)
