@@ -281,6 +281,13 @@ def test_lines_of_other_rules_go_first(spark, sf_dir, query):
         assert sorted(map(str, some.collect())) == sorted(map(str, every.where("rule_id % 7 = 0").collect()))
 
 
+def test_edges_of_a_task_are_bounded(spark, sf_dir):
+    """The number of tasks follows the lines, whatever the session's shuffles are set to."""
+    lines = Graph(spark, sf_dir).table("lineitem").count()
+    plan = Graph(spark, sf_dir).affects._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(rule_id" in plan and f", {-(-lines // (1 << 18))}), REPARTITION_BY_NUM" in plan
+
+
 def test_near_duplicate_passes(spark):
     said = ["alpha beta gamma", "delta epsilon zeta", "eta theta iota kappa", "lamda mu nu"]
     unit = lambda i: [float(j == i) for j in range(5)]

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from verdigris.lineage import cut
 
+#: Edges that one task makes distinct.
+EDGES = 1 << 18
+
 
 class Graph:
     """Tables of one data folder; the columns are those of the edge-list model."""
@@ -69,7 +72,9 @@ class Graph:
     @cached_property
     def affects(self) -> DataFrame:
         """(rule_id, kind, name), one row per edge."""
-        return self._edges(self.table("lineitem")).distinct()
+        lines = self.table("lineitem")
+        # dealt out by rule first: nearly all edges differ, and a task holds its distinct ones
+        return self._edges(lines).repartition(max(1, -(-lines.count() // EDGES)), "rule_id").distinct()
 
     def _edges(self, lines: DataFrame) -> DataFrame:
         return lines.join(self.part_entity, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("rule_id"), "kind", "name")
