@@ -281,11 +281,12 @@ def test_lines_of_other_rules_go_first(spark, sf_dir, query):
         assert sorted(map(str, some.collect())) == sorted(map(str, every.where("rule_id % 7 = 0").collect()))
 
 
-def test_edges_of_a_task_are_bounded(spark, sf_dir):
+def test_edges_of_a_task_are_bounded(spark, sf_dir, monkeypatch):
     """The number of tasks follows the lines, whatever the session's shuffles are set to."""
+    monkeypatch.setattr("verdigris.sources.graph.EDGES", 1000)
     lines = Graph(spark, sf_dir).table("lineitem").count()
     plan = Graph(spark, sf_dir).affects._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(rule_id" in plan and f", {-(-lines // (1 << 18))}), REPARTITION_BY_NUM" in plan
+    assert "hashpartitioning(rule_id" in plan and f", {-(-lines // 1000)}), REPARTITION_BY_NUM" in plan
 
 
 def test_near_duplicate_passes(spark):
